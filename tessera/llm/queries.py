@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import clusters as markov
+from tessera.llm import containers, languages, mixtures
 from tessera.llm import percentiles as sketches
+from tessera.llm.tokens import VOCABULARY, token_count
 from tessera.session import cut, load
 
 
@@ -55,5 +58,56 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return answer(by_stack, "stack").unionByName(answer(by_month, "month"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_percentiles)}
+def _sizes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return cut(load(spark, d, "documents").select("doc_id", *columns, token_count(F.col("text"), VOCABULARY).alias("tokens")), "tokens")
+
+
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    """Container sizes by kind: a configuration table of a few rows."""
+    return {r["bin_kind"]: r["capacity_tokens"] for r in load(spark, d, "pack_bins").filter("bin_kind is not null and capacity_tokens > 0").collect()}
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    packed = containers.pack(_sizes(spark, d), _capacities(spark, d)["long"])
+    return packed.filter("piece_no = 1").select("doc_id")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers.pack(_sizes(spark, d), _capacities(spark, d)["long"])
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _sizes(spark, d)
+    parts = [containers.report(containers.pack(sizes, c), c).withColumn("bin_kind", F.lit(k)) for k, c in sorted(_capacities(spark, d).items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixtures.mix(_sizes(spark, d, "source"), load(spark, d, "mix_targets")).report.filter("below").select("source")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixtures.mix(_sizes(spark, d, "source"), load(spark, d, "mix_targets")).report
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixtures.mix(_sizes(spark, d, "source"), load(spark, d, "mix_targets")).chosen
+
+
+def _languages(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]:
+    """Found languages, and the accepted spellings: a configuration table of a few dozen rows."""
+    documents = load(spark, d, "documents")
+    codes = {r["alias"]: r["lang_code"] for r in load(spark, d, "language_codes").filter("alias is not null").collect()}
+    return languages.identify(documents, languages.fit(languages.training_sample(documents, codes))), codes
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.wrong_or_mixed(*_languages(spark, d)).select("doc_id", "cue_no", "lang").distinct()
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d)[0]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_percentiles, p7_found, p7_containers, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_languages)}
 SQL: dict[str, str] = {}

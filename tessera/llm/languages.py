@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ TRAINING_DOCUMENTS = 200
 #: Documents longer than this are not drawn.
 TRAINING_LENGTH = 8_000
 #: Characters of distinct lines per language that an automaton is built from.
-TRAINING_CHARS = 24_000
+TRAINING_CHARS = 32_000
 #: Lines whose parses a task remembers before it starts anew.
 REMEMBERED = 200_000
 
@@ -225,44 +226,39 @@ def fit(sample: list[tuple[str, str]], chars: int = TRAINING_CHARS) -> Model:
     largest product. Wrong labels are the smaller part of a language's documents, so its own words have
     their largest share there; the words of a label that is only ever wrong have a larger one elsewhere.
     A cue's lines count for the language of its document's label if that is the language of the line, of
-    the cue and of most cues of the document; a language less than a fifth of whose documents remain gets no automaton.
+    the cue and of most cues of the document. A language less than a fifth of whose documents remain
+    gets no automaton, and the rest start anew without it. The lines in most documents come first, up to
+    ``chars`` characters.
     """
     documents = defaultdict(list)
     for code, text in sample:
         parts = [normalised("\n".join(body)) for body in cues(text)[1]]
         if any(words := [set(part.split()) for part in parts]):
             documents[code].append((words, parts))
-    codes = sorted(documents)
-    if not codes:
-        return Model(())
-    seen = {code: Counter(w for words, _ in documents[code] for w in set().union(*words)) for code in codes}
-    weights: dict[str, np.ndarray] = {}
-
-    def attributed(words: set[str]) -> int:
-        total = np.zeros(len(codes))
-        for w in words:
-            if w not in weights:
-                weights[w] = np.log([seen[c][w] / (len(documents[c]) + 3) + 0.003 for c in codes])
-            total += weights[w]
-        return int(total.argmax())
-
-    lines = []
-    for own, code in enumerate(codes):
-        texts: dict[str, None] = {}
-        size, kept = 0, 0
-        for words, parts in documents[code]:
-            of = [attributed(w) if w else -1 for w in words]
-            if 2 * of.count(own) <= sum(o >= 0 for o in of):
-                continue
-            kept += 1
-            for o, part in zip(of, parts, strict=True):
-                for line in part.split("\n") if o == own and size < chars else ():
-                    if line not in texts and (found := set(line.split())) and attributed(found) == own:
-                        texts[line] = None
-                        size += len(line)
-        if 5 * kept >= len(documents[code]) and texts:
-            lines.append((code, tuple(texts)))
-    return Model(tuple(lines))
+    while documents:
+        codes = sorted(documents)
+        seen = {code: Counter(w for words, _ in documents[code] for w in set().union(*words)) for code in codes}
+        weights = {w: np.log([seen[c][w] / (len(documents[c]) + 3) + 0.003 for c in codes]) for w in set().union(*seen.values())}
+        attributed = lambda words: int(sum(weights[w] for w in words).argmax()) if words else -1  # noqa: B023, E731
+        lines, only_wrong = [], []
+        for own, code in enumerate(codes):
+            texts: Counter[str] = Counter()
+            kept = 0
+            for words, parts in documents[code]:
+                of = [attributed(w) for w in words]
+                if 2 * of.count(own) > sum(o >= 0 for o in of):
+                    kept += 1
+                    texts.update({line for o, part in zip(of, parts, strict=True) if o == own for line in part.split("\n") if attributed(set(line.split())) == own})
+            often = sorted(texts, key=lambda line: (-texts[line], zlib.crc32(line.encode()), line))  # noqa: B023
+            if 5 * kept < len(documents[code]) or not often:
+                only_wrong.append(code)
+            else:
+                lines.append((code, tuple(often[: int(np.searchsorted(np.cumsum([len(line) for line in often]), chars)) + 1])))
+        if not only_wrong:
+            return Model(tuple(lines))
+        for code in only_wrong:
+            del documents[code]
+    return Model(())
 
 
 FOUND = "doc_id bigint, label string, is_run boolean, cue_no int, last_cue int, n_cues int, lang string, confidence double"

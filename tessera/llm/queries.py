@@ -110,4 +110,12 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_percentiles, p7_found, p7_containers, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_languages)}
-SQL: dict[str, str] = {}
+READINGS = "r AS (SELECT cell_id, min(stack) AS stack, min(layer) AS layer, min(genotype) AS genotype, min(clonal_marker) AS m FROM cell_measurements WHERE clonal_marker > 0 AND clonal_marker < 1{} GROUP BY cell_id)"
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH {READINGS.format(" AND genotype IN (0, 1, 2)")}, g AS (SELECT cell_id, genotype, ln(m) AS x, CASE WHEN ln(m) - lag(ln(m)) OVER (PARTITION BY genotype ORDER BY m) <= 0.3 THEN 0 ELSE 1 END AS b FROM r),
+h AS (SELECT *, sum(b) OVER (PARTITION BY genotype ORDER BY x ROWS UNBOUNDED PRECEDING) AS k, count(*) OVER (PARTITION BY genotype) AS t FROM g),
+q AS (SELECT genotype, k, row_number() OVER (PARTITION BY genotype ORDER BY k)::INT AS cluster_rank FROM h GROUP BY genotype, k HAVING max(x) - min(x) <= 0.3 AND count(*) >= 0.01 * max(t)) SELECT cell_id, genotype, cluster_rank FROM h JOIN q USING (genotype, k)""",
+    "p4_found": f"""WITH {READINGS.format("")}, a AS (SELECT stack, layer, m, row_number() OVER (PARTITION BY stack, layer ORDER BY m) AS rl, count(*) OVER (PARTITION BY stack, layer) AS nl, row_number() OVER (PARTITION BY stack ORDER BY m) AS rs, count(*) OVER (PARTITION BY stack) AS ns FROM r),
+p AS (SELECT unnest([10, 50, 90]) AS pct), l AS (SELECT stack, layer, pct, m FROM a, p WHERE rl = ceil(pct * nl / 100.0)), s AS (SELECT stack, pct, m FROM a, p WHERE rs = ceil(pct * ns / 100.0))
+SELECT l.stack, l.layer, l.pct FROM l JOIN s USING (stack, pct) WHERE l.m >= 2 * s.m OR l.m <= s.m / 2""",
+}

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import cut, spread
 
 
 def triangulate(points: np.ndarray) -> np.ndarray:
@@ -23,35 +23,51 @@ def triangulate(points: np.ndarray) -> np.ndarray:
     n = len(points)
     if n < 3:
         return np.empty((0, 3), dtype=np.int64)
-    centre, span = points.mean(axis=0), max(float(np.ptp(points, axis=0).max()), 1e-9)
-    far = centre + span * 1e4 * np.array([[-1.0, -0.6], [1.0, -0.6], [0.0, 1.2]])
-    pts = np.vstack([points, far])
-
-    def circle(t: np.ndarray) -> np.ndarray:
-        a, b, c = pts[t[:, 0]], pts[t[:, 1]], pts[t[:, 2]]
-        ab, ac = b - a, c - a
-        d = 2 * (ab[:, 0] * ac[:, 1] - ab[:, 1] * ac[:, 0])
-        d = np.where(d == 0, 1e-300, d)
-        bb, cc = (ab**2).sum(axis=1), (ac**2).sum(axis=1)
-        u = np.column_stack([(ac[:, 1] * bb - ab[:, 1] * cc) / d, (ab[:, 0] * cc - ac[:, 0] * bb) / d])
-        return np.column_stack([a + u, (u**2).sum(axis=1)])
-
-    triangles = np.array([[n, n + 1, n + 2]])
-    circles = circle(triangles)
-    for p in np.lexsort((points[:, 1], points[:, 0])):
-        gap = ((circles[:, :2] - pts[p]) ** 2).sum(axis=1) - circles[:, 2]
-        bad = gap < 1e-9 * np.maximum(circles[:, 2], 1e-300)
-        hole = triangles[bad]
-        edges = np.vstack([hole[:, [0, 1]], hole[:, [1, 2]], hole[:, [2, 0]]])
-        code = edges[:, 0] * (n + 3) + edges[:, 1]
-        border = edges[~np.isin(code, edges[:, 1] * (n + 3) + edges[:, 0])]
-        new = np.column_stack([border, np.full(len(border), p)])
-        triangles, circles = np.vstack([triangles[~bad], new]), np.vstack([circles[~bad], circle(new)])
-    triangles = triangles[(triangles < n).all(axis=1)]
-    a, b, c = pts[triangles[:, 0]], pts[triangles[:, 1]], pts[triangles[:, 2]]
+    span = max(float(np.ptp(points, axis=0).max()), 1e-9)
+    cx, cy = points.mean(axis=0)
+    xs = [*points[:, 0].tolist(), cx - 1e4 * span, cx + 1e4 * span, cx]
+    ys = [*points[:, 1].tolist(), cy - 6e3 * span, cy - 6e3 * span, cy + 1.2e4 * span]
+    room = 2 * n + 8
+    corners: list[tuple[int, int, int]] = [(n, n + 1, n + 2)]
+    circle_x, circle_y, circle_r = np.zeros(room), np.zeros(room), np.full(room, -1.0)
+
+    def place(slot: int, a: int, b: int, c: int) -> None:
+        corners[slot] = (a, b, c)
+        ux, uy, vx, vy = xs[b] - xs[a], ys[b] - ys[a], xs[c] - xs[a], ys[c] - ys[a]
+        d = 2 * (ux * vy - uy * vx)
+        if abs(d) < 1e-14 * span * span:  # flat for now: the next point replaces it
+            circle_x[slot], circle_y[slot], circle_r[slot] = cx, cy, 1e150
+            return
+        uu, vv = ux * ux + uy * uy, vx * vx + vy * vy
+        ox, oy = (vy * uu - uy * vv) / d, (ux * vv - vx * uu) / d
+        circle_x[slot], circle_y[slot], circle_r[slot] = xs[a] + ox, ys[a] + oy, ox * ox + oy * oy
+
+    place(0, n, n + 1, n + 2)
+    for p in np.lexsort((points[:, 1], points[:, 0])).tolist():
+        m = len(corners)
+        gap = (circle_x[:m] - xs[p]) ** 2 + (circle_y[:m] - ys[p]) ** 2 - circle_r[:m]
+        hole = np.flatnonzero(gap < -1e-12 * circle_r[:m]).tolist()
+        border: dict[tuple[int, int], None] = {}
+        for t in hole:
+            a, b, c = corners[t]
+            for e in ((a, b), (b, c), (c, a)):
+                if (e[1], e[0]) in border:
+                    del border[e[1], e[0]]
+                else:
+                    border[e] = None
+        slots = hole + list(range(m, m + max(0, len(border) - len(hole))))
+        if slots and slots[-1] >= len(circle_x):
+            circle_x, circle_y, circle_r = (np.concatenate([v, np.full(room, fill)]) for v, fill in ((circle_x, 0.0), (circle_y, 0.0), (circle_r, -1.0)))
+        corners.extend([(n, n, n)] * (len(slots) - len(hole)))
+        for slot, (a, b) in zip(slots, border, strict=False):
+            place(slot, a, b, p)
+        for slot in slots[len(border) :]:
+            corners[slot] = (n, n, n)
+            circle_r[slot] = -1.0
+    found = np.array([t for t in corners if max(t) < n], dtype=np.int64).reshape(-1, 3)
+    a, b, c = (points[found[:, i]] for i in range(3))
     area = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
-    flat = np.abs(area) <= 1e-9 * span * span
-    return triangles[~flat]
+    return found[np.abs(area) > 1e-9 * span * span]
 
 
 def triangles(cells: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
@@ -71,7 +87,7 @@ def triangles(cells: DataFrame, keys: list[str], node: str = "node") -> DataFram
         return pd.DataFrame(out)
 
     used = cells.select(*keys, F.col(node).cast("bigint").alias(node), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(F.col(node).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
-    return used.groupBy(*keys).applyInPandas(run, schema)
+    return spread(used, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def triangle_edges(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -290,7 +306,8 @@ def diffuse(edges: DataFrame, values: DataFrame, keys: list[str], columns: list[
             now = start + alpha * np.column_stack([np.bincount(i, share * now[j, c], len(nodes)) for c in range(len(columns))])
         return nodes[[*keys, node]].assign(**dict(zip(columns, now.T, strict=True)))
 
-    return values.select(*keys, node, *columns).groupBy(*keys).cogroup(edges.select(*keys, "src", "dst", "weight").groupBy(*keys)).applyInPandas(run, schema)
+    links_by_layer = spread(edges.select(*keys, "src", "dst", "weight"), keys).groupBy(*keys)
+    return spread(values.select(*keys, node, *columns), keys).groupBy(*keys).cogroup(links_by_layer).applyInPandas(run, schema)
 
 
 def communities(edges: DataFrame, nodes: DataFrame, keys: list[str], rounds: int = 8, node: str = "node") -> DataFrame:

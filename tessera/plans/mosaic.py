@@ -484,7 +484,7 @@ def model_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _triangles(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.triangles(cells(spark, d), KEYS, "cell_id")
+    return cut(graphs.triangles(cells(spark, d), KEYS, "cell_id"), "triangles")
 
 
 @query()

@@ -87,4 +87,36 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_schema, p3_unified, p5_found, p5_members, p6_found, p6_report)}
-SQL: dict[str, str] = {}
+NUMBER = "TRY_CAST(TRY_CAST({} AS DOUBLE) AS BIGINT)"
+TEXT = "json_extract_string({}, '$.{}')"
+
+
+def _id(of: str, name: str = "id") -> str:
+    return NUMBER.format(TEXT.format(of, name))
+
+
+RECORDS = f"""f AS (SELECT DISTINCT file_id, path, written_at, content FROM segment_files),
+l AS (SELECT file_id, written_at, split_part(path, '/', 1) AS stack, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM f),
+o AS (SELECT * FROM l WHERE CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' ELSE false END),
+r AS (SELECT file_id, line_no, row_number() OVER (PARTITION BY stack, {_id("line", "layer")}, {_id("line", "segment_id")} ORDER BY written_at, file_id, line_no) AS n FROM o)"""
+
+DOCUMENTS = f"""f AS (SELECT DISTINCT file_id, stack, kind, written_at, deleted_at, body FROM silhouette_files),
+layer_documents AS (SELECT file_id, stack, deleted_at, {_id("body")} AS layer, body FROM f WHERE kind = 'layer'),
+layer_contours AS (SELECT file_id, stack, deleted_at, layer, c, {_id("c")} AS id FROM (SELECT *, unnest(json_extract(body, '$.contours[*]')) AS c FROM layer_documents)),
+feud_layers AS (SELECT file_id, stack, written_at, unnest(json_extract(body, '$.layers[*]')) AS l FROM f WHERE kind = 'feud'),
+feud_contours AS (SELECT file_id, stack, written_at, {_id("l")} AS layer, c, {_id("c")} AS id FROM (SELECT *, unnest(json_extract(l, '$.contours[*]')) AS c FROM feud_layers))"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"WITH {RECORDS} SELECT file_id, line_no::INT AS line_no FROM r WHERE n > 1",
+    "p5_found": f"""WITH {DOCUMENTS}, m AS (SELECT file_id, layer, id, unnest(['color_avg', 'color_std']) AS s, unnest([json_extract(c, '$.color_avg'), json_extract(c, '$.color_std')]) AS v FROM layer_contours),
+by_name AS (SELECT file_id, layer, id, s, unnest(json_keys(v)) AS k, v FROM m WHERE json_type(v) = 'OBJECT'), entries AS (SELECT file_id, layer, id, s, unnest(json_extract(v, '$[*]')) AS e FROM m WHERE json_type(v) = 'ARRAY')
+SELECT DISTINCT file_id, layer::INT AS layer_id, id::INT AS contour_id, s || '.' || k AS leaf FROM by_name WHERE json_type(json_extract(v, '$."' || k || '"')) <> 'NULL'
+UNION SELECT file_id, layer::INT, id::INT, s || '.' || json_extract_string(e, '$.channel') FROM entries WHERE json_type(json_extract(e, '$.value')) <> 'NULL'
+UNION SELECT file_id, layer::INT, id::INT, 'label' FROM feud_contours WHERE trim(json_extract_string(c, '$.label')) <> ''""",
+    "p6_found": f"""WITH {DOCUMENTS}, s AS (SELECT DISTINCT stack, layer, unnest(label_ids) AS id FROM layers WHERE deleted_at IS NULL),
+feeds AS (SELECT file_id, stack, written_at, {NUMBER.format("json_extract_string(i, '$')")} AS id FROM (SELECT *, unnest(json_extract(body, '$.layer_ids[*]')) AS i FROM f WHERE kind = 'feed'))
+SELECT DISTINCT 'cell_measurements.segment_id' AS ref_field, cell_id AS row_key, layer, segment_id::BIGINT AS ref_id, strftime(measured_at, '%Y-%m') AS ref_month FROM cell_measurements c
+ WHERE segment_id <> 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.stack = c.stack AND s.layer = c.layer AND s.id = c.segment_id)
+UNION SELECT 'feud.id', file_id, layer::INT, id, strftime(written_at, '%Y-%m') FROM feud_contours q WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM layer_contours t WHERE t.deleted_at IS NULL AND t.stack = q.stack AND t.layer = q.layer AND t.id = q.id)
+UNION SELECT 'feed.layer_ids', file_id, id::INT, id, strftime(written_at, '%Y-%m') FROM feeds q WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM layer_documents t WHERE t.deleted_at IS NULL AND t.stack = q.stack AND t.layer = q.id)""",
+}

@@ -84,7 +84,7 @@ def p5(files):
         if not isinstance(body, dict):
             continue
         if r["kind"] == "layer":
-            for c in body.get("contours") or []:
+            for c in filter(None, body.get("contours") or []):
                 for name in ("color_avg", "color_std"):
                     out |= {(r["file_id"], whole(body["id"]), whole(c["id"]), f"{name}.{k}") for k, _ in channels(c.get(name))}
         elif r["kind"] == "feud":

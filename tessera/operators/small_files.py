@@ -110,6 +110,7 @@ def consolidate(spark: SparkSession, source: str, target_bytes: int = 128 << 20,
 
     The table's files are read in packed splits and parsed where they are read, and the occurrences are
     written, coalesced without a shuffle, to a staging table that is verified against what was parsed.
+    Splits shrink where the table is small, so that every core parses.
     From it the first occurrence of each record, by (written_at, file_id, line_no), goes into the final
     table, which is staged, verified and renamed. A minimum that combines before the shuffle finds the
     first occurrence, so a record or file repeated any number of times makes no large group.
@@ -118,10 +119,12 @@ def consolidate(spark: SparkSession, source: str, target_bytes: int = 128 << 20,
     comes first. Records without layer or segment_id cannot be told apart and are all kept. depth is the
     stack's largest known metadata.depth. Other columns are not read. An empty source gives empty tables.
     """
+    tasks, size = spark.sparkContext.defaultParallelism, _bytes_under(spark, source)
+    split_bytes = max(open_cost, min(split_bytes, math.ceil(size / (3 * tasks))))
     with packed_read(spark, split_bytes, open_cost):
-        splits = max(1, math.ceil(_bytes_under(spark, source) / split_bytes))
+        splits = max(tasks, math.ceil(size / split_bytes))
         parsed = records(spark.read.parquet(source))
-        staged = write_verified(parsed, scratch(spark, "occurrences"), max(splits, spark.sparkContext.defaultParallelism))
+        staged = write_verified(parsed, scratch(spark, "occurrences"), splits)
     raw = spark.read.schema(parsed.schema).parquet(staged.path)
     body = F.struct("written_at", "file_id", "file_key", "line_no", "stack", "layer", "segment_id", "depth", "record")
     once = raw.groupBy("file_key", "line_no").agg(F.min(body).alias("o")).select("o.*")

@@ -80,12 +80,13 @@ def triangles(cells: DataFrame, keys: list[str], node: str = "node") -> DataFram
         points = group[["x", "y"]].to_numpy(dtype=float)
         t = triangulate(points)
         t = t[np.lexsort(np.sort(t, axis=1).T[::-1])] if len(t) else t
-        out = {k: [group[k].iloc[0]] * len(t) for k in keys} | {"triangle": np.arange(len(t))}
+        if not len(t):
+            return empty
         ids = group[node].to_numpy()
-        out |= {c: ids[t[:, i]] for i, c in enumerate("abc")}
-        out |= {f"{c}{d}": points[t[:, i], j] for i, c in enumerate("abc") for j, d in enumerate("xy")}
-        return pd.DataFrame(out)
+        out = {k: group[k].iloc[0] for k in keys} | {"triangle": np.arange(len(t))} | {c: ids[t[:, i]] for i, c in enumerate("abc")}
+        return pd.DataFrame(out | {f"{c}{d}": points[t[:, i], j] for i, c in enumerate("abc") for j, d in enumerate("xy")})
 
+    empty = pd.DataFrame({c.split()[0].strip("`"): pd.Series(dtype={"int": "int32", "bigint": "int64", "double": "float64"}.get(c.split()[1], "object")) for c in schema.split(", ")})
     used = cells.select(*keys, F.col(node).cast("bigint").alias(node), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(F.col(node).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
     return spread(used, keys).groupBy(*keys).applyInPandas(run, schema)
 

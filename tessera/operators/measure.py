@@ -17,7 +17,7 @@ def unit_pixels(pixels: DataFrame, channels: list[str], bits: int = 12) -> DataF
 
 def overflowing(pixels: DataFrame, channels: list[str], bits: int) -> DataFrame:
     """Layers whose pixels exceed 2 ** bits in any channel, with the maximum; none if the bit depth holds."""
-    tops = pixels.groupBy(*LAYER).agg(F.greatest(*[F.max(c) for c in channels]).alias("top"))
+    tops = pixels.groupBy(*LAYER).agg(F.array_max(F.array(*[F.max(c) for c in channels])).alias("top"))
     return tops.filter(F.col("top") > float(1 << bits))
 
 
@@ -79,12 +79,12 @@ def resampling_weights(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
     return gaps.withColumn("weight", F.col("gap") / F.col("multiplicity") / F.nullif(F.sum("gap").over(Window.partitionBy(*keys)), F.lit(0.0)))
 
 
-def resample(rows: DataFrame, keys: list[str], x: str, size: int, seed: int = 3) -> DataFrame:
-    """Draw ``size`` values of x per group with replacement by :func:`resampling_weights` (inverse of the cumulated weights)."""
+def resample(rows: DataFrame, keys: list[str], x: str, size: int) -> DataFrame:
+    """Draw ``size`` values of x per group with replacement by :func:`resampling_weights`: the inverse of the cumulated weights at even steps."""
     w = resampling_weights(rows, keys, x).filter("weight > 0").withColumn("share", F.col("weight") * F.col("multiplicity"))
     upto = F.sum("share").over(Window.partitionBy(*keys).orderBy(x))
     steps = w.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("share"))
-    draws = steps.withColumn("_from", F.ceil(F.col("_lo") * size)).withColumn("_to", F.ceil(F.col("_hi") * size) - 1).filter(F.col("_to") >= F.col("_from"))
+    draws = steps.withColumn("_from", F.ceil(F.round(F.col("_lo") * size, 6))).withColumn("_to", F.ceil(F.round(F.col("_hi") * size, 6)) - 1).filter(F.col("_to") >= F.col("_from"))
     return draws.withColumn("draw", F.explode(F.sequence("_from", "_to"))).select(*keys, x, "draw")
 
 

@@ -198,7 +198,7 @@ def exact_percentiles(values: DataFrame, keys: list[str], column: str, wanted: D
     A bracket that misses its rank (see ``failure``) gives no row.
     """
     asked = wanted.select(*keys, "n", "pct", "low", "high")
-    joined = values.join(asked, keys).withColumn("_in", F.when(F.col(column) < F.col("low"), -1).when(F.col(column) <= F.col("high"), 0).otherwise(1)).filter("_in <= 0")
+    joined = values.select(*keys, column).join(asked, keys).withColumn("_in", F.when(F.col(column) < F.col("low"), -1).when(F.col(column) <= F.col("high"), 0).otherwise(1)).filter("_in <= 0")
     counts = joined.groupBy(*keys, "n", "pct", "_in", F.when(F.col("_in") == 0, F.col(column)).alias("value")).agg(F.count("*").alias("_c"))
     order = Window.partitionBy(*keys, "pct").orderBy("_in", "value")
     ranked = counts.withColumn("_to", F.sum("_c").over(order)).withColumn("_rank", F.ceil(F.col("pct") * F.col("n") / 100))

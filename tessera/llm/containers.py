@@ -98,7 +98,7 @@ def pack(sizes: DataFrame, capacity: int, group: int = GROUP, turns: int = 4, sl
     containers each group could do with. Groups above their bound, and the containers of all groups that
     are left with more than ``slack`` of the capacity free, give up the pieces of their open containers;
     these are dealt into new groups, which mixes pieces of different groups, and packed again. A turn
-    counts only if it saves containers; it ends when no turn does, at the bound, or after ``turns``.
+    counts only if it saves containers; it ends at the bound or after ``turns``.
 
     No text is split unless it alone exceeds ``capacity``, and every piece is in exactly one container.
     Repeated doc_ids are packed as often as they occur. No texts, no containers.
@@ -109,19 +109,23 @@ def pack(sizes: DataFrame, capacity: int, group: int = GROUP, turns: int = 4, sl
     closed: list[DataFrame] = []
     count = waiting.count()
     current = cut(_packed(waiting, capacity, max(1, math.ceil(count / group)), 0), "packed")
+    released = None
     for turn in range(1, turns + 1):
         open_ = (F.col("fill") < (1 - slack) * capacity) | ((F.col("used") > F.col("bound")) & (F.col("fill") < capacity - 1))
-        released = cut(current.filter(open_), "released")
-        before = released.select("turn", "part", "container").distinct().count()
-        freed, total = released.agg(F.count("*"), F.sum("tokens")).first()
+        if released is None:
+            released = cut(current.filter(open_), "released")
+            before = released.select("turn", "part", "container").distinct().count()
+            freed, total = released.agg(F.count("*"), F.sum("tokens")).first()
         if before <= 1 or before <= math.ceil((total or 0) / capacity):
             break
         again = cut(_packed(released.select("doc_id", "piece_no", "tokens"), capacity, max(1, math.ceil(freed / group)), turn), "packed")
         if again.select("turn", "part", "container").distinct().count() >= before:
-            break
+            discard(again)
+            continue
         closed.append(current.filter(~open_))
         current = again
         discard(released)
+        released = None
     out = current
     for part in closed:
         out = out.unionByName(part)

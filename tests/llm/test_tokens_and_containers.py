@@ -40,7 +40,7 @@ def packed(spark, rows, capacity, **k):
 
 def test_every_text_whole_or_split_in_order(spark):
     rows = [(i, int(t)) for i, t in enumerate(np.random.default_rng(0).integers(0, 90, 800))] + [(900, 250), (901, 100), (902, 101), (903, None), (904, 0)]
-    bins, pieces = packed(spark, rows, 100, group=100)
+    bins, pieces = packed(spark, rows, 100, group=200)
     assert sum(bins.values()) == sum(t or 0 for _, t in rows)
     assert {i for i, p in pieces.items() if len(p) > 1} == {900, 902} and 903 not in pieces
     assert sorted(pieces[900]) == [(0, 100), (1, 100), (2, 50)] and sorted(pieces[902]) == [(0, 100), (1, 1)]

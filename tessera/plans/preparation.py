@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import nested, schema_drift, small_files
 from tessera.operators.orphans import Orphans, orphan_references
-from tessera.session import load
+from tessera.session import cut, load
 
 KEY = ["ref_field", "stack", "layer", "ref_id"]
 
@@ -73,7 +73,7 @@ def _references(spark: SparkSession, d: str) -> Orphans:
         documents.select(ref("feed.layer_ids"), "stack", "layer", F.col("layer").alias("ref_id")),
     ]
     together = lambda parts: reduce(DataFrame.unionByName, parts)
-    return orphan_references(together(refs), together(targets), KEY, "ref_month")
+    return orphan_references(refs[0].unionByName(cut(together(refs[1:]), "refs")), targets[0].unionByName(cut(together(targets[1:]), "targets")), KEY, "ref_month")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -135,6 +135,28 @@ def filter_long(edges: DataFrame, keys: list[str], most: float = 0.1) -> DataFra
     return _reconnected(edges.filter(F.col("length") <= most), edges.filter(F.col("length") > most), keys)
 
 
+def drop_hull(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges that two triangles share."""
+    rim = hull_edges(edges, keys).select(*keys, F.col("src").alias("_a"), F.col("dst").alias("_b"))
+    paired = edges.withColumn("_a", F.least("src", "dst")).withColumn("_b", F.greatest("src", "dst"))
+    return paired.join(rim, [*keys, "_a", "_b"], "left_anti").drop("_a", "_b")
+
+
+def filter_wide(edges: DataFrame, cells: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
+    """Edges without outer ones that span too wide an angle about the origin; a node that would lose all keeps its shortest.
+
+    Outer are edges whose nearer end lies beyond the median of such radii, too wide those of at least
+    5.5 / sqrt(cells of the layer).
+    """
+    ends = cells.select(*keys, node, F.hypot("x", "y").alias("radius"), F.atan2("y", "x").alias("angle"))
+    polar = with_attribute(with_attribute(edges, ends, keys, "radius", node), ends, keys, "angle", node)
+    turn = F.abs(F.col("angle_src") - F.col("angle_dst"))
+    polar = polar.withColumn("_r", F.least("radius_src", "radius_dst")).withColumn("_t", F.when(turn > F.lit(3.141592653589793), 2 * 3.141592653589793 - turn).otherwise(turn))
+    middle = polar.groupBy(*keys).agg(F.median("_r").alias("_m")).join(cells.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    judged = polar.join(middle, keys).withColumn("_wide", (F.col("_r") > F.col("_m")) & (F.col("_t") >= 5.5 / F.sqrt("_n")))
+    return _reconnected(judged.filter("not _wide"), judged.filter("_wide"), keys)
+
+
 def drop_longest(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Edges without the longest of each triangle (ties: the largest src and dst)."""
     worst = Window.partitionBy(*keys, "triangle").orderBy(F.desc("length"), F.desc("src"), F.desc("dst"))

@@ -7,6 +7,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -227,6 +229,38 @@ def required_samples(mixture: Mixture, ratio: float = 5.0) -> float:
     return max((ratio * max(math.sqrt(mixture.variances[i][0]), math.sqrt(mixture.variances[j][0])) / max(abs(mixture.means[i][0] - mixture.means[j][0]), 1e-12)) ** 2 for i, j in pairs)
 
 
+def kmeans_labels(rows: DataFrame, columns: list[str], clusters: int, labels: int, log: bool = True, seed: int = 1) -> DataFrame:
+    """Add ``label``: k-means clusters of the (log) columns in order of their first centre, grouped into ``labels`` contiguous labels.
+
+    Rows with a null (or, for logarithms, a value that is not positive) get null.
+    """
+    names = [f"_v{i}" for i in range(len(columns))]
+    seen = rows.withColumns(dict(zip(names, domain(columns, log), strict=True)))
+    known = " and ".join(f"{n} is not null" for n in names)
+    assembler = VectorAssembler(inputCols=names, outputCol="_features")
+    model = KMeans(k=clusters, seed=seed, featuresCol="_features", predictionCol="_cluster").fit(assembler.transform(seen.filter(known)))
+    centres = sorted(enumerate(model.clusterCenters()), key=lambda c: c[1][0])
+    groups = component_labels(Mixture((1.0,) * len(centres), tuple((float(c[0]),) for _, c in centres), ((1.0,),) * len(centres), log=log), labels)
+    label = F.create_map(*[F.lit(x) for (cluster, _), g in zip(centres, groups, strict=True) for x in (cluster, g)])
+    done = model.transform(assembler.transform(seen.filter(known))).withColumn("label", label[F.col("_cluster")])
+    return done.unionByName(seen.filter(f"not ({known})"), allowMissingColumns=True).drop(*names, "_features", "_cluster")
+
+
+def density_threshold(rows: DataFrame, density: str, seed: int = 1) -> float:
+    """Largest density of the lower of two k-means clusters of its decimal logarithm."""
+    data = rows.filter(F.col(density) > 0).select(density, F.log10(density).alias("_l"))
+    model = KMeans(k=2, seed=seed, featuresCol="_f", predictionCol="_c").fit(features := VectorAssembler(inputCols=["_l"], outputCol="_f").transform(data))
+    low = min(range(2), key=lambda c: model.clusterCenters()[c][0])
+    return float(model.transform(features).filter(F.col("_c") == low).agg(F.max(density)).first()[0])
+
+
+def grid_mask(layers: DataFrame, height: int, width: int, value: Column, thresholds: list[float]) -> DataFrame:
+    """Bins of an expression of x and y (from 0 to 1) over a pixel grid of each layer: row, col, bin (how many thresholds it reaches)."""
+    grid = layers.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    placed = grid.withColumn("x", F.col("col") / F.lit(max(1, width - 1))).withColumn("y", F.col("row") / F.lit(max(1, height - 1))).withColumn("_v", value)
+    return placed.withColumn("bin", sum((F.when(F.col("_v") >= t, 1).otherwise(0) for t in thresholds), F.lit(0))).drop("x", "y", "_v")
+
+
 def kernel_density(rows: DataFrame, keys: list[str], x: str, y: str, bandwidth: float, node: str = "node") -> DataFrame:
     """Add ``density``: mean Gaussian kernel of the layer's cells at each cell, summed over cells within four bandwidths by the grid join."""
     cells = rows.select(*keys, node, F.col(x).alias("x"), F.col(y).alias("y"))

@@ -579,3 +579,32 @@ def ecdf(spark: SparkSession, d: str) -> DataFrame:
 SELECT stack, bin, n, round(n / w, 6) AS density FROM b""")
 def epdf(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.epdf(cells(spark, d), ["stack"], "ch0", 25), "density")
+
+
+@query()
+def wide_edges(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d)
+    listed = cut(graphs.triangle_edges(graphs.triangles(c, KEYS, "cell_id"), KEYS), "edges")
+    return graphs.filter_wide(graphs.drop_hull(listed, KEYS), c, KEYS, "cell_id")
+
+
+@query()
+def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
+    return mixture_models.kmeans_labels(_markers(spark, d), ["m"], 6, 3).select("cell_id", "label")
+
+
+@query()
+def dense_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells denser than the threshold between two classes of density."""
+    dense = cut(mixture_models.kernel_density(cells(spark, d), KEYS, "x", "y", 20.0, node="cell_id").select("cell_id", "density"), "density")
+    return dense.filter(F.col("density") > mixture_models.density_threshold(dense, "density"))
+
+
+_PLANE = "0.5 * col / 31 + 0.5 * row / 31"
+
+
+@query(f"WITH g AS (SELECT DISTINCT stack, layer, unnest(range(32)) AS row FROM cell_measurements), p AS (SELECT *, unnest(range(32)) AS col FROM g) SELECT stack, layer, ({_PLANE} >= 0.3)::INT + ({_PLANE} >= 0.7)::INT AS bin, count(*) AS n FROM p GROUP BY ALL")
+def plane_mask(spark: SparkSession, d: str) -> DataFrame:
+    layers = load(spark, d, "cell_measurements").select(*KEYS).distinct()
+    mask = mixture_models.grid_mask(layers, 32, 32, 0.5 * F.col("x") + 0.5 * F.col("y"), [0.3, 0.7])
+    return mask.groupBy(*KEYS, "bin").agg(F.count("*").alias("n"))

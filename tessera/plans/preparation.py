@@ -106,7 +106,22 @@ layer_contours AS (SELECT file_id, stack, deleted_at, layer, c, {_id("c")} AS id
 feud_layers AS (SELECT file_id, stack, written_at, unnest(json_extract(body, '$.layers[*]')) AS l FROM f WHERE kind = 'feud'),
 feud_contours AS (SELECT file_id, stack, written_at, {_id("l")} AS layer, c, {_id("c")} AS id FROM (SELECT *, unnest(json_extract(l, '$.contours[*]')) AS c FROM feud_layers))"""
 
+KIND = "CASE json_type({0}) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN NULL ELSE 'number' END"
+MEMBER = """json_extract({}, '$."' || k || '"')"""
+
+CHANGES = f"""params AS (SELECT file_id, k, {MEMBER.format("p")} AS v FROM (SELECT file_id, json_extract(body, '$.params') AS p, unnest(json_keys(json_extract(body, '$.params'))) AS k FROM f WHERE kind = 'metadata')),
+avg AS (SELECT file_id, json_extract(c, '$.color_avg') AS a FROM layer_contours),
+named AS (SELECT file_id, a, k, {MEMBER.format("a")} AS v FROM (SELECT file_id, a, unnest(json_keys(a)) AS k FROM avg WHERE json_type(a) = 'OBJECT')
+ UNION ALL SELECT file_id, a, json_extract_string(e, '$.channel'), json_extract(e, '$.value') FROM (SELECT file_id, a, unnest(json_extract(a, '$[*]')) AS e FROM avg WHERE json_type(a) = 'ARRAY')),
+h AS (SELECT file_id, field, min(type) AS type FROM (SELECT file_id, 'params.' || k AS field, {KIND.format("v")} AS type FROM params UNION ALL SELECT file_id, 'color_avg.' || k, {KIND.format("v")} FROM named
+ UNION ALL SELECT file_id, 'color_avg', {KIND.format("a")} FROM named WHERE json_type(v) <> 'NULL') WHERE type IS NOT NULL GROUP BY ALL),
+s AS (SELECT file_id, lag(file_id) OVER (PARTITION BY stack, kind ORDER BY written_at, file_id) AS before FROM f WHERE kind = 'metadata' OR (kind = 'layer' AND file_id IN (SELECT file_id FROM h))),
+c AS (SELECT file_id, field, type FROM s JOIN h USING (file_id) WHERE before IS NOT NULL), b AS (SELECT s.file_id, field, type FROM s JOIN h ON h.file_id = s.before),
+j AS (SELECT coalesce(c.file_id, b.file_id) AS file_id, coalesce(c.field, b.field) AS field, c.type AS ct, b.type AS bt FROM c FULL JOIN b ON c.file_id = b.file_id AND c.field = b.field),
+n AS (SELECT file_id, count(*) FILTER (ct IS NULL) = 1 AND count(*) FILTER (bt IS NULL) = 1 AS renamed FROM j GROUP BY file_id)"""
+
 SQL: dict[str, str] = {
+    "p3_found": f"WITH {DOCUMENTS}, {CHANGES} SELECT file_id, field, CASE WHEN ct <> bt THEN 'retyped' WHEN renamed THEN 'renamed' WHEN ct IS NULL THEN 'removed' ELSE 'added' END AS change_kind FROM j JOIN n USING (file_id) WHERE ct <> bt OR bt IS NULL OR (ct IS NULL AND NOT renamed)",
     "p2_found": f"WITH {RECORDS} SELECT file_id, line_no::INT AS line_no FROM r WHERE n > 1",
     "p5_found": f"""WITH {DOCUMENTS}, m AS (SELECT file_id, layer, id, unnest(['color_avg', 'color_std']) AS s, unnest([json_extract(c, '$.color_avg'), json_extract(c, '$.color_std')]) AS v FROM layer_contours),
 by_name AS (SELECT file_id, layer, id, s, unnest(json_keys(v)) AS k, v FROM m WHERE json_type(v) = 'OBJECT'), entries AS (SELECT file_id, layer, id, s, unnest(json_extract(v, '$[*]')) AS e FROM m WHERE json_type(v) = 'ARRAY')

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import running_totals
+
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation, a column per share. Nulls do not count."""
@@ -12,11 +14,10 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str,
 
 
 def ecdf(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values with the share of rows below each. Runs over distinct values; nulls do not count."""
+    """Distinct values with the share of rows below each. Runs over distinct values, in chunks of their order; nulls do not count."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*keys)
-    below = F.sum("_n").over(whole.orderBy(value)) - F.col("_n")
-    return counts.withColumn("share_below", below / F.sum("_n").over(whole)).drop("_n")
+    cum = running_totals(counts, keys, [value], ["_n"])
+    return cum.select(*keys, value, ((F.col("_n_upto") - F.col("_n")) / F.col("_n_all")).alias("share_below"))
 
 
 def epdf(rows: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:

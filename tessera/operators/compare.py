@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.measure import LAYER
+from tessera.operators.ordering import running_totals
 
 
 def population_pairs(rows: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
@@ -43,19 +44,19 @@ def _two(rows: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
 def ks_statistics(rows: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
     """Largest gap between the empirical distributions of each pair of labels, with both sizes.
 
-    Runs over distinct values; a pair's values are put in order by one window.
+    Runs over distinct values, in chunks of their order.
     """
-    both, up = _two(rows, keys, label, value), Window.partitionBy(*keys, "a", "b")
-    cum = both.withColumn("_a", F.sum("ca").over(up.orderBy(value))).withColumn("_b", F.sum("cb").over(up.orderBy(value))).withColumn("_na", F.sum("ca").over(up)).withColumn("_nb", F.sum("cb").over(up))
-    return cum.groupBy(*keys, "a", "b").agg(F.max(F.abs(F.col("_a") / F.col("_na") - F.col("_b") / F.col("_nb"))).alias("ks"), F.max("_na").alias("n_a"), F.max("_nb").alias("n_b"))
+    pair = [*keys, "a", "b"]
+    cum = running_totals(_two(rows, keys, label, value), pair, [value], ["ca", "cb"])
+    return cum.groupBy(*pair).agg(F.max(F.abs(F.col("ca_upto") / F.col("ca_all") - F.col("cb_upto") / F.col("cb_all"))).alias("ks"), F.max("ca_all").alias("n_a"), F.max("cb_all").alias("n_b"))
 
 
 def mann_whitney(rows: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
     """U of the first label of each pair, by midranks, with the tie term of its variance."""
-    both, up = _two(rows, keys, label, value), Window.partitionBy(*keys, "a", "b")
-    size = F.col("ca") + F.col("cb")
-    ranked = both.withColumn("_t", size).withColumn("_upto", F.sum("_t").over(up.orderBy(value))).withColumn("_mid", F.col("_upto") - (F.col("_t") - 1) / 2)
-    sums = ranked.groupBy(*keys, "a", "b").agg(F.sum(F.col("_mid") * F.col("ca")).alias("_r"), F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"), F.sum(F.pow(F.col("_t").cast("double"), F.lit(3.0)) - F.col("_t")).alias("ties"))
+    pair = [*keys, "a", "b"]
+    both = _two(rows, keys, label, value).withColumn("t", F.col("ca") + F.col("cb"))
+    ranked = running_totals(both, pair, [value], ["t"]).withColumn("_mid", F.col("t_upto") - (F.col("t") - 1) / 2)
+    sums = ranked.groupBy(*pair).agg(F.sum(F.col("_mid") * F.col("ca")).alias("_r"), F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"))
     return sums.withColumn("u", F.col("_r") - F.col("n_a") * (F.col("n_a") + 1) / 2).drop("_r")
 
 

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import brute
 
 from tessera.operators import schema_drift
-from tessera.operators.ordering import with_previous
+from tessera.operators.ordering import running_totals, with_previous
 
 SCHEMA = "file_id bigint, stack string, kind string, layer int, written_at timestamp, arrived_at timestamp, deleted_at timestamp, body string, field string, before int, _chunk int"
 
@@ -70,3 +70,13 @@ def test_previous_in_a_group_that_holds_nearly_all_rows(spark):
     got = {(r.k, r.o): r.p for r in with_previous(df, ["k"], ["o"], "v", "p").collect()}
     assert all(got["hot", i] == (f"v{i - 1}" if i else None) for i in range(5000))
     assert got["a", 1] is None and got[None, 1] is None and got[None, 2] == "y"
+
+
+def test_running_totals_in_a_group_that_holds_nearly_all_rows(spark):
+    rows = [("hot", i, i % 7) for i in range(4000)] + [(None, 1, 5), (None, 2, None), ("a", 0, 2)]
+    got = {(r.k, r.o): (r.v_upto, r.v_all) for r in running_totals(spark.createDataFrame(rows, "k string, o int, v int"), ["k"], ["o"], ["v"]).collect()}
+    total = 0
+    for i in range(4000):
+        total += i % 7
+        assert got["hot", i][0] == total
+    assert got["hot", 0][1] == total and got[None, 1] == (5, 5) and got[None, 2] == (5, 5) and got["a", 0] == (2, 2)

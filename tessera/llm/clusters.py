@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut, discard
@@ -32,8 +32,9 @@ def markov_clusters(edges: DataFrame, inflation: float = 2.0, prune: float = 1e-
 
     The matrix is a table (i, j, v), column j holding where the flow from j goes. Each round squares it
     by a join on the middle index and a sum, raises entries to ``inflation``, normalises columns, and
-    drops entries under ``prune`` of a column that are not its largest. The matrix is written to the
-    shared folder each round. It ends when every column's largest entry equals its sum of squares
+    drops entries under ``prune`` of a column that are not its largest: all that over windows of one
+    column, which pruning keeps to 1 / ``prune`` entries. Writing the matrix to the shared folder also
+    observes how far it has come, so a round is one job. It ends when every column's largest entry equals its sum of squares
     within ``tolerance`` (no column is undecided), or after ``most`` rounds.
 
     A node that keeps flow to itself is an attractor; attractors that flow to each other are one system,
@@ -43,16 +44,18 @@ def markov_clusters(edges: DataFrame, inflation: float = 2.0, prune: float = 1e-
     """
     good = edges.filter("src is not null and dst is not null and weight > 0 and not isnan(weight)")
     m = cut(_normalised(good.groupBy(F.col("dst").alias("i"), F.col("src").alias("j")).agg(F.sum("weight").alias("v"))), "markov")
+    column = Window.partitionBy("j")
     for done in range(1, most + 1):
         left, right = m.select("i", F.col("j").alias("k"), F.col("v").alias("a")), m.select(F.col("i").alias("k"), "j", F.col("v").alias("b"))
         squared = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
-        columns = squared.groupBy("j").agg(F.max("v").alias("_top"), F.sum(F.pow("v", F.lit(inflation))).alias("_s"))
-        raised = squared.join(columns, "j").select("i", "j", (F.pow("v", F.lit(inflation)) / F.col("_s")).alias("v"), (F.col("v") == F.col("_top")).alias("_is_top"))
-        after = cut(_normalised(raised.filter(F.col("_is_top") | (F.col("v") >= prune)).drop("_is_top")), "markov")
+        raised = squared.withColumn("v", F.pow("v", F.lit(inflation))).withColumn("v", F.col("v") / F.sum("v").over(column)).withColumn("_most", F.max("v").over(column))
+        kept = raised.filter((F.col("v") >= prune) | (F.col("v") == F.col("_most")))
+        scaled = kept.withColumn("v", F.col("v") / F.sum("v").over(column)).withColumn("_open", F.max("v").over(column) - F.sum(F.col("v") * F.col("v")).over(column))
+        seen = Observation()
+        after = cut(scaled.observe(seen, F.max("_open").alias("open")).select("i", "j", "v"), "markov")
         discard(m)
-        m = after
-        open_columns = m.groupBy("j").agg((F.max("v") - F.sum(F.col("v") * F.col("v"))).alias("c")).agg(F.max("c")).first()[0]
-        if open_columns is None or open_columns < tolerance:
+        m, undecided = after, seen.get["open"]
+        if undecided is None or undecided < tolerance:
             break
     attractors = m.filter((F.col("i") == F.col("j")) & (F.col("v") > tolerance)).select(F.col("i").alias("a"))
     system = m.join(attractors.withColumnRenamed("a", "j"), "j", "left_semi").filter(F.col("v") > tolerance).groupBy(F.col("j").alias("i")).agg(F.min("i").alias("cluster"))
@@ -60,7 +63,7 @@ def markov_clusters(edges: DataFrame, inflation: float = 2.0, prune: float = 1e-
     best = to.groupBy("j").agg(F.min(F.struct((-F.round("v", 9)).alias("v"), "cluster")).alias("b")).select(F.col("j").alias("node"), F.col("b.cluster").alias("cluster"))
     flow = m.groupBy(F.col("i").alias("node")).agg(F.sum("v").alias("flow"))
     nodes = best.join(flow, "node", "left").fillna(0.0, ["flow"])
-    return MarkovClusters(nodes, done, open_columns is None or open_columns < tolerance)
+    return MarkovClusters(nodes, done, undecided is None or undecided < tolerance)
 
 
 def considered_cells(cells: DataFrame) -> DataFrame:

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import graphs
+from tessera.operators.ordering import running_totals
 from tessera.session import cut
 
 
@@ -70,76 +73,117 @@ def responsibilities(mixture: Mixture, columns: list[Column]) -> Column:
     return F.when(known, F.array(*[p / F.greatest(total, F.lit(1e-300)) for p in parts]))
 
 
-def fit(rows: DataFrame, columns: list[str], k: int, log: bool = True, rounds: int = 100, tolerance: float = 1e-6, least_variance: float = 1e-6, step: float = 1e-3, together: int = 50_000) -> Mixture:
-    """Expectation-maximisation on the counts of values rounded to ``step``.
+def _sums(model: Mixture, values: np.ndarray, counts: np.ndarray) -> tuple[float, list, list, list]:
+    """Log-likelihood of counted values, and each component's share of rows, of values and of their squares.
+
+    Shares come from log densities less their maximum, so a value far from all components still has a full share.
+    """
+    means, variances = np.array(model.means), np.array(model.variances)
+    logs = np.log(model.weights) - 0.5 * np.log(2 * np.pi * variances).sum(axis=1) - sum((values[:, d, None] - means[:, d]) ** 2 / (2 * variances[:, d]) for d in range(values.shape[1]))
+    top = logs.max(axis=1, keepdims=True)
+    r = np.exp(logs - top)
+    total = r.sum(axis=1, keepdims=True)
+    r *= counts[:, None] / total
+    return float((top[:, 0] + np.log(total[:, 0])) @ counts), r.sum(axis=0).tolist(), (r.T @ values).tolist(), (r.T @ values**2).tolist()
+
+
+def _flat(sums: tuple[float, list, list, list]) -> np.ndarray:
+    return np.concatenate([np.ravel(x) for x in sums])
+
+
+def _shaped(flat: np.ndarray, k: int, d: int) -> tuple[float, list, list, list]:
+    """The inverse of :func:`_flat` for ``k`` components of ``d`` dimensions."""
+    at = 1 + k + k * d
+    return float(flat[0]), flat[1 : 1 + k].tolist(), flat[1 + k : at].reshape(k, d).tolist(), flat[at:].reshape(k, d).tolist()
+
+
+def _moved(model: Mixture, sums: tuple[float, list, list, list], n: int, least_variance: float) -> Mixture:
+    """The mixture that a round's sums give."""
+    likelihood, sizes, firsts, seconds = sums
+    weights, means, variances = [], [], []
+    for j in range(len(sizes)):
+        kept = sizes[j] > 1e-9
+        middle = tuple(x / sizes[j] for x in firsts[j]) if kept else model.means[j]
+        weights.append(max(sizes[j] / n, 1e-12))
+        means.append(middle)
+        variances.append(tuple(max(y / sizes[j] - m * m, least_variance) for y, m in zip(seconds[j], middle, strict=True)) if kept else model.variances[j])
+    order = sorted(range(len(sizes)), key=lambda j: means[j])
+    return Mixture(tuple(weights[j] for j in order), tuple(means[j] for j in order), tuple(variances[j] for j in order), likelihood, n, model.log)
+
+
+def fit_each(rows: DataFrame, columns: list[str], counts: list[int], log: bool = True, rounds: int = 100, tolerance: float = 1e-6, least_variance: float = 1e-6, step: float = 1e-3, together: int = 50_000) -> list[Mixture]:
+    """Expectation-maximisation on the counts of values rounded to ``step``, for each number of components in ``counts``.
 
     Counting is one aggregate that combines before its shuffle and makes one dimension a few thousand rows
-    whatever the input. Up to ``together`` rows are iterated here; more stay a table, and each round is an
-    aggregate over it with the parameters in the plan. Starts from evenly spaced percentiles of the first
-    column, so results do not depend on a seed. Rows with a null (or, for logarithms, a value that is not
-    positive) do not count. At most ``rounds`` rounds, until the mean log-likelihood gains less than
-    ``tolerance``. Components that lose all rows keep their place with no weight. Raises ValueError
-    without rows.
+    whatever the input. Up to ``together`` rows are iterated here; more stay a table, and each round is one
+    pass over it for all mixtures that still move, with the parameters in the plan. Both ways run the same
+    :func:`_sums`. Starts from evenly spaced percentiles of the first column's counted values, so results do
+    not depend on a seed. Rows with a null (or, for logarithms, a value that is not positive) do not count.
+    At most ``rounds`` rounds, until the mean log-likelihood gains less than ``tolerance``. Components that
+    lose all rows keep their place with no weight. Raises ValueError without rows.
     """
     names = [f"v{i}" for i in range(len(columns))]
     data = rows.select(*[(F.round(c / step) * step).alias(n) for n, c in zip(names, domain(columns, log), strict=True)]).dropna()
     data = cut(data.groupBy(*names).agg(F.count("*").alias("_n")), "sample")
-    size = data.count()
+    moments = [s for c in names for s in ((F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"m_{c}"), (F.sum(F.col("_n") * F.col(c) * F.col(c)) / F.sum("_n")).alias(f"q_{c}"))]
+    first = data.agg(F.count("*").alias("size"), F.sum("_n").alias("n"), *moments).first()
+    n, size = first["n"], first["size"]
     if not size:
         raise ValueError("there are no rows to fit")
+    ranks = sorted({max(1, math.ceil((i + 0.5) / k * n)) for k in counts for i in range(k)})
+    totals = running_totals(data.groupBy("v0").agg(F.sum("_n").alias("_n")), [], ["v0"], ["_n"])
+    hit = totals.withColumn("_at", F.explode(F.array(*map(F.lit, ranks)))).filter("_n_upto >= _at and _n_upto - _n < _at")
+    starts = {r["_at"]: r["v0"] for r in hit.select("_at", "v0").collect()}
+    spread = [first[f"q_{c}"] - first[f"m_{c}"] ** 2 for c in names]
+    models = []
+    for k in counts:
+        var = tuple(max(float(s) / (k * k if d == 0 else 1), least_variance) for d, s in enumerate(spread))
+        others = tuple(float(first[f"m_{c}"]) for c in names[1:])
+        models.append(Mixture((1 / k,) * k, tuple((float(starts[max(1, math.ceil((i + 0.5) / k * n))]), *others) for i in range(k)), (var,) * k, log=log))
     if size <= together:
         local = data.toPandas().sort_values(names)
-        values, counts = local[names].to_numpy(), local["_n"].to_numpy(dtype=float)
-        n = int(counts.sum())
-        at = np.searchsorted(np.cumsum(counts), [(i + 0.5) / k * n for i in range(k)])
-        starts, mean = values[np.minimum(at, len(values) - 1), 0], np.average(values, axis=0, weights=counts)
-        spread = np.average((values - mean) ** 2, axis=0, weights=counts)
-    else:
-        moments = [s for c in names for s in ((F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"m_{c}"), (F.sum(F.col("_n") * F.col(c) * F.col(c)) / F.sum("_n")).alias(f"q_{c}"))]
-        first = data.agg(F.sum("_n").alias("n"), F.percentile_approx("v0", [(i + 0.5) / k for i in range(k)], 10_000).alias("q"), *moments).first()
-        n, starts, mean = first["n"], first["q"], [first[f"m_{c}"] for c in names]
-        spread = [first[f"q_{c}"] - first[f"m_{c}"] ** 2 for c in names]
-    var = tuple(max(float(s) / (k * k if d == 0 else 1), least_variance) for d, s in enumerate(spread))
-    model = Mixture((1 / k,) * k, tuple((float(q), *map(float, mean[1:])) for q in starts), (var,) * k, log=log)
-
-    def here(model: Mixture) -> tuple[float, list, list, list]:
-        means, variances = np.array(model.means), np.array(model.variances)
-        logs = np.log(model.weights) - 0.5 * (np.log(2 * np.pi * variances).sum(axis=1) + ((values[:, None, :] - means) ** 2 / variances).sum(axis=2))
-        top = logs.max(axis=1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
-        r = np.exp(logs - total[:, None]) * counts[:, None]
-        return float(total @ counts), r.sum(axis=0).tolist(), (r.T @ values).tolist(), (r.T @ values**2).tolist()
-
-    def there(model: Mixture) -> tuple[float, list, list, list]:
-        parts = component_densities(model, [F.col(c) for c in names])
-        shared = data.withColumn("_t", F.greatest(sum(parts[1:], parts[0]), F.lit(1e-300))).withColumn("_r", F.array(*[p / F.col("_t") * F.col("_n") for p in parts]))
-        r = [F.col("_r")[j] for j in range(k)]
-        row = shared.agg(F.sum(F.ln("_t") * F.col("_n")), *[F.sum(x) for x in r], *[F.sum(x * F.col(c)) for x in r for c in names], *[F.sum(x * F.col(c) * F.col(c)) for x in r for c in names]).first()
-        wide = lambda part: [list(part[j * len(names) : (j + 1) * len(names)]) for j in range(k)]
-        sums = list(row)[1 + k :]
-        return row[0], list(row)[1 : 1 + k], wide(sums[: k * len(names)]), wide(sums[k * len(names) :])
-
-    before = -math.inf
+        values, held = local[names].to_numpy(), local["_n"].to_numpy(dtype=float)
+
+    def here(at: list[int]) -> list[tuple[float, list, list, list]]:
+        return [_sums(models[i], values, held) for i in at]
+
+    def there(at: list[int]) -> list[tuple[float, list, list, list]]:
+        now = [models[i] for i in at]
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                table = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+                part = np.concatenate([_flat(_sums(m, table[:, :-1], table[:, -1])) for m in now])
+                total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        flat = sum(np.array(r[0]) for r in data.select(*names, "_n").mapInArrow(partial, "sums array<double>").collect())
+        ends = np.cumsum([1 + len(m.weights) * (1 + 2 * len(names)) for m in now])[:-1]
+        return [_shaped(x, len(m.weights), len(names)) for x, m in zip(np.split(flat, ends), now, strict=True)]
+
+    moving, before = list(range(len(models))), [-math.inf] * len(models)
     for _ in range(rounds):
-        likelihood, sizes, firsts, seconds = (here if size <= together else there)(model)
-        weights, means, variances = [], [], []
-        for j in range(k):
-            kept = sizes[j] > 1e-9
-            middle = tuple(x / sizes[j] for x in firsts[j]) if kept else model.means[j]
-            weights.append(max(sizes[j] / n, 1e-12))
-            means.append(middle)
-            variances.append(tuple(max(y / sizes[j] - m * m, least_variance) for y, m in zip(seconds[j], middle, strict=True)) if kept else model.variances[j])
-        order = sorted(range(k), key=lambda j: means[j])
-        model = Mixture(tuple(weights[j] for j in order), tuple(means[j] for j in order), tuple(variances[j] for j in order), likelihood, n, log)
-        if likelihood - before < tolerance * n:
+        for i, sums in zip(moving, (here if size <= together else there)(moving), strict=True):
+            models[i] = _moved(models[i], sums, n, least_variance)
+        gains = {i: models[i].log_likelihood - before[i] for i in moving}
+        moving = [i for i in moving if gains[i] >= tolerance * n]
+        for i in moving:
+            before[i] = models[i].log_likelihood
+        if not moving:
             break
-        before = likelihood
-    return model
+    return models
+
+
+def fit(rows: DataFrame, columns: list[str], k: int, **settings: object) -> Mixture:
+    """The mixture of ``k`` components, see :func:`fit_each`."""
+    return fit_each(rows, columns, [k], **settings)[0]
 
 
 def select(rows: DataFrame, columns: list[str], least: int = 3, most: int = 10, criterion: str = "bic", log: bool = True) -> tuple[Mixture, list[Mixture]]:
     """The mixture of ``least`` to ``most`` components with the least BIC (or AIC), and all of them."""
-    models = [fit(rows, columns, k, log) for k in range(least, most + 1)]
+    models = fit_each(rows, columns, list(range(least, most + 1)), log)
     return min(models, key=lambda m: getattr(m, criterion)), models
 
 

@@ -118,6 +118,19 @@ def test_mixture_is_recovered(spark):
         mixture_models.fit(rows.limit(0), ["v0"], 2)
 
 
+def test_fit_is_the_same_in_a_table(spark):
+    rng = np.random.default_rng(4)
+    drawn = np.round(np.concatenate([rng.normal(0, 1, 600), rng.normal(6, 1, 300), np.full(500, 6.5), [400.0]]), 3)
+    rows = spark.createDataFrame([(float(v), float(w)) for v, w in zip(drawn, rng.normal(0, 1, len(drawn)), strict=True)], "v double, w double")
+    for columns in (["v"], ["v", "w"]):
+        here, there = (mixture_models.fit(rows, columns, 3, log=False, rounds=5, together=t) for t in (50_000, 0))
+        assert there.log_likelihood == pytest.approx(here.log_likelihood, rel=1e-9) and here.rows == there.rows == len(drawn)
+        for a, b in zip((here.weights, *here.means, *here.variances), (there.weights, *there.means, *there.variances), strict=True):
+            assert a == pytest.approx(b, rel=1e-6)
+    counted = mixture_models.fit(rows, ["v"], 2, log=False, rounds=1, tolerance=0.0, together=0)
+    assert sum(w * m[0] for w, m in zip(counted.weights, counted.means, strict=True)) == pytest.approx(drawn.mean()) and sum(counted.weights) == pytest.approx(1)
+
+
 def test_component_groups():
     m = mixture_models.Mixture((0.25,) * 4, ((0.0,), (0.1,), (2.0,), (2.2,)), ((1.0,),) * 4, log=False)
     assert mixture_models.component_labels(m, 2) == [0, 0, 1, 1] and mixture_models.component_labels(m, 9) == [0, 1, 2, 3]

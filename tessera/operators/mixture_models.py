@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,14 +63,22 @@ def component_densities(mixture: Mixture, columns: list[Column]) -> list[Column]
     return out
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that stands in the plan, and is computed, once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def responsibilities(mixture: Mixture, columns: list[Column]) -> Column:
-    """ARRAY<DOUBLE> of the components' shares in a value's density; null where a column is null."""
-    parts = component_densities(mixture, columns)
-    total = sum(parts[1:], parts[0])
+    """ARRAY<DOUBLE> of the components' shares in a value's density, from log densities less their maximum; null where a column is null."""
+    logs = []
+    for w, mean, var in zip(mixture.weights, mixture.means, mixture.variances, strict=True):
+        scale = math.log(w) - 0.5 * sum(math.log(2 * math.pi * v) for v in var)
+        logs.append(F.lit(scale) - sum((F.pow(c - F.lit(m), F.lit(2.0)) / F.lit(2 * v) for c, m, v in zip(columns, mean, var, strict=True)), F.lit(0.0)))
     known = columns[0].isNotNull()
     for c in columns[1:]:
         known = known & c.isNotNull()
-    return F.when(known, F.array(*[p / F.greatest(total, F.lit(1e-300)) for p in parts]))
+    parts = bound(F.array(*logs), lambda x: F.transform(x, lambda y: F.exp(y - F.array_max(x))))
+    return F.when(known, bound(parts, lambda x: F.transform(x, lambda y: y / F.aggregate(x, F.lit(0.0), lambda a, z: a + z))))
 
 
 def _sums(model: Mixture, values: np.ndarray, counts: np.ndarray) -> tuple[float, list, list, list]:
@@ -208,11 +216,14 @@ def posterior(mixture: Mixture, columns: list[Column], labels: int) -> Column:
     """
     of = component_labels(mixture, labels)
     r = responsibilities(mixture, columns)
-    by_label = F.array(*[sum((r[i] for i, x in enumerate(of) if x == label), F.lit(0.0)) for label in range(labels)])
+    by_label = bound(r, lambda shares: F.array(*[sum((shares[i] for i, x in enumerate(of) if x == label), F.lit(0.0)) for label in range(labels)]))
     low = min(m[0] - 4 * math.sqrt(v[0]) for m, v in zip(mixture.means, mixture.variances, strict=True))
     high = max(m[0] + 4 * math.sqrt(v[0]) for m, v in zip(mixture.means, mixture.variances, strict=True))
     sure = lambda at: F.array(*[F.lit(float(i == at)) for i in range(labels)])
-    return F.when(r.isNotNull(), F.when(columns[0] < low, sure(0)).when(columns[0] > high, sure(labels - 1)).otherwise(by_label))
+    known = F.lit(True)
+    for c in columns:
+        known = known & c.isNotNull()
+    return F.when(known, F.when(columns[0] < low, sure(0)).when(columns[0] > high, sure(labels - 1)).otherwise(by_label))
 
 
 def most_probable(probabilities: Column) -> Column:
@@ -225,18 +236,19 @@ def combined(marginal: Column, bivariate: Column, threshold: float = 0.8) -> Col
     return F.when((F.array_max(bivariate) > threshold) & (F.array_max(marginal) < threshold), bivariate).otherwise(marginal)
 
 
-def annotate(cells: DataFrame, edges: DataFrame, keys: list[str], attribute: str, labels: int = 3, components: int = 4, alpha: float = 0.9, threshold: float = 0.8, node: str = "node") -> DataFrame:
+def annotate(cells: DataFrame, edges: DataFrame, keys: list[str], attribute: str, labels: int = 3, components: int | None = None, alpha: float = 0.9, threshold: float = 0.8, node: str = "node") -> DataFrame:
     """Label cells by attribute and surroundings: cells with ``label`` and ``probability``.
 
     The attribute and its geometric mean over neighbours are modelled together and alone; posteriors of the
-    two models are combined and diffused over weighted edges, and the most probable label is taken. Cells
-    without a positive attribute have no label of their own but may get one from neighbours.
+    two models are combined and diffused over weighted edges, and the most probable label is taken. Either
+    model has ``components`` components, or the number that :func:`select` takes for it. Cells without a
+    positive attribute have no label of their own but may get one from neighbours.
     """
     pairs = graphs.neighbours(edges, keys, 1)
     sampled = cut(graphs.neighbour_means(pairs, cells, keys, attribute, node=node), "sampled")
     around = f"{attribute}_sampled"
     used = sampled.filter("neighbours > 0")
-    both, alone = fit(used, [attribute, around], components), fit(used, [attribute], components)
+    both, alone = (select(used, columns)[0] if components is None else fit(used, columns, components) for columns in ([attribute, around], [attribute]))
     p = combined(posterior(alone, domain([attribute], True), labels), posterior(both, domain([attribute, around], True), labels), threshold)
     none = F.array(*[F.lit(0.0)] * labels)
     columns = [f"p{i}" for i in range(labels)]

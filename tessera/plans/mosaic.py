@@ -468,17 +468,17 @@ def _markers(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mixture_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of cells by a mixture of four components of the marker, in three groups."""
+    """Labels of cells by the selected mixture of the marker, its components in three groups."""
     c = _markers(spark, d)
-    model = mixture_models.fit(c, ["m"], 4)
+    model, _ = mixture_models.select(c, ["m"])
     return c.select("cell_id", mixture_models.most_probable(mixture_models.posterior(model, mixture_models.domain(["m"], True), 3)).alias("label"))
 
 
 @query()
 def model_select(spark: SparkSession, d: str) -> DataFrame:
-    """Log-likelihood, AIC and BIC of mixtures of three to six components beside each stack's mean log-marker."""
+    """Log-likelihood, AIC and BIC of mixtures of three to ten components beside each stack's mean log-marker."""
     c = _markers(spark, d)
-    best, models = mixture_models.select(c, ["m"], 3, 6)
+    best, models = mixture_models.select(c, ["m"])
     rows = F.explode(F.array(*[F.struct(F.lit(len(m.weights)).alias("k"), F.lit(m.log_likelihood).alias("log_likelihood"), F.lit(m.aic).alias("aic"), F.lit(m.bic).alias("bic"), F.lit(m is best).alias("chosen")) for m in models]))
     return c.groupBy("stack").agg(F.avg(F.ln("m")).alias("mean_ln")).withColumn("m", rows).select("stack", "mean_ln", "m.*")
 

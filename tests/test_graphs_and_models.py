@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graphs, mixture_models
+from tessera.plans import mosaic
 
 KEYS = ["stack", "layer"]
 CELLS = "stack string, layer int, node bigint, x double, y double, v double, g int"
@@ -131,6 +132,12 @@ def test_fit_is_the_same_in_a_table(spark):
     assert sum(w * m[0] for w, m in zip(counted.weights, counted.means, strict=True)) == pytest.approx(drawn.mean()) and sum(counted.weights) == pytest.approx(1)
 
 
+def test_shares_far_from_all_components(spark):
+    m = mixture_models.Mixture((0.5, 0.5), ((0.0, 0.0), (4.0, 0.0)), ((1.0, 1e-4), (1.0, 1e-4)), log=False)
+    row = spark.createDataFrame([(3.0, 5.0)], "v double, w double").select(mixture_models.posterior(m, mixture_models.domain(["v", "w"], False), 2).alias("p")).first()
+    assert row.p == pytest.approx([1 / (1 + math.exp(4)), 1 / (1 + math.exp(-4))])
+
+
 def test_component_groups():
     m = mixture_models.Mixture((0.25,) * 4, ((0.0,), (0.1,), (2.0,), (2.2,)), ((1.0,),) * 4, log=False)
     assert mixture_models.component_labels(m, 2) == [0, 0, 1, 1] and mixture_models.component_labels(m, 9) == [0, 1, 2, 3]
@@ -147,6 +154,18 @@ def test_annotation_smooths_a_noisy_cell(spark):
     assert sum(got[k] == (0 if i < 4 else 1) for k, (i, j) in enumerate(xy)) >= 62
 
 
+def test_models_of_queries_are_selected_from_three_to_ten(spark, data, monkeypatch):
+    asked = []
+    fit_each = mixture_models.fit_each
+    monkeypatch.setattr(mixture_models, "fit_each", lambda rows, columns, counts, *args, **settings: asked.append((len(columns), counts)) or fit_each(rows, columns, counts, *args, **settings))
+    rows = mosaic.model_select(spark, data).collect()
+    best = {s: min((r.bic, r.k) for r in rows if r.stack == s)[1] for s in {r.stack for r in rows}}
+    assert {r.k for r in rows} == set(range(3, 11)) and all(r.chosen == (r.k == best[r.stack]) for r in rows)
+    mosaic.mixture_labels(spark, data)
+    mosaic.annotate(spark, data)
+    assert asked == [(1, list(range(3, 11)))] * 2 + [(d, list(range(3, 11))) for d in (2, 1)]
+
+
 def test_density_and_surface(spark):
     cells = points(spark, [(0, 0), (1, 0), (500, 500)])
     rows = {r.node: r.density for r in mixture_models.kernel_density(cells, KEYS, "x", "y", 10.0).collect()}

@@ -3,24 +3,37 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import running_totals
+from tessera.session import cut
+
 #: Items of a level before it is compacted.
 K = 512
 #: Values a task holds before it sends the sketches it has.
 HELD = 1_000_000
+#: Seeds the random choices of all tasks, with what tells a task and its part from others.
+SEED = 20
 
 LEVELS = pa.list_(pa.list_(pa.float64()))
 ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "date": pa.date32()}
 SKETCH = "n bigint, err2 double, levels array<array<double>>"
 
 
+def generator(*parts: object) -> np.random.Generator:
+    """Random choices that are the same when this task runs again, and independent of those of other tasks and other ``parts``."""
+    task = TaskContext.get()
+    return np.random.default_rng([SEED, task.partitionId() if task else 0, zlib.crc32(repr(parts).encode())])
+
+
 class Compactors:
     """A hierarchy of buffers: an item of level h stands for 2**h values."""
 
@@ -68,16 +81,16 @@ def sketch(values: DataFrame, keys: list[str], column: str, k: int = K) -> DataF
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
-        count = 0
+        count = chunk = 0
         for batch in batches:
             held.append(batch.to_pandas())
             count += batch.num_rows
             if count >= HELD:
-                yield from send(held)
-                held, count = [], 0
-        yield from send(held)
+                yield from send(held, chunk)
+                held, count, chunk = [], 0, chunk + 1
+        yield from send(held, chunk)
 
-    def send(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    def send(held: list[pd.DataFrame], chunk: int) -> Iterator[pa.RecordBatch]:
         if not sum(map(len, held)):
             return
         data = pd.concat(held)
@@ -85,7 +98,7 @@ def sketch(values: DataFrame, keys: list[str], column: str, k: int = K) -> DataF
         order = np.argsort(codes, kind="stable")
         codes, items, frame = codes[order], data[column].to_numpy()[order], data[keys].iloc[order]
         starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        ends, rng = np.r_[starts[1:], len(codes)], np.random.default_rng(len(codes))
+        ends, rng = np.r_[starts[1:], len(codes)], generator("sketch", keys, chunk)
         heads = zip(*(frame[c].iloc[starts].astype(object).where(frame[c].iloc[starts].notna(), None) for c in keys), strict=True)
         done = []
         for key, a, b in zip(heads, starts, ends, strict=True):
@@ -109,7 +122,7 @@ def merge(sketches: DataFrame, keys: list[str], k: int = K, combine: bool = True
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keys), SKETCH])
     arrow = pa.schema([*((c, ARROW[types[c]]) for c in keys), ("n", pa.int64()), ("err2", pa.float64()), ("levels", LEVELS)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], turn: str) -> Iterator[pa.RecordBatch]:
         key, now, rng, out = None, None, None, []
         wide = len(keys)
         for batch in batches:
@@ -121,7 +134,7 @@ def merge(sketches: DataFrame, keys: list[str], k: int = K, combine: bool = True
                 if now is None or this != key:
                     if now is not None:
                         out.append((key, now))
-                    key, now, rng = this, Compactors(), np.random.default_rng(counts[at])
+                    key, now, rng = this, Compactors(), rng or generator(turn, keys, counts[at], errors[at])
                 for h, level in enumerate(range(outer[at], outer[at + 1])):
                     if inner[level + 1] > inner[level]:
                         now.add(items[inner[level] : inner[level + 1]], h)
@@ -138,8 +151,8 @@ def merge(sketches: DataFrame, keys: list[str], k: int = K, combine: bool = True
 
     rows = sketches.select(*keys, "n", "err2", "levels")
     if combine:
-        rows = rows.sortWithinPartitions(*keys).mapInArrow(run, schema)
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+        rows = rows.sortWithinPartitions(*keys).mapInArrow(lambda batches: run(batches, "combine"), schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: run(batches, "merge"), schema)
 
 
 def _batch(done: list[tuple[tuple, Compactors]], arrow: pa.Schema) -> pa.RecordBatch:
@@ -195,14 +208,22 @@ def exact_percentiles(values: DataFrame, keys: list[str], column: str, wanted: D
 
     One pass counts what lies below each bracket and gathers the distinct values inside it, with counts
     combined before the shuffle; only a bracket's values, a small share of a group, are put in order.
-    A bracket that misses its rank (see ``failure``) gives no row.
+    A bracket that misses its rank (see :func:`percentiles`) is opened to all values and taken again.
     """
-    asked = wanted.select(*keys, "n", "pct", "low", "high")
+    asked = cut(wanted.select(*keys, "n", "pct", "low", "high"), "wanted")
+    found = cut(_inside(values, keys, column, asked), "exact")
+    missed = asked.join(found, [*keys, "pct"], "left_anti").withColumn("low", F.lit(-math.inf)).withColumn("high", F.lit(math.inf))
+    if missed.isEmpty():
+        return found
+    return found.unionByName(_inside(values, keys, column, missed))
+
+
+def _inside(values: DataFrame, keys: list[str], column: str, asked: DataFrame) -> DataFrame:
+    """The keys, pct and value of the percentiles that lie in their brackets."""
     joined = values.select(*keys, column).join(asked, keys).withColumn("_in", F.when(F.col(column) < F.col("low"), -1).when(F.col(column) <= F.col("high"), 0).otherwise(1)).filter("_in <= 0")
     counts = joined.groupBy(*keys, "n", "pct", "_in", F.when(F.col("_in") == 0, F.col(column)).alias("value")).agg(F.count("*").alias("_c"))
-    order = Window.partitionBy(*keys, "pct").orderBy("_in", "value")
-    ranked = counts.withColumn("_to", F.sum("_c").over(order)).withColumn("_rank", F.ceil(F.col("pct") * F.col("n") / 100))
-    return ranked.filter((F.col("_in") == 0) & (F.col("_to") >= F.col("_rank")) & (F.col("_to") - F.col("_c") < F.col("_rank"))).select(*keys, "pct", "value")
+    ranked = running_totals(counts, [*keys, "pct"], ["_in", "value"], ["_c"]).withColumn("_rank", F.ceil(F.col("pct") * F.col("n") / 100))
+    return ranked.filter((F.col("_in") == 0) & (F.col("_c_upto") >= F.col("_rank")) & (F.col("_c_upto") - F.col("_c") < F.col("_rank"))).select(*keys, "pct", "value")
 
 
 def readings(cells: DataFrame) -> DataFrame:

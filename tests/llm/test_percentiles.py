@@ -68,6 +68,28 @@ def test_bound_by_simulation():
     assert np.mean(np.array(off) <= 1) >= 0.9
 
 
+def test_missed_brackets_are_taken_again(spark):
+    rng = np.random.default_rng(3)
+    data = [("a", rng.random(500)), ("b", rng.random(400))]
+    df = values(spark, data)
+    asked = spark.createDataFrame([(k, len(vs), p, *((2.0, 3.0) if k == "a" else (0.0, 1.0))) for k, vs in data for p in (10, 50)], "k string, n bigint, pct int, low double, high double")
+    got = {(r.k, r.pct): r.value for r in percentiles.exact_percentiles(df, ["k"], "v", asked).collect()}
+    assert got == {(k, p): exact(vs, p) for k, vs in data for p in (10, 50)}
+
+
+def test_chunks_and_tasks_choose_independently(spark, monkeypatch):
+    monkeypatch.setattr(percentiles, "HELD", 1000)
+    monkeypatch.setattr(percentiles, "merge", lambda sketches, *args, **settings: sketches)
+    same = spark.range(64 * 1000, numPartitions=8).select(F.lit("k").alias("k"), (F.col("id") % 1000).cast("double").alias("v"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        rows = percentiles.sketch(same, ["k"], "v", k=64).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 64 and all(r.n == 1000 for r in rows)
+    assert len({str(r.levels) for r in rows}) > 8
+
+
 def test_empty(spark):
     df = values(spark, [])
     done = percentiles.sketch(df, ["k"], "v")

@@ -547,14 +547,14 @@ def region_outline(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def image_preprocess(spark: SparkSession, d: str) -> DataFrame:
-    return images.on_images(_raster(spark, d), KEYS, "ch0", images.preprocess, "value")
+    return images.on_images(images.painted(cells(spark, d), KEYS, "ch0"), KEYS, "ch0", images.preprocess, "value")
 
 
 @query()
 def segment_image(spark: SparkSession, d: str) -> DataFrame:
-    """Segments of each layer's image, measured: image to labels to measurements."""
-    raster = _raster(spark, d)
-    labels = images.segment_layers(raster, KEYS, "ch0", radius=1, sigma=1.5)
+    """Segments of each layer's image at its pixels' own resolution, measured: image to labels to measurements."""
+    raster = cut(images.painted(cells(spark, d), KEYS, "ch0"), "raster")
+    labels = images.segment_layers(raster, KEYS, "ch0", radius=1, sigma=1.5).filter("label > 0")
     pix = labels.join(raster, [*KEYS, "row", "col"], "left").fillna(0.0, ["ch0"])
     return measure.measure_segments(pix, KEYS, ["ch0"])
 

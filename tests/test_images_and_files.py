@@ -1,5 +1,6 @@
 import json
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -30,6 +31,16 @@ def test_distance_by_brute_force():
     assert images.distance(np.zeros((3, 3), dtype=bool)).sum() == 0
 
 
+def test_distance_of_a_whole_layer_takes_little_memory():
+    mask = np.ones((1024, 1024), dtype=bool)
+    mask[::64, ::64] = False
+    tracemalloc.start()
+    done = images.distance(mask)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done[32, 32] == pytest.approx(32 * np.sqrt(2)) and done[0, 1] == 1 and peak < 100_000_000
+
+
 def test_two_discs_are_two_segments(spark):
     r, c = np.indices((40, 60))
     image = np.where(((r - 20) ** 2 + (c - 18) ** 2 < 100) | ((r - 20) ** 2 + (c - 40) ** 2 < 100), 1.0, 0.1)
@@ -48,6 +59,13 @@ def test_raster(spark):
     assert rows == {(0, 0): 3.0, (0, 7): 1.0, (7, 0): 0.0, (7, 7): 0.0}
 
 
+def test_painted_cells_have_their_own_pixels(spark):
+    cells = spark.createDataFrame([("s", 1, 5.5, 5.5, 13, 2.0), ("s", 1, 8.5, 5.5, 5, 4.0), ("s", 1, 1023.9, 1024.0, None, 1.0)], "stack string, layer int, x double, y double, pixel_count bigint, ch0 double")
+    rows = {(r.row, r.col): r.ch0 for r in images.painted(cells, ["stack", "layer"], "ch0").collect()}
+    assert rows[5, 5] == 2.0 and rows[5, 8] == 4.0 and rows[5, 7] == 3.0 and (5, 10) not in rows
+    assert rows[1023, 1023] == 1.0 and rows[0, 0] == rows[0, 1023] == 0.0 and len(rows) == 13 + 5 - 1 + 1 + 3
+
+
 SIL = "file_id bigint, stack string, kind string, written_at timestamp, deleted_at timestamp, body string"
 
 

@@ -41,7 +41,7 @@ def read_contours(files: DataFrame) -> DataFrame:
     for short, channel in (("r", "ch0"), ("g", "ch1"), ("b", "ch2")):
         replaced = F.coalesce(F.map_contains_key("c.color_avg", channel), F.lit(False))
         colors = F.when(replaced, F.map_filter(colors, _other_than(short))).otherwise(colors)
-    return rows.select("stack", "file_id", "layer", number(F.col("c.id")).alias("segment_id"), F.col("c.centroid")[0].alias("centroid_x"), F.col("c.centroid")[1].alias("centroid_y"), "c.pixel_count", colors.alias("colors"))
+    return rows.select("stack", "file_id", "layer", number(F.col("c.id")).alias("segment_id"), F.get("c.centroid", F.lit(0)).alias("centroid_x"), F.get("c.centroid", F.lit(1)).alias("centroid_y"), "c.pixel_count", colors.alias("colors"))
 
 
 def build_feud(labels: DataFrame, keys: list[str]) -> DataFrame:

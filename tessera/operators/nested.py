@@ -2,145 +2,319 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-from collections.abc import Iterator
+import re
+import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from hashlib import blake2b
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.json import number
-from tessera.operators.schema_drift import parse_object
 from tessera.session import cut
 
 #: A task forgets which objects it has sent after so many; Spark removes what is then sent twice.
 REMEMBERED = 500_000
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_PLAIN = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null")
 
-@dataclass(frozen=True)
-class Flat:
-    """``roots``: file_id, stack, kind, root; ``members``: node, member, ordinal, type, value, child."""
 
-    roots: DataFrame
-    members: DataFrame
+class Node:
+    """An object in canonical form: its identity, its scalar members and the objects below it.
+
+    ``scalars``: (member, ordinals, type, value); ``bridges``: (member, ordinals, node). Ordinals are the
+    positions in the arrays between, outermost first; none for a member that is no array.
+    """
+
+    __slots__ = ("bridges", "key", "scalars")
+
+    def __init__(self, pairs: list[tuple[str, object]]) -> None:
+        self.scalars: list[tuple] = []
+        self.bridges: list[tuple] = []
+        for name, value in sorted(dict(pairs).items()):
+            kind = type(value)
+            if kind is Node:
+                self.bridges.append((name, (), value))
+            elif kind is list and _holds_objects(value):
+                self._enter(name, value)
+            elif value is not None:
+                self.scalars.append((name, (), *_scalar(value)))
+        own = repr((self.scalars, [(name, at, child.key) for name, at, child in self.bridges]))
+        self.key = blake2b(own.encode(), digest_size=16).digest()
+
+    def _enter(self, name: str, array: list) -> None:
+        waiting = [((), array)]
+        while waiting:
+            at, value = waiting.pop()
+            if type(value) is Node:
+                self.bridges.append((name, at, value))
+            elif type(value) is list and (not at or _holds_objects(value)):
+                waiting.extend(((*at, i), value[i]) for i in range(len(value) - 1, -1, -1))
+            elif value is not None:
+                self.scalars.append((name, at, *_scalar(value)))
+
+
+def _holds_objects(array: list) -> bool:
+    waiting = [array]
+    while waiting:
+        for x in waiting.pop():
+            if type(x) is Node:
+                return True
+            if type(x) is list:
+                waiting.append(x)
+    return False
 
 
 def _scalar(value: object) -> tuple[str, str]:
     if isinstance(value, str):
         return "string", value
-    if isinstance(value, float) and value.is_integer():
-        value = int(value)
-    kind = "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "array"
-    return kind, json.dumps(value, sort_keys=True)
+    return "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "array", json.dumps(value)
+
 
+def _number(text: str) -> int | float:
+    value = float(text)
+    return int(value) if value.is_integer() else value
 
-def subtree(value: dict, rows: list, sent: set) -> str:
-    """Hash of an object from its members' hashes; adds the member rows of objects not yet sent.
 
-    Null members do not count. The order of members and the spelling of whole numbers (3, 3.0) do not
-    change an identity; the order of array elements does. An array that holds objects becomes one row
-    per element with its ordinal; one without is a value; null elements only take up an ordinal.
+def _read_deep(text: str) -> object:
+    """What :func:`canonical` reads, for nesting beyond the parser's recursion: values under way stand on a list."""
+    open_: list[tuple[str, list, list]] = []
+    at, whole = 0, None
+    skip = lambda at: _SPACE.match(text, at).end()
+
+    def fail() -> None:
+        raise ValueError("no JSON")
+
+    def name(at: int) -> int:
+        if text[at : at + 1] != '"':
+            fail()
+        key, at = json.decoder.scanstring(text, at + 1)
+        at = skip(at)
+        if text[at : at + 1] != ":":
+            fail()
+        open_[-1][2].append(key)
+        return skip(at + 1)
+
+    at = skip(at)
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            open_.append((c, [], []))
+            at = skip(at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                at = name(at) if c == "{" else at
+                continue
+            value: object = None
+        elif c == '"':
+            value, at = json.decoder.scanstring(text, at + 1)
+        elif found := _PLAIN.match(text, at):
+            value, at = json.loads(found[0], parse_float=_number), found.end()
+        else:
+            fail()
+        if c not in ("{", "["):
+            whole = value
+            if open_:
+                open_[-1][1].append(value)
+        while open_:
+            at = skip(at)
+            kind, values, names = open_[-1]
+            if text[at : at + 1] == ",":
+                at = skip(at + 1)
+                at = name(at) if kind == "{" else at
+                break
+            if text[at : at + 1] != ("}" if kind == "{" else "]"):
+                fail()
+            at += 1
+            open_.pop()
+            whole = Node(list(zip(names, values, strict=True))) if kind == "{" else values
+            if open_:
+                open_[-1][1].append(whole)
+        else:
+            if skip(at) != len(text):
+                fail()
+            return whole
+
+
+def canonical(text: object) -> Node | None:
+    """The JSON object that ``text`` is, hashed bottom-up while it is read; None for anything else.
+
+    Null members do not count and of members of the same name the last one does. The order of members and
+    the spelling of whole numbers (3, 3.0) do not change an identity; the order of array elements and
+    the arrays they stand in do. An array that holds objects, at any depth, is entered element by element
+    (null elements only take up a position); one without is a value.
     """
-    own = []
-    for name in sorted(value):
-        v = value[name]
-        if isinstance(v, dict):
-            own.append((name, None, "object", None, subtree(v, rows, sent)))
-        elif isinstance(v, list) and any(isinstance(x, dict) for x in v):
-            for i, x in enumerate(v):
-                if isinstance(x, dict):
-                    own.append((name, i, "object", None, subtree(x, rows, sent)))
-                elif x is not None:
-                    own.append((name, i, *_scalar(x), None))
-        elif v is not None:
-            own.append((name, None, *_scalar(v), None))
-    node = hashlib.blake2b(json.dumps(own).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-    if node not in sent:
-        sent.add(node)
-        rows.extend((node, *m) for m in own)
-    return node
+    try:
+        found = json.loads(text, object_pairs_hook=Node, parse_float=_number) if isinstance(text, str) else None
+    except RecursionError:
+        try:
+            found = _read_deep(text)
+        except ValueError:
+            return None
+    except ValueError:
+        return None
+    return found if type(found) is Node else None
+
+
+@dataclass(frozen=True)
+class Flat:
+    """``roots``: file_id, stack, kind, hi, lo; ``staged``: every object with the member it stands under (see :func:`objects`)."""
+
+    roots: DataFrame
+    staged: DataFrame
+
+    @property
+    def members(self) -> DataFrame:
+        """One row per scalar member of a distinct object: node, member, ordinals, type, value."""
+        rows = objects(self).select(identity("hi", "lo").alias("node"), F.explode("scalars").alias("s"))
+        return rows.select("node", "s.*")
+
+    @property
+    def bridges(self) -> DataFrame:
+        """One row per object below a distinct object: node, member, ordinals, child."""
+        rows = objects(self).select(identity("hi", "lo").alias("node"), F.explode("bridges").alias("b"))
+        return rows.select("node", "b.member", "b.ordinals", identity("b.hi", "b.lo").alias("child"))
+
+
+STAGED = "hi bigint, lo bigint, under string, scalars array<struct<member: string, ordinals: array<int>, type: string, value: string>>, bridges array<struct<member: string, ordinals: array<int>, hi: bigint, lo: bigint>>, file_id bigint, stack string, kind string"
+
+
+def _texts(values: list) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:  # half of a surrogate pair, which JSON may spell and UTF-8 can't hold
+        return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+
+def _batch(rows: list[tuple[Node, str | None, tuple]]) -> pa.RecordBatch:
+    """Objects (node, the member they stand under) and roots (node, None, file) as rows of :data:`STAGED`."""
+    own = [(node, under is not None) for node, under, _ in rows]
+
+    def listed(parts: list[list], fields: dict[str, Callable[[list], pa.Array]]) -> pa.Array:
+        flat = [m for part in parts for m in part]
+        offsets = [0]
+        for part in parts:
+            offsets.append(offsets[-1] + len(part))
+        columns = [make(flat) for make in fields.values()]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, list(fields)))
+
+    pick = lambda i: lambda flat: _texts([m[i] for m in flat])
+    ordinals = lambda flat: pa.array([m[1] for m in flat], pa.list_(pa.int32()))
+    half = lambda at: lambda keys: pa.array([struct.unpack_from("<q", k, at)[0] for k in keys], pa.int64())
+    below = lambda at: lambda flat: half(at)([m[2].key for m in flat])
+    keys = [node.key for node, _ in own]
+    scalars = listed([node.scalars if use else [] for node, use in own], {"member": pick(0), "ordinals": ordinals, "type": pick(2), "value": pick(3)})
+    bridges = listed([node.bridges if use else [] for node, use in own], {"member": pick(0), "ordinals": ordinals, "hi": below(0), "lo": below(8)})
+    files = list(zip(*(f for _, _, f in rows), strict=True))
+    columns = [half(0)(keys), half(8)(keys), _texts([u for _, u, _ in rows]), scalars, bridges, pa.array(files[0], pa.int64()), _texts(files[1]), _texts(files[2])]
+    return pa.RecordBatch.from_arrays(columns, ["hi", "lo", "under", "scalars", "bridges", "file_id", "stack", "kind"])
 
 
 def flatten(files: DataFrame) -> Flat:
     """Store each distinct JSON object of the bodies once, and how objects contain each other.
 
-    Objects are canonicalised and hashed bottom-up in the tasks that read them. ``members`` has one row
-    per member of a distinct object: a scalar with type and value, or a bridge to the child's hash with
-    its ordinal in an array (null outside arrays). ``roots`` has one row per file_id, whichever listing
-    comes first by hash. Each occurrence of an object is a path of bridges from a root. Bodies that are
-    null or no JSON object have no root; an empty table gives empty tables.
+    Objects are canonicalised and hashed bottom-up in the tasks that read them (see :func:`canonical`), and
+    written with their scalar members and bridges to the objects below them; a bridge has the child's
+    identity and its ordinals. Roots have one row per file_id, whichever listing comes first by hash. Each
+    occurrence of an object is a path of bridges from a root. Bodies that are null or no JSON object have
+    no root; an empty table gives empty tables.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set = set()
-        names = ["node", "member", "ordinal", "type", "value", "child", "file_id", "stack", "kind"]
         for batch in batches:
             rows: list = []
-            for f, stack, kind, text in batch.itertuples(index=False):
-                if (body := parse_object(text)) is not None:
-                    root = subtree(body, rows, sent)
-                    rows.append((root, None, None, "root", None, None, f, stack, kind))
+            for f, stack, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root := canonical(text)) is None:
+                    continue
+                rows.append((root, None, (f, stack, kind)))
+                waiting = [(root, "")]
+                while waiting:
+                    node, under = waiting.pop()
+                    if (node.key, under) not in sent:
+                        sent.add((node.key, under))
+                        rows.append((node, under, (None, None, None)))
+                        waiting.extend((child, name) for name, _, child in node.bridges)
                 if len(sent) > REMEMBERED:
                     sent.clear()
-            out = pd.DataFrame([r + (None,) * (9 - len(r)) for r in rows], columns=names)
-            yield out.astype({"ordinal": "Int32", "file_id": "Int64"})
+            if rows:
+                yield _batch(rows)
 
-    schema = "node string, member string, ordinal int, type string, value string, child string, file_id bigint, stack string, kind string"
-    parsed = cut(files.select("file_id", "stack", "kind", "body").mapInPandas(read, schema), "subtrees")
-    roots = parsed.filter("type = 'root'").groupBy("file_id").agg(F.min(F.struct("node", "stack", "kind")).alias("r"))
-    members = parsed.filter("type <> 'root'").select("node", "member", "ordinal", "type", "value", "child").dropDuplicates(["node", "member", "ordinal"])
-    return Flat(roots.select("file_id", "r.stack", "r.kind", F.col("r.node").alias("root")), members)
+    parsed = cut(files.select("file_id", "stack", "kind", "body").mapInArrow(read, STAGED), "subtrees")
+    roots = parsed.filter("under is null").groupBy("file_id").agg(F.min(F.struct("hi", "lo", "stack", "kind")).alias("r"))
+    return Flat(roots.select("file_id", "r.stack", "r.kind", "r.hi", "r.lo"), parsed.filter("under is not null").select("hi", "lo", "under", "scalars", "bridges"))
 
 
-def objects(flat: Flat, *names: str) -> DataFrame:
-    """One row per distinct object that has any of the scalar members ``names``: node and a column each."""
-    picked = flat.members.filter(F.col("member").isin(*names) & F.col("child").isNull() & F.col("ordinal").isNull())
-    return picked.groupBy("node").agg(*[F.max(F.when(F.col("member") == n, F.col("value"))).alias(n) for n in names])
+def identity(hi: str, lo: str) -> Column:
+    """The identity of an object as a text."""
+    return F.lower(F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0")))
 
 
-def children(flat: Flat, member: str, child: str) -> DataFrame:
-    """Bridge rows below ``member``: node, ordinal, and the child's hash as ``child``."""
-    return flat.members.filter((F.col("member") == member) & F.col("child").isNotNull()).select("node", F.col("ordinal").alias(f"{child}_ordinal"), F.col("child").alias(child))
+def objects(flat: Flat, *under: str) -> DataFrame:
+    """Distinct objects, once each: hi, lo, scalars, bridges. ``under``: only those that stand under one of these members ("" for roots).
 
+    A task sends an object once for each member it stands under, so what is left to remove here is what
+    several tasks or members share.
+    """
+    wanted = flat.staged.filter(F.col("under").isin(*under)) if under else flat.staged
+    return wanted.groupBy("hi", "lo").agg(F.first("scalars").alias("scalars"), F.first("bridges").alias("bridges"))
 
-def contour_rows(flat: Flat, kind: str) -> DataFrame:
-    """Every occurrence of a contour in the documents of ``kind`` (layer or feud), with its file and layer.
 
-    Columns: file_id, stack, layer_id, contour_ordinal, contour (hash), contour_id. For feud the layers
-    are those below the root. Ids are whole numbers, null if they are none.
-    """
-    ids = objects(flat, "id").select("node", number(F.col("id")).alias("id"))
-    tops = flat.roots.filter(F.col("kind") == kind).select("file_id", "stack", F.col("root").alias("node"))
-    if kind == "feud":
-        tops = tops.join(children(flat, "layers", "layer"), "node").select("file_id", "stack", F.col("layer").alias("node"))
-    named = tops.join(ids.withColumnRenamed("id", "layer_id"), "node", "left")
-    below = named.join(children(flat, "contours", "contour"), "node").drop("node")
-    return below.join(ids.select(F.col("node").alias("contour"), F.col("id").alias("contour_id")), "contour", "left")
+def scalar(name: str, scalars: str = "scalars") -> Column:
+    """The value of a member that is a scalar, as a text."""
+    return F.get(F.filter(scalars, lambda s: (s["member"] == name) & (F.size(s["ordinals"]) == 0)), F.lit(0))["value"]
+
+
+def _below(parents: DataFrame, keep: list[Column], *members: str) -> DataFrame:
+    """Bridges of ``parents`` under ``members``: the kept columns, under, ordinals, hi, lo."""
+    return parents.select(*keep, F.explode(F.filter("bridges", lambda b: b["member"].isin(*members))).alias("b")).select("*", F.col("b.member").alias("under"), "b.ordinals", "b.hi", "b.lo").drop("b")
+
 
+def _contours(flat: Flat, kinds: list[str], more: list[str]) -> DataFrame:
+    tops = flat.roots.filter(F.col("kind").isin(*kinds)).join(objects(flat, ""), ["hi", "lo"])
+    at = [F.col(c) for c in ("file_id", "stack", "kind")]
+    parts = []
+    if "layer" in kinds:
+        parts.append(_below(tops.filter("kind = 'layer'"), [*at, number(scalar("id")).alias("layer_id")], "contours"))
+    if "feud" in kinds:
+        layers = _below(tops.filter("kind = 'feud'"), at, "layers").drop("under", "ordinals").join(objects(flat, "layers"), ["hi", "lo"])
+        parts.append(_below(layers, [*at, number(scalar("id")).alias("layer_id")], "contours"))
+    found = reduce(DataFrame.unionByName, parts).drop("under").withColumnRenamed("ordinals", "contour_ordinals")
+    return found.join(objects(flat, "contours"), ["hi", "lo"]).select("file_id", "stack", "kind", "layer_id", "contour_ordinals", "hi", "lo", number(scalar("id")).alias("contour_id"), *more)
 
-def color_leaves(flat: Flat) -> DataFrame:
-    """The colour channels of each distinct contour: contour, statistic, channel, type, value (or the value's hash).
 
-    Both shapes are read: an object by channel, and an array of {channel, value}.
+def contour_rows(flat: Flat, *kinds: str) -> DataFrame:
+    """Every occurrence of a contour in the documents of ``kinds`` (layer, feud), with its file and layer.
+
+    Columns: file_id, stack, kind, layer_id, contour_ordinals, contour, contour_id. For feud the layers are those
+    below the root. Ids are whole numbers, null if they are none. Both kinds share one chain of joins.
     """
-    maps = flat.members.filter(F.col("member").isin("color_avg", "color_std") & F.col("child").isNotNull())
-    maps = maps.select(F.col("node").alias("contour"), F.col("member").alias("statistic"), "ordinal", F.col("child").alias("node"))
-    by_name = maps.filter("ordinal is null").join(flat.members.filter("ordinal is null"), "node").drop(maps["ordinal"])
-    as_object = by_name.select("contour", "statistic", F.col("member").alias("channel"), "type", F.coalesce("value", "child").alias("value"))
-    entry = flat.members.filter(F.col("member").isin("channel", "value")).groupBy("node").agg(
-        F.max(F.when(F.col("member") == "channel", F.col("value"))).alias("channel"),
-        F.max(F.when(F.col("member") == "value", F.struct("type", F.coalesce("value", "child").alias("value")))).alias("v"),
-    )
-    as_array = maps.filter("ordinal is not null").join(entry.filter("channel is not null and v is not null"), "node").select("contour", "statistic", "channel", "v.type", "v.value")
-    return as_object.unionByName(as_array)
+    rows = _contours(flat, list(kinds), [])
+    return rows.withColumn("contour", identity("hi", "lo")).drop("hi", "lo")
 
 
 def leaves(flat: Flat) -> DataFrame:
-    """One row per leaf of a contour occurrence: file_id, layer_id, contour_id, leaf, type, value."""
+    """One row per leaf of a contour occurrence: file_id, layer_id, contour_id, leaf, type, value.
+
+    Colour leaves are ``color_avg.CHANNEL`` and ``color_std.CHANNEL`` in either shape, an object by channel or an array of
+    {channel, value}; an object as value has its identity. Labels that are neither null nor blank are the leaves
+    of feud documents.
+    """
     at = ["file_id", "layer_id", "contour_id"]
-    colors = contour_rows(flat, "layer").join(color_leaves(flat), "contour").select(*at, F.concat_ws(".", "statistic", "channel").alias("leaf"), "type", "value")
-    labels = objects(flat, "label").filter(F.trim(F.regexp_replace("label", r"\s", " ")) != "")
-    labelled = contour_rows(flat, "feud").join(labels.withColumnRenamed("node", "contour"), "contour")
-    return colors.unionByName(labelled.select(*at, F.lit("label").alias("leaf"), F.lit("string").alias("type"), F.col("label").alias("value")))
+    found = _contours(flat, ["layer", "feud"], ["scalars", "bridges"])
+    label = scalar("label")
+    labels = found.filter("kind = 'feud'").withColumn("value", label).filter(F.trim(F.regexp_replace("value", r"\s", " ")) != "")
+    colors = _below(found.filter("kind = 'layer'"), [F.col(c) for c in at], "color_avg", "color_std").join(objects(flat, "color_avg", "color_std"), ["hi", "lo"])
+    leaf = lambda name, kind, value: F.struct(name.alias("channel"), kind.alias("type"), value.alias("value"))
+    members = F.concat(
+        F.transform("scalars", lambda s: leaf(s["member"], s["type"], s["value"])),
+        F.transform("bridges", lambda b: leaf(b["member"], F.lit("object"), F.lower(F.concat(F.lpad(F.hex(b["hi"]), 16, "0"), F.lpad(F.hex(b["lo"]), 16, "0"))))),
+    )
+    entry = F.transform(F.filter(members, lambda m: m["channel"] == "value"), lambda m: leaf(scalar("channel"), m["type"], m["value"]))
+    channels = colors.select(*at, "under", F.explode(F.when(F.size("ordinals") == 0, members).otherwise(entry)).alias("c")).filter("c.channel is not null")
+    by_channel = channels.select(*at, F.concat_ws(".", "under", "c.channel").alias("leaf"), "c.type", "c.value")
+    return by_channel.unionByName(labels.select(*at, F.lit("label").alias("leaf"), F.lit("string").alias("type"), "value"))

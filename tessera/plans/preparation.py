@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.json import number
 from tessera.operators import nested, schema_drift, small_files
 from tessera.operators.orphans import Orphans, orphan_references
 from tessera.session import cut, load
@@ -43,7 +44,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_members(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten(load(spark, d, "silhouette_files")).members
+    return nested.flatten(load(spark, d, "silhouette_files")).members.withColumn("ordinals", F.concat_ws(".", "ordinals"))
+
+
+def p5_bridges(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flatten(load(spark, d, "silhouette_files")).bridges.withColumn("ordinals", F.concat_ws(".", "ordinals"))
 
 
 def _references(spark: SparkSession, d: str) -> Orphans:
@@ -56,17 +61,16 @@ def _references(spark: SparkSession, d: str) -> Orphans:
     flat = nested.flatten(files.filter(F.col("kind").isin("layer", "feud")))
     when = files.select("file_id", "written_at", "deleted_at").groupBy("file_id").agg(F.min("written_at").alias("written_at"), F.max("deleted_at").alias("deleted_at"))
     feeds = files.filter("kind = 'feed'").select("file_id", "stack", "written_at", F.from_json("body", "layer_ids array<string>").alias("b"))
-    layer_id = lambda c: F.floor(F.trim(c).try_cast("double")).cast("bigint")
 
     refs = [
         cells.filter("segment_id is not null and segment_id <> 0").select(ref("cell_measurements.segment_id"), "stack", big("layer"), F.col("segment_id").cast("bigint").alias("ref_id"), F.col("cell_id").alias("row_key"), month("measured_at")),
         nested.contour_rows(flat, "feud").join(when, "file_id").filter("contour_id is not null").select(ref("feud.id"), "stack", F.col("layer_id").alias("layer"), F.col("contour_id").alias("ref_id"), F.col("file_id").alias("row_key"), month("written_at")),
-        feeds.select("file_id", "stack", "written_at", F.explode("b.layer_ids").alias("i")).withColumn("i", layer_id(F.col("i"))).filter("i is not null").select(ref("feed.layer_ids"), "stack", F.col("i").alias("layer"), F.col("i").alias("ref_id"), F.col("file_id").alias("row_key"), month("written_at")),
+        feeds.select("file_id", "stack", "written_at", F.explode("b.layer_ids").alias("i")).withColumn("i", number(F.col("i"))).filter("i is not null").select(ref("feed.layer_ids"), "stack", F.col("i").alias("layer"), F.col("i").alias("ref_id"), F.col("file_id").alias("row_key"), month("written_at")),
     ]
     live = when.filter("deleted_at is null").select("file_id")
     contours = nested.contour_rows(flat, "layer").join(live, "file_id", "left_semi")
-    ids = nested.objects(flat, "id").select(F.col("node").alias("root"), layer_id(F.col("id")).alias("layer"))
-    documents = flat.roots.filter("kind = 'layer'").join(live, "file_id", "left_semi").join(ids, "root")
+    ids = nested.objects(flat, "").select("hi", "lo", number(nested.scalar("id")).alias("layer"))
+    documents = flat.roots.filter("kind = 'layer'").join(live, "file_id", "left_semi").join(ids, ["hi", "lo"])
     targets = [
         layers.filter("deleted_at is null").select(ref("cell_measurements.segment_id"), "stack", big("layer"), F.explode(F.col("label_ids").cast("array<bigint>")).alias("ref_id")),
         contours.select(ref("feud.id"), "stack", F.col("layer_id").alias("layer"), F.col("contour_id").alias("ref_id")),
@@ -86,7 +90,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("ref_field", "ref_month").agg(F.count("*").alias("orphan_keys"), F.sum("n_refs").alias("orphan_refs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_schema, p3_unified, p5_found, p5_members, p6_found, p6_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_schema, p3_unified, p5_found, p5_members, p5_bridges, p6_found, p6_report)}
 NUMBER = "TRY_CAST(TRY_CAST({} AS DOUBLE) AS BIGINT)"
 TEXT = "json_extract_string({}, '$.{}')"
 

@@ -27,15 +27,20 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.drift(load(spark, d, "silhouette_files")).select("file_id", "field", "change_kind")
+    return schema_drift.drift(schema_drift.conform(load(spark, d, "silhouette_files"))).select("file_id", "field", "change_kind")
+
+
+def p3_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The log with types before and after, and the type that holds both."""
+    return schema_drift.drift(schema_drift.conform(load(spark, d, "silhouette_files"))).drop("written_at")
 
 
 def p3_schema(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.union_schema(load(spark, d, "silhouette_files")).withColumn("types", F.concat_ws(",", "types"))
+    return schema_drift.union_schema(schema_drift.headers(load(spark, d, "silhouette_files"))).withColumn("types", F.concat_ws(",", "types"))
 
 
 def p3_unified(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.unified(load(spark, d, "silhouette_files"))
+    return schema_drift.values(schema_drift.conform(load(spark, d, "silhouette_files")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +95,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("ref_field", "ref_month").agg(F.count("*").alias("orphan_keys"), F.sum("n_refs").alias("orphan_refs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_schema, p3_unified, p5_found, p5_members, p5_bridges, p6_found, p6_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_changes, p3_schema, p3_unified, p5_found, p5_members, p5_bridges, p6_found, p6_report)}
 NUMBER = "TRY_CAST(TRY_CAST({} AS DOUBLE) AS BIGINT)"
 TEXT = "json_extract_string({}, '$.{}')"
 
@@ -111,6 +116,7 @@ feud_layers AS (SELECT file_id, stack, written_at, unnest(json_extract(body, '$.
 feud_contours AS (SELECT file_id, stack, written_at, {_id("l")} AS layer, c, {_id("c")} AS id FROM (SELECT *, unnest(json_extract(l, '$.contours[*]')) AS c FROM feud_layers))"""
 
 KIND = "CASE json_type({0}) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN NULL ELSE 'number' END"
+SORTED = """CASE WHEN json_type({0}) = 'OBJECT' THEN '{{' || coalesce(list_aggregate(list_transform(list_sort(json_keys({0})), lambda k: '"' || k || '":' || json_extract({0}, '$."' || k || '"')), 'string_agg', ','), '') || '}}' ELSE json_extract_string({0}, '$') END"""
 MEMBER = """json_extract({}, '$."' || k || '"')"""
 
 CHANGES = f"""params AS (SELECT file_id, k, {MEMBER.format("p")} AS v FROM (SELECT file_id, json_extract(body, '$.params') AS p, unnest(json_keys(json_extract(body, '$.params'))) AS k FROM f WHERE kind = 'metadata')),
@@ -122,10 +128,21 @@ h AS (SELECT file_id, field, min(type) AS type FROM (SELECT file_id, 'params.' |
 s AS (SELECT file_id, lag(file_id) OVER (PARTITION BY stack, kind ORDER BY written_at, file_id) AS before FROM f WHERE kind = 'metadata' OR (kind = 'layer' AND file_id IN (SELECT file_id FROM h))),
 c AS (SELECT file_id, field, type FROM s JOIN h USING (file_id) WHERE before IS NOT NULL), b AS (SELECT s.file_id, field, type FROM s JOIN h ON h.file_id = s.before),
 j AS (SELECT coalesce(c.file_id, b.file_id) AS file_id, coalesce(c.field, b.field) AS field, c.type AS ct, b.type AS bt FROM c FULL JOIN b ON c.file_id = b.file_id AND c.field = b.field),
-n AS (SELECT file_id, count(*) FILTER (ct IS NULL) = 1 AND count(*) FILTER (bt IS NULL) = 1 AS renamed FROM j GROUP BY file_id)"""
+n AS (SELECT file_id, count(*) FILTER (ct IS NULL) = 1 AND count(*) FILTER (bt IS NULL) = 1 AS renamed, min(bt) FILTER (ct IS NULL) AS gone FROM j GROUP BY file_id),
+hs AS (SELECT DISTINCT h.file_id, f.stack, f.kind, h.field, h.type FROM h JOIN f USING (file_id)),
+schema AS (SELECT kind, field, CASE WHEN count(DISTINCT type) = 1 THEN min(type) WHEN bool_and(type IN ('number', 'boolean')) THEN 'number' ELSE 'string' END AS union_type, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count(DISTINCT file_id) AS n_files, min(file_id) AS first_file, max(file_id) AS last_file FROM hs GROUP BY kind, field)"""
 
 SQL: dict[str, str] = {
     "p3_found": f"WITH {DOCUMENTS}, {CHANGES} SELECT file_id, field, CASE WHEN ct <> bt THEN 'retyped' WHEN renamed THEN 'renamed' WHEN ct IS NULL THEN 'removed' ELSE 'added' END AS change_kind FROM j JOIN n USING (file_id) WHERE ct <> bt OR bt IS NULL OR (ct IS NULL AND NOT renamed)",
+    "p3_changes": f"""WITH {DOCUMENTS}, {CHANGES}, x AS (SELECT file_id, field, CASE WHEN ct <> bt THEN 'retyped' WHEN renamed THEN 'renamed' WHEN ct IS NULL THEN 'removed' ELSE 'added' END AS change_kind, CASE WHEN renamed AND bt IS NULL THEN gone ELSE bt END AS type_before, ct AS type
+ FROM j JOIN n USING (file_id) WHERE ct <> bt OR bt IS NULL OR (ct IS NULL AND NOT renamed)) SELECT x.*, f.stack, f.kind, union_type FROM x JOIN (SELECT DISTINCT file_id, stack, kind FROM f) f USING (file_id) JOIN schema USING (kind, field)""",
+    "p3_schema": f"WITH {DOCUMENTS}, {CHANGES} SELECT kind, field, union_type, CASE union_type WHEN 'number' THEN 'double' WHEN 'object' THEN 'variant' WHEN 'array' THEN 'variant' ELSE union_type END AS stored_as, types, n_files, first_file, last_file FROM schema",
+    "p3_unified": f"""WITH {DOCUMENTS}, {CHANGES}, by_contour AS (SELECT file_id, id, row_number() OVER () AS pos, json_extract(c, '$.color_avg') AS a FROM layer_contours),
+named_by AS (SELECT file_id, id, pos, k, {MEMBER.format("a")} AS v FROM (SELECT file_id, id, pos, a, unnest(json_keys(a)) AS k FROM by_contour WHERE json_type(a) = 'OBJECT')
+ UNION ALL SELECT file_id, id, pos, json_extract_string(e, '$.channel'), json_extract(e, '$.value') FROM (SELECT file_id, id, pos, unnest(json_extract(a, '$[*]')) AS e FROM by_contour WHERE json_type(a) = 'ARRAY')),
+all_values AS (SELECT DISTINCT file_id, 'metadata' AS kind, NULL::BIGINT AS contour_id, 0 AS pos, 'params.' || k AS field, v FROM params UNION ALL SELECT DISTINCT file_id, 'layer', id, pos, 'color_avg.' || k, v FROM named_by)
+SELECT file_id, kind, contour_id, field, union_type, CASE WHEN union_type = 'number' THEN coalesce(TRY_CAST(json_extract_string(v, '$') AS DOUBLE), CASE json_extract_string(v, '$') WHEN 'true' THEN 1 WHEN 'false' THEN 0 END) END AS number_value,
+ CASE WHEN union_type = 'boolean' THEN json_extract_string(v, '$') = 'true' END AS boolean_value, CASE WHEN union_type IN ('string', 'object', 'array') THEN {SORTED.format("v")} END AS text_value FROM all_values JOIN schema USING (kind, field) WHERE json_type(v) <> 'NULL'""",
     "p2_found": f"WITH {RECORDS} SELECT file_id, line_no::INT AS line_no FROM r WHERE n > 1",
     "p5_found": f"""WITH {DOCUMENTS}, m AS (SELECT file_id, layer, id, unnest(['color_avg', 'color_std']) AS s, unnest([json_extract(c, '$.color_avg'), json_extract(c, '$.color_std')]) AS v FROM layer_contours),
 by_name AS (SELECT file_id, layer, id, s, unnest(json_keys(v)) AS k, v FROM m WHERE json_type(v) = 'OBJECT'), entries AS (SELECT file_id, layer, id, s, unnest(json_extract(v, '$[*]')) AS e FROM m WHERE json_type(v) = 'ARRAY')

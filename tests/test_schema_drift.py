@@ -2,6 +2,7 @@ import json
 from datetime import datetime, timedelta
 
 import brute
+from pyspark.sql import functions as F
 
 from tessera.operators import schema_drift
 from tessera.operators.ordering import running_totals, with_previous
@@ -43,7 +44,9 @@ ROWS = [
 
 def test_changes_against_brute_force(spark):
     df = files(spark, ROWS)
-    got = {(r.file_id, r.field, r.change_kind) for r in schema_drift.drift(df).collect()}
+    log = schema_drift.drift(schema_drift.conform(df)).collect()
+    got = {(r.file_id, r.field, r.change_kind) for r in log}
+    assert {(r.type_before, r.type, r.union_type) for r in log if r.file_id == 2} == {("number", "string", "string")}
     rows = [r for r in (x.asDict() for x in df.collect())]
     assert got == brute.p3(rows)
     assert {(2, "params.a", "retyped"), (3, "params.bb", "renamed"), (11, "params.r", "added"), (22, "color_avg", "retyped"), (7, "params.d", "removed")} <= got
@@ -51,17 +54,35 @@ def test_changes_against_brute_force(spark):
 
 def test_union_schema_and_values(spark):
     df = files(spark, ROWS)
-    kinds = {(r.kind, r.field): r.union_type for r in schema_drift.union_schema(df).collect()}
+    kinds = {(r.kind, r.field): r.union_type for r in schema_drift.union_schema(schema_drift.headers(df)).collect()}
     assert kinds["metadata", "params.a"] == "string" and kinds["metadata", "params.z"] == "number" and kinds["metadata", "params.d"] == "string"
-    values = schema_drift.unified(df).collect()
-    assert {(r.file_id, r.number_value) for r in values if r.field == "params.z"} == {(6, 1.0)}
-    assert {r.text_value for r in values if r.field == "params.a"} == {"1"}
-    assert schema_drift.promote("number", "number") == "number" and schema_drift.promote("object", "number") == "string"
+    assert kinds["layer", "color_avg"] == "string" and kinds["layer", "color_avg.k"] == "object"
+    done = schema_drift.conform(df)
+    found = schema_drift.values(done).collect()
+    assert {(r.file_id, r.number_value) for r in found if r.field == "params.z"} == {(6, 1.0)}
+    assert {r.text_value for r in found if r.field == "params.a"} == {"1"}
+    assert {(r.file_id, r.contour_id, r.text_value) for r in found if r.field in ("color_avg.k", "color_avg.r")} == {(20, 0, "1"), (22, 0, "1"), (24, 0, "1"), (24, 1, '{"v":1}')}
+    stored = dict(done.table.dtypes)
+    assert {stored[f"f{i}"] for i, (_, _, kind) in enumerate(done.columns) if kind == "number"} == {"double"}
+    assert done.table.filter("ordinal is null").count() == len({r.file_id for r in done.table.select("file_id").collect()})
+
+
+def test_fold_is_that_of_the_lattice_in_any_order(spark):
+    sets = [["number", "boolean"], ["boolean", "number"], ["number"], ["boolean", "number", "string"], ["object", "array"], ["array"], []]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i int, t array<string>")
+    assert [r.p for r in df.select("i", schema_drift.promoted(F.col("t")).alias("p")).orderBy("i").collect()] == ["number", "number", "number", "string", "string", "array", None]
+
+
+def test_same_channel_twice_and_odd_names(spark):
+    rows = [(1, "s", "layer", 1, layer([{"channel": "r", "value": 1}, {"channel": "r", "value": "x"}, {"channel": None, "value": 1}, 3, None])), (2, "s", "metadata", 1, {"params": {"a.b": 1, "A.B": True, "`": [1]}})]
+    found = {(r.field, r.number_value, r.boolean_value, r.text_value) for r in schema_drift.values(schema_drift.conform(files(spark, rows))).collect()}
+    assert found == {("color_avg.r", 1.0, None, None), ("params.a.b", 1.0, None, None), ("params.A.B", None, True, None), ("params.`", None, None, "[1]")}
 
 
 def test_empty(spark):
     df = files(spark, [])
-    assert schema_drift.drift(df).count() == schema_drift.union_schema(df).count() == schema_drift.unified(df).count() == 0
+    done = schema_drift.conform(df)
+    assert schema_drift.drift(done).count() == done.schema.count() == schema_drift.values(done).count() == done.table.count() == 0
 
 
 def test_previous_in_a_group_that_holds_nearly_all_rows(spark):

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
-import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from tessera.session import cut
 REMEMBERED = 500_000
 
 _SPACE = re.compile(r"[ \t\n\r]*")
+_OTHER = re.compile(r"[^-\d., \[\]]")
 _PLAIN = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null")
 
 
@@ -34,17 +36,21 @@ class Node:
     __slots__ = ("bridges", "key", "scalars")
 
     def __init__(self, pairs: list[tuple[str, object]]) -> None:
-        self.scalars: list[tuple] = []
-        self.bridges: list[tuple] = []
-        for name, value in sorted(dict(pairs).items()):
+        self.scalars = scalars = []
+        self.bridges = bridges = []
+        for name, value in sorted(dict(pairs).items()) if len(pairs) > 1 else pairs:
+            if value is None:
+                continue
             kind = type(value)
             if kind is Node:
-                self.bridges.append((name, (), value))
-            elif kind is list and _holds_objects(value):
+                bridges.append((name, (), value))
+            elif kind is not list:
+                scalars.append((name, (), *_scalar(value)))
+            elif (value and type(value[0]) is Node) or ((text := _numbers(value)) is None and _holds_objects(value)):
                 self._enter(name, value)
-            elif value is not None:
-                self.scalars.append((name, (), *_scalar(value)))
-        own = repr((self.scalars, [(name, at, child.key) for name, at, child in self.bridges]))
+            else:
+                scalars.append((name, (), "array", json.dumps(_whole(value)) if text is None else text))
+        own = repr((scalars, [(name, at, child.key) for name, at, child in bridges]) if bridges else scalars)
         self.key = blake2b(own.encode(), digest_size=16).digest()
 
     def _enter(self, name: str, array: list) -> None:
@@ -70,15 +76,28 @@ def _holds_objects(array: list) -> bool:
     return False
 
 
-def _scalar(value: object) -> tuple[str, str]:
-    if isinstance(value, str):
-        return "string", value
-    return "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "array", json.dumps(value)
+def _whole(value: object) -> object:
+    """``value`` with whole numbers as such."""
+    if type(value) is list:
+        return [_whole(x) for x in value]
+    return int(value) if type(value) is float and value.is_integer() else value
+
 
+def _numbers(array: list) -> str | None:
+    """The JSON of an array, however nested, that holds nothing but numbers of ordinary size; None for any other."""
+    text = repr(array)
+    return None if _OTHER.search(text) else text.replace(".0,", ",").replace(".0]", "]")
 
-def _number(text: str) -> int | float:
-    value = float(text)
-    return int(value) if value.is_integer() else value
+
+def _scalar(value: object) -> tuple[str, str]:
+    kind = type(value)
+    if kind is str:
+        return "string", value
+    if kind is float and value.is_integer():
+        value = int(value)
+    if kind is bool:
+        return "boolean", "true" if value else "false"
+    return ("array", json.dumps(_whole(value))) if kind is list else ("number", str(value))
 
 
 def _read_deep(text: str) -> object:
@@ -113,7 +132,7 @@ def _read_deep(text: str) -> object:
         elif c == '"':
             value, at = json.decoder.scanstring(text, at + 1)
         elif found := _PLAIN.match(text, at):
-            value, at = json.loads(found[0], parse_float=_number), found.end()
+            value, at = json.loads(found[0]), found.end()
         else:
             fail()
         if c not in ("{", "["):
@@ -149,7 +168,7 @@ def canonical(text: object) -> Node | None:
     (null elements only take up a position); one without is a value.
     """
     try:
-        found = json.loads(text, object_pairs_hook=Node, parse_float=_number) if isinstance(text, str) else None
+        found = json.loads(text, object_pairs_hook=Node) if isinstance(text, str) else None
     except RecursionError:
         try:
             found = _read_deep(text)
@@ -190,27 +209,28 @@ def _texts(values: list) -> pa.Array:
         return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
 
 
+def _nested(parts: list, values: pa.Array) -> pa.ListArray:
+    """``values`` cut into lists as long as ``parts``."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in parts], dtype=np.int64)], pa.int32()), values)
+
+
 def _batch(rows: list[tuple[Node, str | None, tuple]]) -> pa.RecordBatch:
     """Objects (node, the member they stand under) and roots (node, None, file) as rows of :data:`STAGED`."""
-    own = [(node, under is not None) for node, under, _ in rows]
-
-    def listed(parts: list[list], fields: dict[str, Callable[[list], pa.Array]]) -> pa.Array:
-        flat = [m for part in parts for m in part]
-        offsets = [0]
-        for part in parts:
-            offsets.append(offsets[-1] + len(part))
-        columns = [make(flat) for make in fields.values()]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, list(fields)))
-
-    pick = lambda i: lambda flat: _texts([m[i] for m in flat])
-    ordinals = lambda flat: pa.array([m[1] for m in flat], pa.list_(pa.int32()))
-    half = lambda at: lambda keys: pa.array([struct.unpack_from("<q", k, at)[0] for k in keys], pa.int64())
-    below = lambda at: lambda flat: half(at)([m[2].key for m in flat])
-    keys = [node.key for node, _ in own]
-    scalars = listed([node.scalars if use else [] for node, use in own], {"member": pick(0), "ordinals": ordinals, "type": pick(2), "value": pick(3)})
-    bridges = listed([node.bridges if use else [] for node, use in own], {"member": pick(0), "ordinals": ordinals, "hi": below(0), "lo": below(8)})
+    halves = lambda keys: np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2).T
+    ordinals = lambda flat: _nested([m[1] for m in flat], pa.array([i for m in flat if m[1] for i in m[1]], pa.int32()))
+    scalars = [node.scalars if under is not None else () for node, under, _ in rows]
+    bridges = [node.bridges if under is not None else () for node, under, _ in rows]
+    s, b = [m for part in scalars for m in part], [m for part in bridges for m in part]
+    above, below = halves([node.key for node, _, _ in rows]), halves([m[2].key for m in b])
+    s_columns = [_texts([m[0] for m in s]), ordinals(s), _texts([m[2] for m in s]), _texts([m[3] for m in s])]
+    b_columns = [_texts([m[0] for m in b]), ordinals(b), pa.array(below[0]), pa.array(below[1])]
     files = list(zip(*(f for _, _, f in rows), strict=True))
-    columns = [half(0)(keys), half(8)(keys), _texts([u for _, u, _ in rows]), scalars, bridges, pa.array(files[0], pa.int64()), _texts(files[1]), _texts(files[2])]
+    columns = [
+        pa.array(above[0]), pa.array(above[1]), _texts([u for _, u, _ in rows]),
+        _nested(scalars, pa.StructArray.from_arrays(s_columns, ["member", "ordinals", "type", "value"])),
+        _nested(bridges, pa.StructArray.from_arrays(b_columns, ["member", "ordinals", "hi", "lo"])),
+        pa.array(files[0], pa.int64()), _texts(files[1]), _texts(files[2]),
+    ]
     return pa.RecordBatch.from_arrays(columns, ["hi", "lo", "under", "scalars", "bridges", "file_id", "stack", "kind"])
 
 
@@ -228,6 +248,7 @@ def flatten(files: DataFrame) -> Flat:
         sent: set = set()
         for batch in batches:
             rows: list = []
+            gc.disable()  # trees of many small objects, none of them in a cycle
             for f, stack, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (root := canonical(text)) is None:
                     continue
@@ -241,8 +262,10 @@ def flatten(files: DataFrame) -> Flat:
                         waiting.extend((child, name) for name, _, child in node.bridges)
                 if len(sent) > REMEMBERED:
                     sent.clear()
-            if rows:
-                yield _batch(rows)
+            out = _batch(rows) if rows else None
+            gc.enable()
+            if out is not None:
+                yield out
 
     parsed = cut(files.select("file_id", "stack", "kind", "body").mapInArrow(read, STAGED), "subtrees")
     roots = parsed.filter("under is null").groupBy("file_id").agg(F.min(F.struct("hi", "lo", "stack", "kind")).alias("r"))

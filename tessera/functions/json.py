@@ -12,13 +12,18 @@ def strict_object(text: Column) -> Column:
     Spark's parser stops after the first value, so the text is parsed as the only element of an array:
     anything behind the object makes that array invalid or longer.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    only = F.try_variant_get(wrapped, "$[1]", "string").isNull() & ~F.coalesce(F.is_variant_null(F.try_variant_get(wrapped, "$[1]", "variant")), F.lit(False))
-    shaped = F.trim(F.regexp_replace(text, r"\s", " "))
-    return F.when(shaped.startswith("{") & shaped.endswith("}") & only, F.try_variant_get(wrapped, "$[0]", "variant"))
+    inner = stripped(text)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), inner, F.lit("]")))
+    only = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    return F.when(inner.startswith("{") & inner.endswith("}") & only, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
+def stripped(text: Column) -> Column:
+    """``text`` without the white space of JSON at both ends."""
+    return F.btrim(text, F.lit(" \t\r\n"))
 
 
 def number(text: Column) -> Column:
     """BIGINT of a text that holds a whole number in any spelling (``7``, ``7.0``, ``7e0``), else null."""
     exact = F.trim(text).try_cast("decimal(38,6)")
-    return F.when(exact == F.floor(exact), exact.try_cast("bigint"))
+    return F.coalesce(text.try_cast("bigint"), F.when(exact == F.floor(exact), exact.try_cast("bigint")))

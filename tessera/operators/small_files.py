@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.json import number, strict_object
+from tessera.functions.json import number, stripped, strict_object
 from tessera.session import scratch, settings
 
 
@@ -19,7 +19,7 @@ class Packed:
     path: str
     rows: int
     checksum: int
-    files: int
+    files: int  # at most
 
 
 def _bytes_under(spark: SparkSession, path: str) -> int:
@@ -32,16 +32,16 @@ def _sums(df: DataFrame) -> list:
     return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).alias("checksum")]
 
 
-def write_verified(df: DataFrame, path: str, files: int) -> Packed:
-    """Write ``df`` into at most ``files`` files beside ``path``, read them back, compare, then rename.
+def write_verified(df: DataFrame, path: str, files: int | None = None) -> Packed:
+    """Write ``df`` beside ``path``, into at most ``files`` files if given, read them back, compare, then rename.
 
-    The number of rows and an order-free checksum over all columns are taken while writing and again
+    Partitions are joined without a shuffle to get down to ``files``. The number of rows and an order-free checksum over all columns are taken while writing and again
     from the written files. ``path`` appears only if both agree; otherwise an error names the staging
     folder, which is kept.
     """
     spark = df.sparkSession
     staging, seen = f"{path}.staging", Observation()
-    df.coalesce(files).observe(seen, *_sums(df)).write.mode("overwrite").parquet(staging)
+    (df if files is None else df.coalesce(files)).observe(seen, *_sums(df)).write.mode("overwrite").parquet(staging)
     back = spark.read.schema(df.schema).parquet(staging)
     got, want = back.agg(*_sums(back)).first(), seen.get
     if (got["rows"], got["checksum"]) != (want["rows"], want["checksum"]):
@@ -50,7 +50,7 @@ def write_verified(df: DataFrame, path: str, files: int) -> Packed:
     at, to = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at, to):
         raise RuntimeError(f"{staging} can't be renamed to {path}")
-    return Packed(path, int(got["rows"]), int(got["checksum"]), files)
+    return Packed(path, int(got["rows"]), int(got["checksum"]), len(back.inputFiles()) if files is None else files)
 
 
 def packed_read(spark: SparkSession, split_bytes: int, open_cost: int):
@@ -92,56 +92,50 @@ def records(files: DataFrame) -> DataFrame:
         "file_key", "file_id", (F.col("_pos") + 1).alias("line_no"), "written_at", "stack",
         number(F.try_variant_get("_v", "$.layer", "string")).alias("layer"),
         number(F.try_variant_get("_v", "$.segment_id", "string")).alias("segment_id"),
-        "depth", F.trim(F.regexp_replace("_line", r"[\r\t]", " ")).alias("record"),
+        "depth", stripped(F.col("_line")).alias("record"),
     )
 
 
 @dataclass(frozen=True)
 class Consolidated:
-    """``occurrences``: every record of every file; ``kept``: each record once, at its first occurrence."""
+    """``staged``: every record of every listing of a file; ``kept``: each record once, at its first occurrence."""
 
-    occurrences: DataFrame
+    staged: DataFrame
     kept: DataFrame
     packed: Packed
 
 
-def consolidate(spark: SparkSession, source: str, target_bytes: int = 128 << 20, open_cost: int = 256 << 10, split_bytes: int = 32 << 20) -> Consolidated:
+def consolidate(spark: SparkSession, source: str, target_bytes: int = 128 << 20, open_cost: int = 1 << 20, split_bytes: int = 32 << 20) -> Consolidated:
     """Consolidate the records of a table of tiny files, each record exactly once, into few files.
 
-    The table's files are read in packed splits and parsed where they are read, and the occurrences are
-    written, coalesced without a shuffle, to a staging table that is verified against what was parsed.
-    Splits shrink where the table is small, so that every core parses.
-    From it the first occurrence of each record, by (written_at, file_id, line_no), goes into the final
-    table, which is staged, verified and renamed. A minimum that combines before the shuffle finds the
-    first occurrence, so a record or file repeated any number of times makes no large group.
+    The table is read in splits of at most ``split_bytes``, parsed where it is read, and the occurrences are
+    staged and verified against what was parsed: nothing is shuffled. The first occurrence of each record, by
+    (written_at, file_id, line_no), comes from a minimum that combines before its shuffle, so a record or
+    file repeated any number of times makes no large group. What is kept is written by all tasks and then
+    compacted to files of ``target_bytes`` by :func:`compact_folder`: packed splits, no shuffle, staged, verified and
+    renamed.
 
     A file listed twice is one file (if its listings differ, the least line counts). A missing written_at
     comes first. Records without layer or segment_id cannot be told apart and are all kept. depth is the
     stack's largest known metadata.depth. Other columns are not read. An empty source gives empty tables.
     """
-    tasks, size = spark.sparkContext.defaultParallelism, _bytes_under(spark, source)
-    split_bytes = max(open_cost, min(split_bytes, math.ceil(size / (3 * tasks))))
-    with packed_read(spark, split_bytes, open_cost):
-        splits = max(tasks, math.ceil(size / split_bytes))
+    with settings(spark, spark__sql__files__maxPartitionBytes=split_bytes, spark__sql__files__openCostInBytes=256 << 10):
         parsed = records(spark.read.parquet(source))
-        staged = write_verified(parsed, scratch(spark, "occurrences"), splits)
+        staged = write_verified(parsed, scratch(spark, "occurrences"))
     raw = spark.read.schema(parsed.schema).parquet(staged.path)
-    body = F.struct("written_at", "file_id", "file_key", "line_no", "stack", "layer", "segment_id", "depth", "record")
-    once = raw.groupBy("file_key", "line_no").agg(F.min(body).alias("o")).select("o.*")
-    identity = F.concat_ws("/", F.lit("id"), "layer", "segment_id")
+    first = F.min(F.struct("written_at", "file_id", "file_key", "line_no", "layer", "segment_id", "record")).alias("o")
     known = F.col("layer").isNotNull() & F.col("segment_id").isNotNull()
-    firsts = (
-        raw.withColumn("_id", F.when(known, identity).otherwise(F.concat_ws("/", F.lit("file"), "file_key", "line_no")))
-        .groupBy("stack", "_id").agg(F.min(body.dropFields("stack", "depth")).alias("o"))
-        .select("stack", "o.*")
-    )
+    firsts = raw.filter(known).groupBy("stack", F.col("layer").alias("_l"), F.col("segment_id").alias("_s")).agg(first).select("stack", "o.*")
+    unnamed = raw.filter(~known).groupBy("stack", F.col("file_key").alias("_f"), F.col("line_no").alias("_n")).agg(first).select("stack", "o.*")
     depths = raw.groupBy("stack").agg(F.max("depth").alias("depth"))
-    kept = firsts.alias("f").join(depths.alias("d"), F.col("f.stack").eqNullSafe(F.col("d.stack")), "left").select("f.*", "d.depth")
-    files = max(1, math.ceil(_bytes_under(spark, staged.path) / target_bytes))
-    packed = write_verified(kept, scratch(spark, "records"), files)
-    return Consolidated(once, spark.read.schema(kept.schema).parquet(packed.path), packed)
+    kept = firsts.unionByName(unnamed).alias("f").join(depths.alias("d"), F.col("f.stack").eqNullSafe(F.col("d.stack")), "left").select("f.*", "d.depth")
+    loose = scratch(spark, "kept")
+    kept.write.parquet(loose)
+    packed = compact_folder(spark, loose, scratch(spark, "records"), target_bytes=target_bytes, open_cost=open_cost)
+    return Consolidated(raw, spark.read.schema(kept.schema).parquet(packed.path), packed)
 
 
 def repeated(done: Consolidated) -> DataFrame:
-    """Occurrences of a record that has occurred before: all but those kept. The join key is unique."""
-    return done.occurrences.join(done.kept.select("file_key", "line_no"), ["file_key", "line_no"], "left_anti")
+    """Occurrences of a record that has occurred before, once each: all but those kept. Columns as in :func:`records`, without the record."""
+    rest = done.staged.drop("record").join(done.kept.select("file_key", "line_no"), ["file_key", "line_no"], "left_anti")
+    return rest.dropDuplicates(["file_key", "line_no"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.json import number
 from tessera.operators import nested, schema_drift, small_files
 from tessera.operators.orphans import Orphans, orphan_references
-from tessera.session import cut, load
+from tessera.session import cut, load, scratch
 
 KEY = ["ref_field", "stack", "layer", "ref_id"]
 
@@ -26,6 +26,12 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return done.kept.select("stack", "layer", "segment_id", "depth", "file_id", F.col("line_no").cast("int").alias("line_no"), "record")
 
 
+def p2_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """The files of a table of any content rewritten as few: nothing lost or doubled."""
+    packed = small_files.compact_folder(spark, f"{d}/segment_files.parquet", scratch(spark, "compacted"))
+    return spark.read.parquet(packed.path).select("file_id", "path", "stack", "size_bytes", F.length("content").alias("n_chars"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.drift(schema_drift.conform(load(spark, d, "silhouette_files"))).select("file_id", "field", "change_kind")
 
@@ -95,7 +101,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("ref_field", "ref_month").agg(F.count("*").alias("orphan_keys"), F.sum("n_refs").alias("orphan_refs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_changes, p3_schema, p3_unified, p5_found, p5_members, p5_bridges, p6_found, p6_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p2_compacted, p3_found, p3_changes, p3_schema, p3_unified, p5_found, p5_members, p5_bridges, p6_found, p6_report)}
 NUMBER = "TRY_CAST(TRY_CAST({} AS DOUBLE) AS BIGINT)"
 TEXT = "json_extract_string({}, '$.{}')"
 
@@ -107,7 +113,7 @@ def _id(of: str, name: str = "id") -> str:
 RECORDS = f"""f AS (SELECT DISTINCT file_id, path, written_at, content FROM segment_files),
 l AS (SELECT file_id, written_at, split_part(path, '/', 1) AS stack, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM f),
 o AS (SELECT * FROM l WHERE CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' ELSE false END),
-r AS (SELECT file_id, line_no, row_number() OVER (PARTITION BY stack, {_id("line", "layer")}, {_id("line", "segment_id")} ORDER BY written_at, file_id, line_no) AS n FROM o)"""
+r AS (SELECT file_id, line_no, stack, line, row_number() OVER (PARTITION BY stack, {_id("line", "layer")}, {_id("line", "segment_id")} ORDER BY written_at, file_id, line_no) AS n FROM o)"""
 
 DOCUMENTS = f"""f AS (SELECT DISTINCT file_id, stack, kind, written_at, deleted_at, body FROM silhouette_files),
 layer_documents AS (SELECT file_id, stack, deleted_at, {_id("body")} AS layer, body FROM f WHERE kind = 'layer'),
@@ -134,6 +140,10 @@ schema AS (SELECT kind, field, CASE WHEN count(DISTINCT type) = 1 THEN min(type)
 
 SQL: dict[str, str] = {
     "p3_found": f"WITH {DOCUMENTS}, {CHANGES} SELECT file_id, field, CASE WHEN ct <> bt THEN 'retyped' WHEN renamed THEN 'renamed' WHEN ct IS NULL THEN 'removed' ELSE 'added' END AS change_kind FROM j JOIN n USING (file_id) WHERE ct <> bt OR bt IS NULL OR (ct IS NULL AND NOT renamed)",
+    "p2_compacted": "SELECT file_id, path, stack, size_bytes, length(content) AS n_chars FROM segment_files",
+    "p2_records": f"""WITH {RECORDS}, m AS (SELECT split_part(path, '/', 1) AS stack, TRY_CAST(CASE WHEN json_valid(metadata) THEN {TEXT.format("metadata", "depth")} END AS DOUBLE) AS depth FROM segment_files),
+d AS (SELECT stack, max(CASE WHEN depth = floor(depth) THEN depth::BIGINT END) AS depth FROM m GROUP BY stack)
+SELECT stack, {_id("line", "layer")} AS layer, {_id("line", "segment_id")} AS segment_id, d.depth, file_id, line_no::INT AS line_no, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS record FROM r LEFT JOIN d USING (stack) WHERE n = 1""",
     "p3_changes": f"""WITH {DOCUMENTS}, {CHANGES}, x AS (SELECT file_id, field, CASE WHEN ct <> bt THEN 'retyped' WHEN renamed THEN 'renamed' WHEN ct IS NULL THEN 'removed' ELSE 'added' END AS change_kind, CASE WHEN renamed AND bt IS NULL THEN gone ELSE bt END AS type_before, ct AS type
  FROM j JOIN n USING (file_id) WHERE ct <> bt OR bt IS NULL OR (ct IS NULL AND NOT renamed)) SELECT x.*, f.stack, f.kind, union_type FROM x JOIN (SELECT DISTINCT file_id, stack, kind FROM f) f USING (file_id) JOIN schema USING (kind, field)""",
     "p3_schema": f"WITH {DOCUMENTS}, {CHANGES} SELECT kind, field, union_type, CASE union_type WHEN 'number' THEN 'double' WHEN 'object' THEN 'variant' WHEN 'array' THEN 'variant' ELSE union_type END AS stored_as, types, n_files, first_file, last_file FROM schema",

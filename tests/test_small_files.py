@@ -42,7 +42,7 @@ def test_against_brute_force_with_dirt(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     done = small_files.consolidate(spark, table(spark, tmp_path, []))
-    assert done.kept.count() == done.occurrences.count() == small_files.repeated(done).count() == 0
+    assert done.kept.count() == done.staged.count() == small_files.repeated(done).count() == 0
 
 
 def test_folder_of_tiny_files(spark, tmp_path):

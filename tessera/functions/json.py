@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that stands in the plan, and is computed, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strict_object(text: Column) -> Column:
     """VARIANT of a text that is exactly one JSON object, else null.
 
@@ -13,9 +20,8 @@ def strict_object(text: Column) -> Column:
     anything behind the object makes that array invalid or longer.
     """
     inner = stripped(text)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), inner, F.lit("]")))
-    only = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(inner.startswith("{") & inner.endswith("}") & only, F.try_variant_get(wrapped, "$[0]", "variant"))
+    parsed = bound(F.try_parse_json(F.concat(F.lit("["), inner, F.lit("]"))), lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")))
+    return F.when(inner.startswith("{") & inner.endswith("}"), parsed)
 
 
 def stripped(text: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.json import number, strict_object
+from tessera.functions.json import bound, number, strict_object
 from tessera.operators.ordering import with_previous
 from tessera.session import cut
 
@@ -21,6 +21,13 @@ KINDS = ("metadata", "layer")
 MOST_FIELDS = 10_000
 
 
+ENTRIES = "array<struct<field:string,type:string,text:string>>"
+
+
+def _no(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
 def promoted(types: Column) -> Column:
     """The least type that holds all of an array of types: the array folded through :data:`LATTICE`; null for none."""
     meets = F.create_map(*[F.lit(x) for (a, b), c in LATTICE.items() for x in (f"{a} {b}", c)])
@@ -30,9 +37,8 @@ def promoted(types: Column) -> Column:
 
 def json_type(value: Column) -> Column:
     """number, string, boolean, object or array of a VARIANT; null for null."""
-    name = F.schema_of_variant(value)
-    found = F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean")
-    return F.when(name != "VOID", found.otherwise("number"))
+    named = lambda n: F.when(n.startswith("OBJECT"), "object").when(n.startswith("ARRAY"), "array").when(n == "STRING", "string").when(n == "BOOLEAN", "boolean").when(n != "VOID", "number")
+    return bound(F.schema_of_variant(value), named)
 
 
 def _entry(field: Column, value: Column) -> Column:
@@ -52,15 +58,15 @@ def _channels(of: Column, prefix: str) -> Column:
         lambda e: _entry(F.concat(F.lit(prefix), F.try_variant_get(e, "$.channel", "string")), F.try_variant_get(e, "$.value", "variant")),
     )
     known = F.filter(pairs, lambda e: e["field"].isNotNull() & e["type"].isNotNull())
-    return F.filter(known, lambda e, i: F.array_position(F.transform(known, lambda x: x["field"]), e["field"]) == i + 1)
+    return bound(known, lambda all_: bound(F.transform(all_, lambda x: x["field"]), lambda fields: F.filter(all_, lambda e, i: F.array_position(fields, e["field"]) == i + 1)))
 
 
 def _contour(contour: Column, at: Column) -> Column:
     """A contour's row: its ordinal and id, and the entries of its colours; the colour map itself is one if it has any."""
-    colors = F.try_variant_get(contour, "$.color_avg", "variant")
-    entries = F.coalesce(_members(colors, "color_avg."), _channels(colors, "color_avg."), F.array().cast("array<struct<field:string,type:string,text:string>>"))
-    own = F.array(F.struct(F.lit("color_avg").alias("field"), json_type(colors).alias("type"), F.lit(None).cast("string").alias("text")))
-    return F.struct(at.cast("int").alias("ordinal"), number(F.try_variant_get(contour, "$.id", "string")).alias("contour_id"), F.when(F.size(entries) > 0, F.concat(own, entries)).otherwise(entries).alias("entries"))
+    own = lambda colors: F.array(F.struct(F.lit("color_avg").alias("field"), json_type(colors).alias("type"), F.lit(None).cast("string").alias("text")))
+    entries = lambda colors: F.coalesce(_members(colors, "color_avg."), _channels(colors, "color_avg."), _no(ENTRIES))
+    found = bound(F.try_variant_get(contour, "$.color_avg", "variant"), lambda colors: bound(entries(colors), lambda e: F.when(F.size(e) > 0, F.concat(own(colors), e)).otherwise(e)))
+    return F.struct(at.cast("int").alias("ordinal"), number(F.try_variant_get(contour, "$.id", "string")).alias("contour_id"), found.alias("entries"))
 
 
 def headers(files: DataFrame) -> DataFrame:
@@ -75,15 +81,14 @@ def headers(files: DataFrame) -> DataFrame:
     """
     wanted = files.filter(F.col("kind").isin(*KINDS)).select("file_id", "stack", "kind", "written_at", strict_object(F.col("body")).alias("v")).filter("v is not null")
     contours = F.transform(F.try_variant_get("v", "$.contours", "array<variant>"), _contour)
-    none = F.array().cast("array<struct<field:string,type:string,text:string>>")
-    params = F.coalesce(_members(F.try_variant_get("v", "$.params", "variant"), "params."), none)
+    params = F.coalesce(_members(F.try_variant_get("v", "$.params", "variant"), "params."), _no(ENTRIES))
     own = lambda entries: F.array(F.struct(F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("bigint").alias("contour_id"), entries.alias("entries")))
-    inside = F.filter(F.coalesce(contours, F.array().cast("array<struct<ordinal:int,contour_id:bigint,entries:array<struct<field:string,type:string,text:string>>>>")), lambda r: F.size(r["entries"]) > 0)
-    rows = F.when(F.col("kind") == "metadata", own(params)).otherwise(F.concat(own(none), inside))
+    inside = F.filter(F.coalesce(contours, _no(f"array<struct<ordinal:int,contour_id:bigint,entries:{ENTRIES}>>")), lambda r: F.size(r["entries"]) > 0)
+    rows = F.when(F.col("kind") == "metadata", own(params)).otherwise(F.concat(own(_no(ENTRIES)), inside))
     once = wanted.select("file_id", "stack", "kind", "written_at", rows.alias("rows")).groupBy("file_id").agg(F.min(F.struct("written_at", "stack", "kind", "rows")).alias("h"))
     entries = F.flatten(F.transform("h.rows", lambda r: r["entries"]))
     folded = lambda all_: F.map_from_entries(
-        F.transform(F.array_distinct(F.transform(all_, lambda e: e["field"])), lambda f: F.struct(f, promoted(F.transform(F.filter(all_, lambda e: e["field"] == f), lambda e: e["type"]))))
+        F.transform(F.array_distinct(F.transform(all_, lambda e: e["field"])), lambda f: F.struct(f, promoted(F.array_distinct(F.transform(F.filter(all_, lambda e: e["field"] == f), lambda e: e["type"])))))
     )
     read = once.withColumn("_all", entries).select("file_id", "h.stack", "h.kind", "h.written_at", folded(F.col("_all")).alias("found"), "h.rows")
     return read.filter((F.col("kind") == "metadata") | (F.size("found") > 0))

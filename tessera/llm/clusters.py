@@ -13,57 +13,107 @@ from tessera.session import cut, discard
 SPAN = 1 << 32
 
 
+#: Entries of a matrix up to which one side of a product is broadcast: 24 bytes each.
+SMALL = 200_000
+#: Entries of a row beyond which its key is split over tasks, into so many parts.
+HUB, PARTS = 100_000, 64
+
+
 @dataclass(frozen=True)
 class MarkovClusters:
     """``nodes``: node, cluster (least attractor of its system), flow (what the node draws in at the end)."""
 
     nodes: DataFrame
     iterations: int
-    converged: bool
 
 
-def _normalised(m: DataFrame) -> DataFrame:
-    sums = m.groupBy("j").agg(F.sum("v").alias("_s"))
-    return m.join(sums, "j").select("i", "j", (F.col("v") / F.col("_s")).alias("v"))
+def _product(m: DataFrame, entries: int) -> DataFrame:
+    """The square of a matrix (i, j, v), partitioned by column.
+
+    Up to :data:`SMALL` entries the left factor is broadcast, and columns stay where they are. Beyond, both
+    sides meet on the middle index; the rows of hubs, into which very many columns flow, are split by column
+    and meet copies of the hub's own, pruned column.
+    """
+    left, right = m.select("i", F.col("j").alias("k"), F.col("v").alias("a")), m.select(F.col("i").alias("k"), "j", F.col("v").alias("b"))
+    if entries <= SMALL:
+        pairs = right.repartition("j").join(F.broadcast(left), "k")
+    else:
+        hubs = F.broadcast(right.groupBy("k").agg(F.count("*").alias("_n")).filter(F.col("_n") > HUB).select("k", F.lit(True).alias("_hub")))
+        copies = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+        many = left.join(hubs, "k", "left").withColumn("_part", F.explode(copies)).drop("_hub")
+        split = right.join(hubs, "k", "left").withColumn("_part", F.when(F.col("_hub"), F.pmod(F.xxhash64("j"), F.lit(PARTS)).cast("int")).otherwise(0)).drop("_hub")
+        pairs = split.join(many, ["k", "_part"])
+    return pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+
+
+def _largest() -> list[Column]:
+    """Order of a column's entries: largest first, the node's own before others of that size."""
+    return [F.desc(F.round("v", 12)), F.desc(F.col("i") == F.col("j")), F.col("i")]
 
 
-def markov_clusters(edges: DataFrame, inflation: float = 2.0, prune: float = 1e-4, tolerance: float = 1e-3, most: int = 40) -> MarkovClusters:
+def _started(edges: DataFrame, keep: int, prune: float) -> DataFrame:
+    """The pruned and normalised matrix of a graph. Columns of any length are ranked in parts, then what is left of each part."""
+    good = edges.filter("src is not null and dst is not null and weight > 0 and not isnan(weight)")
+    m = good.groupBy(F.col("dst").alias("i"), F.col("src").alias("j")).agg(F.sum("weight").alias("v"))
+    m = m.join(m.groupBy("j").agg(F.sum("v").alias("_s")), "j").select("i", "j", (F.col("v") / F.col("_s")).alias("v"))
+    parts = m.withColumn("_part", F.pmod(F.xxhash64("i"), F.lit(PARTS)))
+    first = parts.withColumn("_k", F.row_number().over(Window.partitionBy("j", "_part").orderBy(*_largest()))).filter((F.col("_k") <= keep) | (F.col("v") >= prune))
+    column = Window.partitionBy("j")
+    kept = first.withColumn("_k", F.row_number().over(column.orderBy(*_largest()))).filter((F.col("_k") <= keep) | (F.col("v") >= prune))
+    return kept.select("i", "j", (F.col("v") / F.sum("v").over(column)).alias("v"))
+
+
+def markov_clusters(edges: DataFrame, inflation: float = 2.0, prune: float = 1e-4, tolerance: float = 1e-3, keep: int = 64, most: int = 200) -> MarkovClusters:
     """Markov clustering of a weighted graph (src, dst, weight), both directions and self loops included.
 
     The matrix is a table (i, j, v), column j holding where the flow from j goes. Each round squares it
-    by a join on the middle index and a sum, raises entries to ``inflation``, normalises columns, and
-    drops entries under ``prune`` of a column that are not its largest: all that over windows of one
-    column, which pruning keeps to 1 / ``prune`` entries. Writing the matrix to the shared folder also
-    observes how far it has come, so a round is one job. It ends when every column's largest entry equals its sum of squares
-    within ``tolerance`` (no column is undecided), or after ``most`` rounds.
+    (see :func:`_product`), raises entries to ``inflation``, normalises columns, and drops entries under ``prune``
+    of a column that are not among its ``keep`` largest: all that over windows of one column, which pruning
+    keeps to 1 / ``prune`` + ``keep`` entries. Before the first round the graph is pruned likewise, so a hub's
+    column is short however many links it has. Writing the matrix to the shared folder also observes its
+    size and how far it has come, so a round is one job. It ends when every column's largest entry equals
+    its sum of squares within ``tolerance`` (no column is undecided); a matrix that still moves after ``most``
+    rounds is an error, never a result.
 
     A node that keeps flow to itself is an attractor; attractors that flow to each other are one system,
     named after its least node. Each node belongs to the system that takes most of its flow, ties to the
     least. Edges with a null end or a weight that is null, NaN or not positive do not count; repeated
     edges add up. No edges, no nodes.
     """
-    good = edges.filter("src is not null and dst is not null and weight > 0 and not isnan(weight)")
-    m = cut(_normalised(good.groupBy(F.col("dst").alias("i"), F.col("src").alias("j")).agg(F.sum("weight").alias("v"))), "markov")
     column = Window.partitionBy("j")
+    seen = Observation()
+    m = cut(_started(edges, keep, prune).observe(seen, F.count(F.lit(1)).alias("entries")), "markov")
+    entries = seen.get["entries"]
     for done in range(1, most + 1):
-        left, right = m.select("i", F.col("j").alias("k"), F.col("v").alias("a")), m.select(F.col("i").alias("k"), "j", F.col("v").alias("b"))
-        squared = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
-        raised = squared.withColumn("v", F.pow("v", F.lit(inflation))).withColumn("v", F.col("v") / F.sum("v").over(column)).withColumn("_most", F.max("v").over(column))
-        kept = raised.filter((F.col("v") >= prune) | (F.col("v") == F.col("_most")))
+        raised = _product(m, entries).withColumn("v", F.pow("v", F.lit(inflation))).withColumn("v", F.col("v") / F.sum("v").over(column))
+        kept = raised.withColumn("_k", F.row_number().over(column.orderBy(*_largest()))).filter((F.col("v") >= prune) | (F.col("_k") <= keep))
         scaled = kept.withColumn("v", F.col("v") / F.sum("v").over(column)).withColumn("_open", F.max("v").over(column) - F.sum(F.col("v") * F.col("v")).over(column))
         seen = Observation()
-        after = cut(scaled.observe(seen, F.max("_open").alias("open")).select("i", "j", "v"), "markov")
+        after = cut(scaled.filter("v > 0").observe(seen, F.count(F.lit(1)).alias("entries"), F.max("_open").alias("open")).select("i", "j", "v"), "markov")
         discard(m)
-        m, undecided = after, seen.get["open"]
+        m, entries, undecided = after, seen.get["entries"], seen.get["open"]
         if undecided is None or undecided < tolerance:
             break
+    else:
+        raise RuntimeError(f"Markov clustering still moves after {most} rounds: a column is undecided by {undecided:.4g}")
     attractors = m.filter((F.col("i") == F.col("j")) & (F.col("v") > tolerance)).select(F.col("i").alias("a"))
     system = m.join(attractors.withColumnRenamed("a", "j"), "j", "left_semi").filter(F.col("v") > tolerance).groupBy(F.col("j").alias("i")).agg(F.min("i").alias("cluster"))
     to = m.join(system, "i", "left").withColumn("cluster", F.coalesce("cluster", "i")).groupBy("j", "cluster").agg(F.sum("v").alias("v"))
     best = to.groupBy("j").agg(F.min(F.struct((-F.round("v", 9)).alias("v"), "cluster")).alias("b")).select(F.col("j").alias("node"), F.col("b.cluster").alias("cluster"))
     flow = m.groupBy(F.col("i").alias("node")).agg(F.sum("v").alias("flow"))
     nodes = best.join(flow, "node", "left").fillna(0.0, ["flow"])
-    return MarkovClusters(nodes, done, undecided is None or undecided < tolerance)
+    return MarkovClusters(cut(nodes, "nodes"), done)
+
+
+def representatives(nodes: DataFrame, typical: int = 5) -> DataFrame:
+    """cluster, node, flow, position: the ``typical`` members of each cluster that draw most flow, ties to the least node.
+
+    Members are ranked in parts first, so a cluster of any size leaves each task as a few rows.
+    """
+    by_flow = [F.desc(F.round("flow", 6)), F.col("node")]
+    parts = nodes.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(PARTS))).withColumn("_k", F.row_number().over(Window.partitionBy("cluster", "_part").orderBy(*by_flow))).filter(F.col("_k") <= typical)
+    ranked = parts.withColumn("position", F.row_number().over(Window.partitionBy("cluster").orderBy(*by_flow))).filter(F.col("position") <= typical)
+    return ranked.select("cluster", "node", "flow", "position")
 
 
 def considered_cells(cells: DataFrame) -> DataFrame:
@@ -135,12 +185,15 @@ def members(done: MarkerClusters, clusters: DataFrame) -> DataFrame:
 def described(done: MarkerClusters, clusters: DataFrame, typical: int = 5) -> DataFrame:
     """Each cluster with its size, range and most typical cells.
 
-    Typical are the cells of the strongest-flow bin (ties: most cells, then lowest), nearest to that
-    bin's mean, ties by cell_id. Only ``typical`` cells per cluster leave a task.
+    Typical are the members that draw most flow: the cells of the strongest-flow nodes (see
+    :func:`representatives`). The cells of one node are of one bin and draw the same flow; among them those nearest the
+    node's mean come first, ties by cell_id. Only ``typical`` cells per node leave a task.
     """
-    best = Window.partitionBy("cluster").orderBy(F.desc(F.round("flow", 6)), F.desc("n"), "mid")
-    nodes = done.bins.join(clusters.select("cluster"), "cluster", "left_semi").withColumn("_r", F.row_number().over(best)).filter("_r = 1")
-    near = Window.partitionBy("cluster").orderBy("_off", "cell_id")
-    picks = done.cells.join(F.broadcast(nodes.select("node", "cluster", "mid")), "node").withColumn("_off", F.abs(F.col("ln") - F.col("mid"))).withColumn("_k", F.row_number().over(near)).filter(F.col("_k") <= typical)
+    strongest = representatives(done.bins.join(clusters.select("cluster"), "cluster", "left_semi"), typical)
+    nodes = strongest.join(done.bins.select("node", "mid"), "node").select("node", "cluster", "mid", "position")
+    near = [F.col("_off"), F.col("cell_id")]
+    off = done.cells.join(F.broadcast(nodes), "node").withColumn("_off", F.abs(F.col("ln") - F.col("mid"))).withColumn("_part", F.pmod(F.xxhash64("cell_id"), F.lit(PARTS)))
+    few = off.withColumn("_k", F.row_number().over(Window.partitionBy("node", "_part").orderBy(*near))).filter(F.col("_k") <= typical)
+    picks = few.withColumn("_k", F.row_number().over(Window.partitionBy("cluster").orderBy("position", *near))).filter(F.col("_k") <= typical)
     typical_cells = picks.groupBy("cluster").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("_k", "cell_id"))), lambda c: c["cell_id"].cast("string"))).alias("typical_cells"))
     return clusters.join(typical_cells, "cluster").select("genotype", "cluster_rank", "n_cells", F.exp("lo").alias("marker_from"), F.exp("hi").alias("marker_to"), "typical_cells")

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import clusters
 
@@ -67,10 +68,31 @@ def test_markov_clustering_separates_cliques(spark):
     rows = [(a, b, 1.0) for block in (range(6), range(6, 11)) for a in block for b in block] + [(5, 6, 0.3), (6, 5, 0.3), (20, 20, 1.0), (None, 1, 1.0), (1, 2, float("nan")), (1, 2, -1.0), (3, 4, None)]
     done = clusters.markov_clusters(spark.createDataFrame(rows, "src bigint, dst bigint, weight double"))
     of = {r.node: r.cluster for r in done.nodes.collect()}
-    assert done.converged and len({of[i] for i in range(6)}) == 1 and len({of[i] for i in range(6, 11)}) == 1 and of[0] != of[10] and of[20] == 20
-    star = [(0, k, 1.0) for k in range(1, 3000)] + [(k, 0, 1.0) for k in range(1, 3000)] + [(k, k, 1.0) for k in range(3000)]
-    hub = clusters.markov_clusters(spark.createDataFrame(star, "src bigint, dst bigint, weight double"), most=4)
-    assert hub.nodes.select("cluster").distinct().count() == 1
+    assert len({of[i] for i in range(6)}) == 1 and len({of[i] for i in range(6, 11)}) == 1 and of[0] != of[10] and of[20] == 20
+    best = {r.cluster: r.node for r in clusters.representatives(done.nodes, 1).collect()}
+    assert set(best) == set(of.values()) and all(of[n] == c for c, n in best.items())
+
+
+def test_a_hub_of_many_links_and_split_products(spark, monkeypatch):
+    """A star, small and with 100,000 links, is one cluster drawn by its hub, also where products are split."""
+    n = 100_000
+    ids = spark.range(1, n + 1)
+    star = ids.select(F.lit(0).cast("bigint").alias("src"), F.col("id").alias("dst")).unionByName(ids.select(F.col("id").alias("src"), F.lit(0).cast("bigint").alias("dst"))).unionByName(spark.range(n + 1).select(F.col("id").alias("src"), F.col("id").alias("dst"))).withColumn("weight", F.lit(1.0))
+    big = clusters.markov_clusters(star)
+    assert big.nodes.count() == n + 1 and big.nodes.select("cluster").distinct().count() == 1
+    assert [r.node for r in clusters.representatives(big.nodes, 1).collect()] == [0]
+    monkeypatch.setattr(clusters, "SMALL", 0)
+    monkeypatch.setattr(clusters, "HUB", 50)
+    small = clusters.markov_clusters(star.filter("src <= 500 and dst <= 500"))
+    assert small.nodes.count() == 501 and small.nodes.select("cluster").distinct().count() == 1
+
+
+def test_a_graph_that_does_not_settle_is_an_error(spark):
+    rows = [(a, b, 1.0) for a in range(40) for b in range(40) if abs(a - b) <= 3]
+    df = spark.createDataFrame(rows, "src bigint, dst bigint, weight double")
+    with pytest.raises(RuntimeError, match="still moves"):
+        clusters.markov_clusters(df, most=2)
+    assert clusters.markov_clusters(df).iterations > 2
 
 
 def test_markov_clustering_equals_dense_matrices(spark):
@@ -83,7 +105,7 @@ def test_markov_clustering_equals_dense_matrices(spark):
         m[m < 1e-9] = 0
         m /= m.sum(axis=0)
     rows = [(j, i, float(a[i, j])) for i in range(12) for j in range(12) if a[i, j]]
-    of = {r.node: r.cluster for r in clusters.markov_clusters(spark.createDataFrame(rows, "src bigint, dst bigint, weight double"), most=60).nodes.collect()}
+    of = {r.node: r.cluster for r in clusters.markov_clusters(spark.createDataFrame(rows, "src bigint, dst bigint, weight double")).nodes.collect()}
     dense = m.argmax(axis=0)
     assert all((of[i] == of[j]) == (dense[i] == dense[j]) for i in range(12) for j in range(12))
     assert pytest.approx(1) == m.sum(axis=0).max()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,11 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     for each threshold e up to 1/2 the function that raises sizes over 1 - e to 1 and drops those under
     e; and for k up to 20 the rounding of (k + 1) x down to k-ths, where (k + 1) x is not whole.
     """
-    counts = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(sizes, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """:func:`lower_bound` from the number of items of each size, 0 to ``capacity``."""
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int(counts @ x) // capacity)
     below, above = np.cumsum(counts * x), np.cumsum(counts[::-1])[::-1]
@@ -90,55 +95,99 @@ def _packed(items: DataFrame, capacity: int, groups: int, turn: int) -> DataFram
     return hashed.groupBy("part").applyInPandas(pack, "doc_id bigint, piece_no int, tokens int, part int, turn int, container bigint, fill bigint, used bigint, bound bigint")
 
 
-def pack(sizes: DataFrame, capacity: int, group: int = GROUP, turns: int = 4, slack: float = 0.02) -> DataFrame:
+@dataclass(frozen=True)
+class Packing:
+    """``rows``: doc_id, piece_no, tokens, container_id, fill; ``least``: containers that any packing needs, by a dual-feasible function; ``turns`` taken."""
+
+    rows: DataFrame
+    capacity: int
+    least: int
+    turns: int
+
+
+def least_containers(pieces: DataFrame, capacity: int) -> int:
+    """The certified bound over all pieces: :func:`lower_bound` of their counts by size, of which there are at most ``capacity`` + 1."""
+    counts = pieces.groupBy("tokens").agg(F.count("*").alias("n")).collect()
+    by_size = np.zeros(capacity + 1, dtype=np.int64)
+    for r in counts:
+        by_size[r["tokens"]] = r["n"]
+    return bound_of_counts(by_size, capacity)
+
+
+def pack(sizes: DataFrame, capacity: int, group: int = GROUP, slack: float = 0.02, stop: int = 3) -> Packing:
     """Fill containers of ``capacity`` with the texts of ``sizes`` (doc_id, tokens).
 
-    Returns doc_id, piece_no, tokens, container_id, fill (of its container). Hash groups of about
-    ``group`` pieces are packed best-fit decreasing, and dual-feasible functions certify how few
-    containers each group could do with. Groups above their bound, and the containers of all groups that
+    Hash groups of about ``group`` pieces are packed best-fit decreasing, and dual-feasible functions certify how
+    few containers each group could do with. Groups above their bound, and the containers of all groups that
     are left with more than ``slack`` of the capacity free, give up the pieces of their open containers;
     these are dealt into new groups, which mixes pieces of different groups, and packed again. A turn
-    counts only if it saves containers; it ends at the bound or after ``turns``.
+    counts only if it saves containers. It ends when what is open, or all, is at its bound, or when ``stop`` dealings in a row
+    saved nothing; the bound of the whole is part of the result, so a gap is seen.
 
-    No text is split unless it alone exceeds ``capacity``, and every piece is in exactly one container.
+    No text is split unless it alone exceeds ``capacity``, and every piece is in exactly one container: the
+    packed pieces and tokens are counted against those that came in, and a difference is an error.
     Repeated doc_ids are packed as often as they occur. No texts, no containers.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
     waiting = cut(pieces(sizes, capacity), "pieces")
+    least = least_containers(waiting, capacity)
     closed: list[DataFrame] = []
-    count = waiting.count()
+    count, tokens = waiting.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     current = cut(_packed(waiting, capacity, max(1, math.ceil(count / group)), 0), "packed")
-    released = None
-    for turn in range(1, turns + 1):
-        open_ = (F.col("fill") < (1 - slack) * capacity) | ((F.col("used") > F.col("bound")) & (F.col("fill") < capacity - 1))
+    used = lambda df: df.select("turn", "part", "container").distinct().count()
+    open_ = (F.col("fill") < (1 - slack) * capacity) | ((F.col("used") > F.col("bound")) & (F.col("fill") < capacity - 1))
+    released, turn, idle, kept = None, 0, 0, 0
+    while idle < stop:
         if released is None:
             released = cut(current.filter(open_), "released")
-            before = released.select("turn", "part", "container").distinct().count()
-            freed, total = released.agg(F.count("*"), F.sum("tokens")).first()
-        if before <= 1 or before <= math.ceil((total or 0) / capacity):
+            before = used(released)
+            freed = released.count()
+            open_least = least_containers(released, capacity)
+            whole = kept + used(current)
+        if before <= max(1, open_least) or whole <= least:
             break
+        turn += 1
         again = cut(_packed(released.select("doc_id", "piece_no", "tokens"), capacity, max(1, math.ceil(freed / group)), turn), "packed")
-        if again.select("turn", "part", "container").distinct().count() >= before:
+        if used(again) >= before:
             discard(again)
+            idle += 1
             continue
-        closed.append(current.filter(~open_))
+        idle = 0
+        shut = current.filter(~open_)
+        closed.append(shut)
+        kept += used(shut)
         current = again
         discard(released)
         released = None
     out = current
     for part in closed:
         out = out.unionByName(part)
-    return out.select("doc_id", "piece_no", "tokens", F.concat_ws("-", "turn", "part", "container").alias("container_id"), "fill")
+    placed, held = out.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    if (placed, held) != (count, tokens):
+        raise RuntimeError(f"{placed} pieces of {held} tokens are packed, {count} of {tokens} came in")
+    return Packing(out.select("doc_id", "piece_no", "tokens", F.concat_ws("-", "turn", "part", "container").alias("container_id"), "fill"), capacity, least, turn)
+
+
+def split_texts(packing: Packing) -> DataFrame:
+    """doc_id of the texts that fill at least one container of the packing whole and go on in another: those that had to be split.
+
+    A text is split only where it exceeds the capacity, so its first piece is a full container of its own.
+    """
+    parts = packing.rows.groupBy("doc_id").agg(F.count_distinct("container_id").alias("_in"), F.max("piece_no").alias("_last"), F.max("fill").alias("_fill"))
+    return parts.filter((F.col("_last") > 0) & (F.col("_in") > F.col("_last")) & (F.col("_fill") == packing.capacity)).select("doc_id")
 
 
-def report(packed: DataFrame, capacity: int) -> DataFrame:
-    """One row: pieces, split texts, containers, the least number that any packing needs for these tokens, share of space used."""
-    total = packed.agg(
+def report(packing: Packing) -> DataFrame:
+    """One row: pieces, split texts, containers, the certified least number that any packing needs, share of space used."""
+    total = packing.rows.agg(
         F.count("*").alias("pieces"), F.sum(F.when(F.col("piece_no") == 1, 1).otherwise(0)).alias("split_texts"),
         F.count_distinct("container_id").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
     )
-    return total.select(F.lit(capacity).alias("capacity_tokens"), "pieces", "split_texts", "containers", F.ceil(F.col("tokens") / capacity).alias("least_containers"), (F.col("tokens") / F.nullif(F.col("containers") * capacity, F.lit(0))).alias("used_share"))
+    return total.select(
+        F.lit(packing.capacity).alias("capacity_tokens"), "pieces", F.coalesce("split_texts", F.lit(0)).alias("split_texts"), "containers", F.lit(packing.least).cast("bigint").alias("least_containers"),
+        (F.col("tokens") / F.nullif(F.col("containers") * packing.capacity, F.lit(0))).alias("used_share"),
+    )
 
 
 def filled(documents: DataFrame, packed: DataFrame, capacity: int, vocabulary: str, separator: str = "\n") -> DataFrame:

@@ -20,7 +20,11 @@ def source_name(source: Column) -> Column:
 
 @dataclass(frozen=True)
 class Mix:
-    """``chosen``: doc_id, source, tokens, copies (at least 1); ``report``: one row per source of the targets."""
+    """``chosen``: doc_id, source, tokens, copies (at least 1); ``report``: one row per source of the targets.
+
+    ``below`` of the report is read off the drawn mix: the source stays under its target although each of its documents is in
+    it max_repeats times.
+    """
 
     chosen: DataFrame
     report: DataFrame
@@ -37,13 +41,13 @@ def targets_by_source(targets: DataFrame) -> DataFrame:
     return summed.select("source", (F.col("weight") / F.sum("weight").over(Window.partitionBy())).alias("share"), "max_repeats")
 
 
-def mix(sizes: DataFrame, targets: DataFrame, length_power: float = 0.5, seed: int = 17, rounds: int = 12) -> Mix:
+def mix(sizes: DataFrame, targets: DataFrame, length_power: float = 0.5, seed: int = 17) -> Mix:
     """Choose documents so that each source has its share of a mix as large as all documents together.
 
     ``sizes``: doc_id, source, tokens; ``targets``: source, weight, max_repeats. A document's expected
     copies are proportional to tokens ** ``length_power`` within its source, at most max_repeats, and sum
     to the source's target in tokens; the factor is found per source by raising it until the capped
-    documents no longer change. Whole copies are certain. The fractions are inclusion probabilities p of
+    documents no longer change, which each round but the last adds to. Whole copies are certain. The fractions are inclusion probabilities p of
     one more copy, drawn as a Pareto order sample: a hash gives u in (0, 1), documents are ranked by
     (u / (1 - u)) / (p / (1 - p)), and the first n, the rounded sum of p, are taken. A source without
     enough text has all its documents max_repeats times and stays below its share.
@@ -60,7 +64,8 @@ def mix(sizes: DataFrame, targets: DataFrame, length_power: float = 0.5, seed: i
     plan = goal.join(held, "source", "left").fillna(0, ["source_tokens", "documents"]).withColumn("capacity_tokens", F.col("source_tokens") * F.col("max_repeats"))
     plan = cut(plan.withColumn("below", F.col("capacity_tokens") < F.col("target_tokens")).withColumn("factor", F.when(~F.col("below"), F.col("target_tokens") / F.col("_wx"))), "plan")
     drawn = docs.filter("w is not null")
-    for _ in range(rounds):
+    moved = 1
+    while moved:
         capped = F.col("w") * F.col("factor") >= F.col("max_repeats")
         sums = drawn.join(plan.filter("not below").select("source", "factor", "max_repeats"), "source").groupBy("source").agg(
             F.sum(F.when(capped, F.col("tokens")).otherwise(0)).alias("_full"), F.sum(F.when(~capped, F.col("w") * F.col("tokens"))).alias("_open")
@@ -69,8 +74,6 @@ def mix(sizes: DataFrame, targets: DataFrame, length_power: float = 0.5, seed: i
         after = cut(better.withColumn("_moved", F.col("_next") > F.col("factor") * (1 + 1e-12)).withColumn("factor", F.greatest("factor", "_next")).select(*plan.columns, "_moved"), "plan")
         moved = after.filter("_moved").limit(1).count()
         plan = after.drop("_moved")
-        if not moved:
-            break
     expected = F.when(F.col("below"), F.col("max_repeats").cast("double")).otherwise(F.least(F.col("max_repeats").cast("double"), F.col("w") * F.col("factor")))
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     copies = drawn.join(plan.select("source", "below", "factor", "max_repeats"), "source").withColumn("_e", expected).withColumn("whole", F.floor(F.col("_e") + 1e-9)).withColumn("p", F.greatest(F.col("_e") - F.col("whole"), F.lit(0.0)))
@@ -84,7 +87,9 @@ def mix(sizes: DataFrame, targets: DataFrame, length_power: float = 0.5, seed: i
     placed = ranked.join(edge, "source", "left")
     inside = placed.filter("step = edge").withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy("q", "doc_id"))).withColumn("extra", (F.col("_k") <= F.col("wanted")).cast("int")).drop("_k")
     others = placed.filter("step is null or edge is null or step <> edge").withColumn("extra", F.coalesce((F.col("step") < F.col("edge")).cast("int"), F.lit(0)))
-    chosen = inside.unionByName(others).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int")).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
+    chosen = cut(inside.unionByName(others).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int")).filter("copies > 0").select("doc_id", "source", "tokens", "copies"), "chosen")
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.count("*").alias("documents_used"), F.max("copies").alias("most_copies"))
-    report = plan.select("source", "share", "max_repeats", "documents", "source_tokens", "target_tokens", "capacity_tokens", "below").join(got, "source", "left").fillna(0, ["mixed_tokens", "documents_used", "most_copies"])
+    report = plan.select("source", "share", "max_repeats", "documents", "source_tokens", "target_tokens", "capacity_tokens").join(got, "source", "left").fillna(0, ["mixed_tokens", "documents_used", "most_copies"])
+    used_up = (F.col("mixed_tokens") < F.col("target_tokens")) & (F.col("documents_used") == F.col("documents")) & (F.col("mixed_tokens") == F.col("capacity_tokens"))
+    report = report.withColumn("below", used_up)
     return Mix(chosen, report.withColumn("mixed_share", F.col("mixed_tokens") / F.nullif(F.sum("mixed_tokens").over(Window.partitionBy()), F.lit(0))))

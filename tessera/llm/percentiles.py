@@ -29,7 +29,7 @@ SKETCH = "n bigint, err2 double, levels array<array<double>>"
 
 
 def generator(*parts: object) -> np.random.Generator:
-    """Random choices that are the same when this task runs again, and independent of those of other tasks and other ``parts``."""
+    """Random choices that are the same when this task runs again, and independent of those of other tasks and other ``parts`` (a turn, a group, a chunk)."""
     task = TaskContext.get()
     return np.random.default_rng([SEED, task.partitionId() if task else 0, zlib.crc32(repr(parts).encode())])
 
@@ -134,7 +134,7 @@ def merge(sketches: DataFrame, keys: list[str], k: int = K, combine: bool = True
                 if now is None or this != key:
                     if now is not None:
                         out.append((key, now))
-                    key, now, rng = this, Compactors(), rng or generator(turn, keys, counts[at], errors[at])
+                    key, now, rng = this, Compactors(), generator(turn, keys, this, counts[at], errors[at])
                 for h, level in enumerate(range(outer[at], outer[at + 1])):
                     if inner[level + 1] > inner[level]:
                         now.add(items[inner[level] : inner[level + 1]], h)
@@ -229,8 +229,10 @@ def _inside(values: DataFrame, keys: list[str], column: str, asked: DataFrame) -
 def readings(cells: DataFrame) -> DataFrame:
     """cell_id, stack, layer, day, clonal_marker of each valid reading (finite, above 0, below 1), each cell_id once.
 
-    Copies of a cell carry the same content; nulls in stack or layer are kept as groups.
+    Copies of a cell carry the same content; were they to differ, the least valid stack, layer, day and
+    marker would count, each for itself. Nulls in stack or layer are kept as groups.
     """
     marker = F.col("clonal_marker")
     valid = cells.filter((marker > 0) & (marker < 1) & ~F.isnan(marker) & F.col("cell_id").isNotNull())
-    return valid.select("cell_id", "stack", "layer", F.to_date("measured_at").alias("day"), marker).dropDuplicates(["cell_id", "stack", "layer", "clonal_marker"])
+    once = valid.select("cell_id", "stack", "layer", F.to_date("measured_at").alias("day"), marker).groupBy("cell_id")
+    return once.agg(*[F.min(c).alias(c) for c in ("stack", "layer", "day", "clonal_marker")])

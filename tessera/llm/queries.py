@@ -68,17 +68,16 @@ def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    packed = containers.pack(_sizes(spark, d), _capacities(spark, d)["long"])
-    return packed.filter("piece_no = 1").select("doc_id")
+    return containers.split_texts(containers.pack(_sizes(spark, d), _capacities(spark, d)["long"]))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    return containers.pack(_sizes(spark, d), _capacities(spark, d)["long"])
+    return containers.pack(_sizes(spark, d), _capacities(spark, d)["long"]).rows
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     sizes = _sizes(spark, d)
-    parts = [containers.report(containers.pack(sizes, c), c).withColumn("bin_kind", F.lit(k)) for k, c in sorted(_capacities(spark, d).items())]
+    parts = [containers.report(containers.pack(sizes, c)).withColumn("bin_kind", F.lit(k)) for k, c in sorted(_capacities(spark, d).items())]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -36,6 +36,14 @@ def test_sample_has_fixed_size_and_unequal_probabilities(spark):
     assert done.chosen.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0] == pytest.approx(expected, rel=0.02)
 
 
+def test_many_rounds_until_the_capped_documents_settle(spark):
+    """Sizes that grow by powers cap one document after another: more rounds than any fixed small number."""
+    docs = [(i, "s", 3**i) for i in range(30)] + [(100, "t", 3**29)]
+    total = sum(t for _, _, t in docs)
+    row = mixtures.mix(*tables(spark, docs, [("s", 0.49, 1), ("t", 0.51, 9)]), length_power=4.0).report.filter("source = 's'").first()
+    assert row.mixed_tokens == pytest.approx(0.49 * total, rel=0.4) and not row.below
+
+
 def test_ties_in_one_source_and_empty(spark):
     docs = [(7, "s", 10)] * 5 + [(i, "s", 10) for i in range(100, 195)]
     assert mixtures.mix(*tables(spark, docs, [("s", 1.0, 3), ("t", 1.0, 1)])).chosen.agg(F.sum("copies")).first()[0] == pytest.approx(50, abs=5)

@@ -90,6 +90,14 @@ def test_chunks_and_tasks_choose_independently(spark, monkeypatch):
     assert len({str(r.levels) for r in rows}) > 8
 
 
+def test_equal_groups_of_a_task_choose_independently(spark):
+    same = spark.range(64 * 3000, numPartitions=1).select((F.col("id") % 64).cast("string").alias("k"), F.floor(F.col("id") / 64).cast("double").alias("v"))
+    parts = percentiles.sketch(same.withColumn("p", F.floor(F.col("v") / 300)), ["k", "p"], "v", k=200)
+    rows = percentiles.merge(parts.repartition(1), ["k"], k=200).collect()
+    assert len(rows) == 64 and all(r.n == 3000 for r in rows)
+    assert len({str(r.levels) for r in rows}) > 48
+
+
 def test_empty(spark):
     df = values(spark, [])
     done = percentiles.sketch(df, ["k"], "v")
@@ -97,5 +105,5 @@ def test_empty(spark):
 
 
 def test_readings_count_a_cell_once(spark):
-    df = spark.createDataFrame([(1, "s", 1, 0.5), (1, "s", 1, 0.5), (2, "s", 1, None), (3, "s", None, 0.2), (4, "s", 1, 1.0), (None, "s", 1, 0.5)], "cell_id bigint, stack string, layer int, clonal_marker double").withColumn("measured_at", F.current_timestamp())
-    assert sorted((r.cell_id, r.clonal_marker) for r in percentiles.readings(df).collect()) == [(1, 0.5), (3, pytest.approx(0.2))]
+    df = spark.createDataFrame([(1, "s", 1, 0.5), (1, "s", 1, 0.5), (2, "s", 1, None), (3, "s", None, 0.2), (4, "s", 1, 1.0), (None, "s", 1, 0.5), (1, "t", 2, 0.4)], "cell_id bigint, stack string, layer int, clonal_marker double").withColumn("measured_at", F.current_timestamp())
+    assert sorted((r.cell_id, r.clonal_marker) for r in percentiles.readings(df).collect()) == [(1, pytest.approx(0.4)), (3, pytest.approx(0.2))]

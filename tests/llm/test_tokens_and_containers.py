@@ -28,12 +28,15 @@ def sizes(spark, rows):
 
 
 def packed(spark, rows, capacity, **k):
-    out = containers.pack(sizes(spark, rows), capacity, **k)
+    done = containers.pack(sizes(spark, rows), capacity, **k)
+    out = done.rows
+    assert {r.doc_id for r in containers.split_texts(done).collect()} == {i for i, t in rows if (t or 0) > capacity}
     bins, pieces = defaultdict(int), defaultdict(list)
     for r in out.collect():
         bins[r.container_id] += r.tokens
         pieces[r.doc_id].append((r.piece_no, r.tokens))
         assert r.fill <= capacity
+    assert containers.report(done).first().least_containers == done.least <= len(bins)
     assert all(v <= capacity for v in bins.values())
     return bins, pieces
 
@@ -52,7 +55,7 @@ def test_repeated_ties_and_empty(spark):
     bins, pieces = packed(spark, [(1, 50)] * 5 + [(k, 50) for k in range(2, 7)], 100)
     assert len(bins) == 5 and len(pieces[1]) == 5
     assert packed(spark, [], 100) == ({}, {})
-    assert containers.report(containers.pack(sizes(spark, []), 100), 100).first().containers == 0
+    assert containers.report(containers.pack(sizes(spark, []), 100)).first().containers == 0
     with pytest.raises(ValueError):
         containers.pack(sizes(spark, []), 0)
 
@@ -82,6 +85,14 @@ def test_bounds_hold_the_optimum(items):
     assert containers.lower_bound(np.array(items), capacity) <= best <= where.max() + 1
 
 
+def test_dealing_goes_on_while_it_saves(spark):
+    """Pairs that fill a container only together, in many small groups: dealt again until the bound is reached or nothing is saved."""
+    rows = [(i, int(t)) for i, t in enumerate(np.random.default_rng(1).permutation(np.r_[np.arange(51, 91), 100 - np.arange(51, 91)].repeat(8)))]
+    done = containers.pack(sizes(spark, rows), 100, group=20)
+    assert done.least == 320 and done.turns > 4
+    assert containers.report(done).first().containers <= 1.05 * done.least
+
+
 def test_dual_feasible_functions_beat_the_sum():
     assert containers.lower_bound(np.array([51] * 10), 100) == 10
     assert containers.lower_bound(np.array([34] * 9), 100) == 5
@@ -92,6 +103,6 @@ def test_texts_of_containers(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     counted = df.select("doc_id", tokens.token_count(F.col("text")).alias("tokens"))
     out = containers.pack(counted, 4)
-    filled = containers.filled(df, out, 4, tokens.VOCABULARY, separator="|").collect()
+    filled = containers.filled(df, out.rows, 4, tokens.VOCABULARY, separator="|").collect()
     words = Counter(w for r in filled for w in r.text.replace("|", " ").split())
     assert words == Counter(" ".join(texts.values()).split())

@@ -23,6 +23,12 @@ TRAINING_LENGTH = 8_000
 TRAINING_CHARS = 32_000
 #: Lines whose parses a task remembers before it starts anew.
 REMEMBERED = 200_000
+#: Longer lines are parsed in pieces, cut at a blank where there is one.
+LONGEST = 2_000
+#: Characters that are parsed together.
+TOGETHER = 1 << 20
+#: Entries of a dense table of transitions; a larger automaton keeps sorted transitions instead, with the same result.
+DENSE = 1 << 24
 
 _TAG = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
 _GAP = re.compile(r"[^\w\n]+|_+")
@@ -85,13 +91,15 @@ def cues(text: str) -> tuple[list[int], list[list[str]]]:
 
 
 class Automaton:
-    """Suffix automaton of a set of lines as a dense table: state and symbol to state, 0 for none; 1 is the start."""
+    """Suffix automaton of a set of lines: state and symbol to state, 0 for none; 1 is the start.
 
-    def __init__(self, lines: list[str]) -> None:
-        symbols = sorted(set("".join(lines)))
-        self.lookup = np.zeros(1 << 16, dtype=np.uint8)
-        for at, c in enumerate(symbols[:254], 1):
-            self.lookup[min(ord(c), 0xFFFF)] = at
+    Symbols are all characters of the lines, numbered from 1; 0 is any other. Transitions are a dense table, or
+    sorted keys where that would have more than ``dense`` entries.
+    """
+
+    def __init__(self, lines: list[str], dense: int = DENSE) -> None:
+        self.symbols = np.array(sorted(map(ord, set("".join(lines)))), dtype=np.uint32)
+        numbers = {chr(c): at for at, c in enumerate(self.symbols.tolist(), 1)}
         edges: list[dict[str, int]] = [{}, {}]
         link, longest = [0, 0], [0, 0]
         for line in lines:
@@ -101,11 +109,15 @@ class Automaton:
                     last = there
                     continue
                 last = self._extend(edges, link, longest, last, c)
-        self.table = np.zeros((len(edges), len(symbols[:254]) + 1), dtype=np.int32)
-        for state, out in enumerate(edges):
-            for c, to in out.items():
-                self.table[state, self.lookup[min(ord(c), 0xFFFF)]] = to
-        self.table[:, 0] = 0
+        self.width = len(numbers) + 1
+        keys = np.array([state * self.width + numbers[c] for state, out in enumerate(edges) for c in out], dtype=np.int64)
+        to = np.array([x for out in edges for x in out.values()], dtype=np.int32)
+        if len(edges) * self.width <= dense:
+            self.keys, self.to = None, np.zeros(len(edges) * self.width, dtype=np.int32)
+            self.to[keys] = to
+        else:
+            order = np.argsort(keys)
+            self.keys, self.to = np.append(keys[order], np.iinfo(np.int64).max), np.append(to[order], np.int32(0))
         self.size = max(2, sum(map(len, lines)))
 
     @staticmethod
@@ -135,22 +147,33 @@ class Automaton:
             link[new] = q if longest[q] == longest[p] + 1 else split(p, q)
         return new
 
-    def phrases(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def numbered(self, codes: np.ndarray) -> np.ndarray:
+        """The symbols of characters given by code point."""
+        if not len(self.symbols):
+            return np.zeros(codes.shape, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.symbols, codes), len(self.symbols) - 1)
+        return np.where(self.symbols[at] == codes, at + 1, 0).astype(np.int64)
+
+    def _step(self, keys: np.ndarray) -> np.ndarray:
+        if self.keys is None:
+            return self.to[keys]
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.to[at], 0)
+
+    def phrases(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each line's cross-parse: each the longest match with the automaton, or a symbol that it lacks.
 
-        ``codes`` has a line per column, shortest first, a character per row. All lines advance together.
+        ``symbols`` has a line per column, shortest first, a character per row. All lines advance together.
         """
-        width = self.table.shape[1]
-        flat, mapped = self.table.ravel(), self.lookup[codes].astype(np.int64)
-        state, count = np.ones(codes.shape[1], dtype=np.int64), np.zeros(codes.shape[1], dtype=np.int32)
-        begins = np.searchsorted(lengths, np.arange(codes.shape[0]), side="right")
-        for row, begin in zip(mapped, begins, strict=True):
+        state, count = np.ones(symbols.shape[1], dtype=np.int64), np.zeros(symbols.shape[1], dtype=np.int32)
+        begins = np.searchsorted(lengths, np.arange(symbols.shape[0]), side="right")
+        for row, begin in zip(symbols, begins, strict=True):
             symbol = row[begin:]
-            to = flat[state[begin:] * width + symbol]
+            to = self._step(state[begin:] * self.width + symbol)
             failed = np.flatnonzero(to == 0)
             if len(failed):
                 inside = state[begin:][failed] != 1
-                again = flat[width + symbol[failed]]
+                again = self._step(self.width + symbol[failed])
                 count[begin + failed] += inside
                 count[begin + failed] += again == 0
                 to[failed] = np.where(again == 0, 1, again)
@@ -175,25 +198,51 @@ def automata(model: Model) -> tuple[list[str], list[Automaton]]:
     return _BUILT[model]
 
 
-def parse_lines(lines: list[str], built: list[Automaton], block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """For each raw line: cross-parse cost per language in bits (phrases times the bits of a place in the training text), and letters."""
+def _pieces(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, start and size of the pieces to parse: whole lines up to :data:`LONGEST`, longer ones cut behind a blank where there is one."""
+    long = np.flatnonzero(sizes > LONGEST)
+    if not len(long):
+        return np.arange(len(starts)), starts, sizes
+    lines, begins, lengths = [np.flatnonzero(sizes <= LONGEST)], [starts[sizes <= LONGEST]], [sizes[sizes <= LONGEST]]
+    for line in long.tolist():
+        at, end, cuts = int(starts[line]), int(starts[line] + sizes[line]), []
+        while at < end:
+            blanks = np.flatnonzero(codes[at : min(at + LONGEST, end)] == 32)
+            upto = end if end - at <= LONGEST else at + (int(blanks[-1]) if len(blanks) and blanks[-1] else LONGEST)
+            cuts.append((at, upto - at))
+            at = upto
+        lines.append(np.full(len(cuts), line))
+        begins.append(np.array([c[0] for c in cuts]))
+        lengths.append(np.array([c[1] for c in cuts]))
+    return np.concatenate(lines), np.concatenate(begins), np.concatenate(lengths)
+
+
+def parse_lines(lines: list[str], built: list[Automaton], together: int = TOGETHER) -> tuple[np.ndarray, np.ndarray]:
+    """For each raw line: cross-parse cost per language in bits (phrases times the bits of a place in the training text), and letters.
+
+    Lines of about equal length are parsed together, ``together`` characters at a time. A line over
+    :data:`LONGEST` characters is parsed in pieces, which adds at most one phrase a piece in every language.
+    """
     codes = np.frombuffer(normalised("\n".join(lines)).encode("utf-32-le", "replace"), dtype=np.uint32)
-    codes = np.where(codes > 0xFFFF, 0, codes).astype(np.uint16)
     ends = np.r_[np.flatnonzero(codes == 10), len(codes)]
     starts = np.r_[0, ends[:-1] + 1]
     sizes = ends - starts
     letters = np.add.reduceat(np.r_[(codes != 32) & (codes != 10), False].astype(np.int32), starts)
     letters[sizes == 0] = 0
     costs = np.zeros((len(lines), len(built)))
-    order = np.argsort(sizes, kind="stable")
-    order = order[letters[order] > 0]
-    for at in range(0, len(order), block):
-        some = order[at : at + block]
-        lengths = sizes[some]
-        place = starts[some] + np.arange(lengths[-1])[:, None]
-        square = codes[np.minimum(place, len(codes) - 1)]
+    line, begin, length = _pieces(codes, starts, sizes)
+    order = np.argsort(length, kind="stable")
+    order = order[letters[line[order]] > 0]
+    numbered = [automaton.numbered(codes) for automaton in built]
+    at = 0
+    while at < len(order):
+        longest = np.maximum(length[order[at:]], 1)
+        some = order[at : at + max(1, int(np.searchsorted(longest * np.arange(1, len(longest) + 1), together, side="right")))]
+        lengths = length[some]
+        place = np.minimum(begin[some] + np.arange(lengths[-1])[:, None], len(codes) - 1)
         for k, automaton in enumerate(built):
-            costs[some, k] = automaton.phrases(square, lengths) * math.log2(automaton.size)
+            np.add.at(costs[:, k], line[some], automaton.phrases(numbered[k][place], lengths) * math.log2(automaton.size))
+        at += len(some)
     return costs, letters
 
 

@@ -110,7 +110,12 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_percentiles, p7_found, p7_containers, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_languages)}
 READINGS = "r AS (SELECT cell_id, min(stack) AS stack, min(layer) AS layer, min(genotype) AS genotype, min(clonal_marker) AS m FROM cell_measurements WHERE clonal_marker > 0 AND clonal_marker < 1{} GROUP BY cell_id)"
+#: Sizes in words, numbers and marks: a tokenizer that SQL can express. The cases of problems 7 and 8 are the same in any.
+COUNTED = r"t AS (SELECT doc_id, lower(trim(source)) AS source, len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]')) AS n FROM documents)"
 SQL: dict[str, str] = {
+    "p7_found": f"WITH {COUNTED} SELECT doc_id FROM t WHERE n > (SELECT capacity_tokens FROM pack_bins WHERE bin_kind = 'long')",
+    "p8_found": f"""WITH {COUNTED}, h AS (SELECT source, sum(n) AS n FROM t GROUP BY source), g AS (SELECT lower(trim(source)) AS source, sum(weight) AS weight, max(max_repeats) AS most FROM mix_targets WHERE weight > 0 GROUP BY ALL)
+SELECT source FROM g LEFT JOIN h USING (source) WHERE coalesce(h.n, 0) * most < weight / (SELECT sum(weight) FROM g) * (SELECT sum(n) FROM t)""",
     "p1_found": f"""WITH {READINGS.format(" AND genotype IN (0, 1, 2)")}, g AS (SELECT cell_id, genotype, ln(m) AS x, CASE WHEN ln(m) - lag(ln(m)) OVER (PARTITION BY genotype ORDER BY m) <= 0.3 THEN 0 ELSE 1 END AS b FROM r),
 h AS (SELECT *, sum(b) OVER (PARTITION BY genotype ORDER BY x ROWS UNBOUNDED PRECEDING) AS k, count(*) OVER (PARTITION BY genotype) AS t FROM g),
 q AS (SELECT genotype, k, row_number() OVER (PARTITION BY genotype ORDER BY k)::INT AS cluster_rank FROM h GROUP BY genotype, k HAVING max(x) - min(x) <= 0.3 AND count(*) >= 0.01 * max(t)) SELECT cell_id, genotype, cluster_rank FROM h JOIN q USING (genotype, k)""",

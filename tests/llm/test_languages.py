@@ -48,8 +48,34 @@ def test_automaton_parses_as_brute_force():
         codes = np.full((max(map(len, lines)), len(lines)), 32, dtype=np.uint16)
         for k, line in enumerate(lines):
             codes[: len(line), k] = [ord(c) for c in line]
-        got = languages.Automaton(known).phrases(codes, np.array([len(x) for x in lines]))
-        assert got.tolist() == [longest_phrases(x, known) for x in lines]
+        for dense in (languages.DENSE, 0):
+            automaton = languages.Automaton(known, dense)
+            got = automaton.phrases(automaton.numbered(codes), np.array([len(x) for x in lines]))
+            assert got.tolist() == [longest_phrases(x, known) for x in lines]
+
+
+def test_alphabets_of_any_size():
+    """A thousand Han characters, some beyond the basic plane: all are read, and every line is parsed as by definition."""
+    rng = np.random.default_rng(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 1000)] + [chr(c) for c in range(0x20000, 0x20030)]
+    known = ["".join(rng.permutation(letters)[i : i + 40]) for i in range(0, len(letters), 40)] + ["".join(letters[i : i + 40]) for i in range(0, len(letters), 40)]
+    built = [languages.Automaton([f" {x} " for x in known]), languages.Automaton([" latin text only "])]
+    assert len(built[0].symbols) == len(letters) + 1
+    lines = ["".join(letters[i : i + 17]) for i in range(0, 900, 50)] + ["".join(rng.choice(letters, 12))]
+    costs, counted = languages.parse_lines(lines, built)
+    bits = np.log2([a.size for a in built])
+    want = [[longest_phrases(f" {x} ", [f" {y} " for y in known]) * bits[0], longest_phrases(f" {x} ", [" latin text only "]) * bits[1]] for x in lines]
+    assert np.allclose(costs, want) and counted.tolist() == [len(x) for x in lines]
+    assert (costs[:-1, 0] < costs[:-1, 1]).all()
+
+
+def test_very_long_lines_are_parsed_in_pieces(model):
+    codes, built = languages.automata(model)
+    long, solid = " ".join(DE) * 2000, "boot" * 5000
+    costs, letters = languages.parse_lines([long, DE[0], solid], built, together=1000)
+    assert codes[int(costs[0].argmin())] == "de" and len(long) > 300_000 and letters[2] == 20_000
+    alone = languages.parse_lines([DE[0]], built)[0][0]
+    assert np.allclose(costs[1], alone)
 
 
 def test_wrong_labels_do_not_train(model):

@@ -13,7 +13,7 @@ from tessera.session import cut
 
 @dataclass(frozen=True)
 class Orphans:
-    """``counts``: one row per orphan key and period with ``n_refs``; ``rows``: the referring rows."""
+    """``counts``: one row per orphan key and period with ``n_refs`` and ``heavy``, the side it was found on; ``rows``: the referring rows."""
 
     counts: DataFrame
     rows: DataFrame
@@ -23,14 +23,14 @@ def _same(left: str, right: str, key: list[str]):
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}") == F.col(f"{right}.{c}") for c in key])
 
 
-def orphan_references(refs: DataFrame, targets: DataFrame, key: list[str], period: str, most_heavy: int = 10_000) -> Orphans:
+def orphan_references(refs: DataFrame, targets: DataFrame, key: list[str], period: str, most_heavy: int = 10_000, least: int = 4) -> Orphans:
     """Rows of ``refs`` whose ``key`` is in no row of ``targets``, and their number per key and period.
 
     References are first counted per key and period, which leaves one row of a hot key per period. Keys
-    with more than 1/``most_heavy`` of all references are heavy; there are fewer than ``most_heavy`` of
-    them whatever the data, so they are broadcast against the targets. All other keys take a shuffled
-    anti join, and both results are united. Referring rows follow the same split, so a hot key's rows
-    are never shuffled.
+    with more than 1/``most_heavy`` of all references, and at least ``least`` of them, are heavy; there are fewer than
+    ``most_heavy`` of them whatever the data, so they are broadcast against the targets. All other keys
+    take a shuffled anti join, and both results are united. Referring rows follow the same split, so a hot
+    key's rows are never shuffled.
 
     A null in any key column points to nothing, as in SQL. Repeated rows count each time; equal rows of
     targets count once. A null period is a period. Other columns of ``refs`` are kept, those of
@@ -39,7 +39,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame, key: list[str], perio
     counts = cut(refs.groupBy(*key, period).agg(F.count("*").alias("n_refs")), "refs")
     per_key = counts.groupBy(*key).agg(F.sum("n_refs").alias("_n"))
     total = counts.agg(F.sum("n_refs")).first()[0] or 0
-    heavy = F.broadcast(cut(per_key.filter(F.col("_n") > max(1000, total / most_heavy)).select(*key), "heavy"))
+    heavy = F.broadcast(cut(per_key.filter((F.col("_n") > total / most_heavy) & (F.col("_n") >= least)).select(*key), "heavy"))
     targets = targets.select(*key)
 
     alive = targets.alias("t").join(heavy.alias("h"), _same("t", "h", key), "left_semi").distinct()
@@ -60,4 +60,4 @@ def orphan_references(refs: DataFrame, targets: DataFrame, key: list[str], perio
         .unionByName(rest.filter(none))
         .unionByName(refs.alias("r").join(heavy_keys.alias("k"), _same("r", "k", key), "left_semi"))
     )
-    return Orphans(orphan.drop("_heavy"), rows)
+    return Orphans(orphan.withColumnRenamed("_heavy", "heavy"), rows)

@@ -101,7 +101,14 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("ref_field", "ref_month").agg(F.count("*").alias("orphan_keys"), F.sum("n_refs").alias("orphan_refs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p2_compacted, p3_found, p3_changes, p3_schema, p3_unified, p5_found, p5_members, p5_bridges, p6_found, p6_report)}
+def p6_stacks(spark: SparkSession, d: str) -> DataFrame:
+    """Cells whose stack and layer have no live load at all: keys of many references each, nearly all of them heavy."""
+    cells = load(spark, d, "cell_measurements").select("stack", "layer", F.date_format("measured_at", "yyyy-MM").alias("ref_month"))
+    loaded = load(spark, d, "layers").filter("deleted_at is null").select("stack", "layer")
+    return orphan_references(cells, loaded, ["stack", "layer"], "ref_month").counts.select("stack", "layer", "ref_month", "n_refs")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p2_compacted, p3_found, p3_changes, p3_schema, p3_unified, p5_found, p5_members, p5_bridges, p6_found, p6_report, p6_stacks)}
 NUMBER = "TRY_CAST(TRY_CAST({} AS DOUBLE) AS BIGINT)"
 TEXT = "json_extract_string({}, '$.{}')"
 
@@ -165,4 +172,11 @@ SELECT DISTINCT 'cell_measurements.segment_id' AS ref_field, cell_id AS row_key,
  WHERE segment_id <> 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.stack = c.stack AND s.layer = c.layer AND s.id = c.segment_id)
 UNION SELECT 'feud.id', file_id, layer::INT, id, strftime(written_at, '%Y-%m') FROM feud_contours q WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM layer_contours t WHERE t.deleted_at IS NULL AND t.stack = q.stack AND t.layer = q.layer AND t.id = q.id)
 UNION SELECT 'feed.layer_ids', file_id, id::INT, id, strftime(written_at, '%Y-%m') FROM feeds q WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM layer_documents t WHERE t.deleted_at IS NULL AND t.stack = q.stack AND t.layer = q.id)""",
+    "p6_report": f"""WITH {DOCUMENTS}, s AS (SELECT DISTINCT stack, layer, unnest(label_ids) AS id FROM layers WHERE deleted_at IS NULL),
+feeds AS (SELECT file_id, stack, written_at, {NUMBER.format("json_extract_string(i, '$')")} AS id FROM (SELECT *, unnest(json_extract(body, '$.layer_ids[*]')) AS i FROM f WHERE kind = 'feed')), o AS (SELECT 'cell_measurements.segment_id' AS ref_field, stack, layer, segment_id::BIGINT AS ref_id, strftime(measured_at, '%Y-%m') AS ref_month FROM cell_measurements c
+ WHERE segment_id <> 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.stack = c.stack AND s.layer = c.layer AND s.id = c.segment_id)
+UNION ALL SELECT 'feud.id', stack, layer, id, strftime(written_at, '%Y-%m') FROM feud_contours q WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM layer_contours t WHERE t.deleted_at IS NULL AND t.stack = q.stack AND t.layer = q.layer AND t.id = q.id)
+UNION ALL SELECT 'feed.layer_ids', stack, id, id, strftime(written_at, '%Y-%m') FROM feeds q WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM layer_documents t WHERE t.deleted_at IS NULL AND t.stack = q.stack AND t.layer = q.id))
+SELECT ref_field, ref_month, count(DISTINCT row(stack, layer, ref_id)) AS orphan_keys, count(*) AS orphan_refs FROM o GROUP BY ALL""",
+    "p6_stacks": "SELECT stack, layer, strftime(measured_at, '%Y-%m') AS ref_month, count(*) AS n_refs FROM cell_measurements c WHERE NOT EXISTS (SELECT 1 FROM layers l WHERE l.deleted_at IS NULL AND l.stack = c.stack AND l.layer = c.layer) GROUP BY ALL",
 }

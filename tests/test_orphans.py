@@ -22,6 +22,16 @@ def test_hot_keys_and_nulls(spark):
     assert counts == {("hot", 1, "m0"): 1500, ("hot", 1, "m1"): 1500, ("a", 2, None): 2, (None, 3, "m0"): 1, ("a", None, "m0"): 1}
 
 
+def test_both_sides_of_the_split_find_orphans(spark):
+    refs = [("s", i % 40, "m", i, 0, 0) for i in range(400)] + [("s", 1000 + i, "m", 1000 + i, 0, 0) for i in range(300)]
+    targets = [("s", k, "x", 1) for k in range(20)] + [("s", 1000 + k, "x", 1) for k in range(0, 300, 2)]
+    r = spark.createDataFrame(refs, "stack string, ref_id bigint, month string, row_key bigint, n_refs int, _n int")
+    t = spark.createDataFrame(targets, "stack string, ref_id bigint, row_key string, month int")
+    found = orphan_references(r, t, KEY, "month", most_heavy=100)
+    assert {(x.ref_id, x.heavy, x.n_refs) for x in found.counts.collect()} == {(k, True, 10) for k in range(20, 40)} | {(1000 + k, False, 1) for k in range(1, 300, 2)}
+    assert {x.row_key for x in found.rows.collect()} == {i for i in range(400) if i % 40 >= 20} | {1000 + k for k in range(1, 300, 2)}
+
+
 def test_empty_sides(spark):
     assert run(spark, [], [("a", 1, "x", 1)]) == (Counter(), {})
     assert run(spark, [("a", 1, "m", 5, 0, 0)], []) == (Counter([5]), {("a", 1, "m"): 1})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,6 +110,34 @@ def compare(rows: DataFrame, keys: list[str], label: str, value: str, test: str
     return stats.select(*keys, "a", "b", "p").join(pairs.select(*keys, "a", "b", "a_greater"), [*keys, "a", "b"])
 
 
+def concurrent_only(cells: DataFrame, label: str, a: object, b: object) -> DataFrame:
+    """Cells of labels ``a`` and ``b`` near both: rows whose concurrent_{a} and concurrent_{b} (see regions.concurrency) hold."""
+    return cells.filter(F.col(f"concurrent_{a}") & F.col(f"concurrent_{b}") & F.col(label).isin(a, b))
+
+
+def concurrent_comparisons(cells: DataFrame, keys: list[str], label: str, values: list, value: str) -> DataFrame:
+    """t statistics of each pair of labels, over the cells that are near both labels of the pair."""
+    pairs = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :]]
+    parts = [t_statistics(population_pairs(concurrent_only(cells, label, a, b), keys, label, value)) for a, b in pairs]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def sweep(rows: DataFrame, params: DataFrame, by: list[str], value: str, measured: str) -> DataFrame:
+    """Score threshold labels for every replicate (``by``) and every row of a parameter table in one plan.
+
+    ``params``: param_id, low, high; a small table, broadcast up to a million rows and an error beyond. The label of
+    a value is how many of the two thresholds it reaches. Returns by, param_id, n, error, percent_correct, MAE, failed;
+    a combination without a row that counts is listed with failed true and nulls.
+    """
+    if params.limit(1_000_001).count() > 1_000_000:
+        raise ValueError("a sweep takes at most a million parameters")
+    small = F.broadcast(params)
+    label = (F.col(value) >= F.col("low")).cast("int") + (F.col(value) >= F.col("high")).cast("int")
+    labelled = rows.select(*by, F.col(value), F.col(measured).alias("measured")).crossJoin(small).withColumn("predicted", label)
+    grid = rows.select(*by).distinct().crossJoin(small.select("param_id"))
+    return grid.join(score(labelled, [*by, "param_id"]), [*by, "param_id"], "left").withColumn("failed", F.col("n").isNull())
+
+
 def scored(measured: Column, predicted: Column) -> dict[str, Column]:
     return {"difference": F.abs(measured - predicted), "correct": measured == predicted}
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut, spread
@@ -196,14 +196,20 @@ def triangle_labels(found: DataFrame, cells: DataFrame, keys: list[str], label:
 
 
 def neighbours(edges: DataFrame, keys: list[str], depth: int = 1) -> DataFrame:
-    """Pairs (node, neighbour, hops) within ``depth`` steps, the node itself left out; one join per step, shortest path kept."""
+    """Pairs (node, neighbour, hops) within ``depth`` steps, the node itself left out; one join per step, the fewest hops of a pair by one aggregate.
+
+    The edges in both directions are written once, so every step reads them instead of making them anew.
+    """
     both = edges.select(*keys, "src", "dst").unionByName(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
+    if depth > 1:
+        both = cut(both, "both")
     reach = both.select(*keys, F.col("src").alias("node"), F.col("dst").alias("neighbour"), F.lit(1).alias("hops"))
-    edge = reach
     for hop in range(2, depth + 1):
-        step = edge.withColumnRenamed("neighbour", "src").join(both, [*keys, "src"]).select(*keys, "node", F.col("dst").alias("neighbour"), F.lit(hop).alias("hops")).filter("node <> neighbour").distinct()
-        edge = step.join(reach.select(*keys, "node", "neighbour"), [*keys, "node", "neighbour"], "left_anti")
-        reach = reach.unionByName(edge)
+        edge = reach.filter(F.col("hops") == hop - 1)
+        step = edge.select(*keys, "node", F.col("neighbour").alias("src")).join(both, [*keys, "src"]).select(*keys, "node", F.col("dst").alias("neighbour"), F.lit(hop).alias("hops")).filter("node <> neighbour")
+        reach = reach.unionByName(step).groupBy(*keys, "node", "neighbour").agg(F.min("hops").alias("hops"))
+        if hop < depth:
+            reach = cut(reach, "reach")
     return reach
 
 
@@ -280,10 +286,10 @@ def hop_correlation(edges: DataFrame, cells: DataFrame, keys: list[str], attribu
 
 
 def alpha_edges(found: DataFrame, keys: list[str], alpha: float) -> DataFrame:
-    """Outline of the triangles whose circumradius is under ``alpha``: the edges that only one of them has."""
+    """Outline of the triangles whose circumradius is under ``alpha``: the edges that only one of them has. Flat triangles do not count."""
     a, b, c = (F.hypot(F.col(f"{p}x") - F.col(f"{q}x"), F.col(f"{p}y") - F.col(f"{q}y")) for p, q in ("bc", "ca", "ab"))
     area = F.abs((F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))) / 2
-    return hull_edges(triangle_edges(found.filter(a * b * c / (4 * area) < alpha), keys), keys)
+    return hull_edges(triangle_edges(found.filter(a * b * c / (4 * F.nullif(area, F.lit(0.0))) < alpha), keys), keys)
 
 
 def voronoi_areas(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -333,20 +339,62 @@ def diffuse(edges: DataFrame, values: DataFrame, keys: list[str], columns: list[
     return spread(values.select(*keys, node, *columns), keys).groupBy(*keys).cogroup(links_by_layer).applyInPandas(run, schema)
 
 
-def communities(edges: DataFrame, nodes: DataFrame, keys: list[str], rounds: int = 8, node: str = "node") -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame, keys: list[str], node: str = "node", most: int = 300) -> DataFrame:
     """Communities by weighted label propagation on joins: each round a node takes the label of most edge weight around it, ties to the least.
 
-    A node holds on to its label with the weight of its strongest edge, which keeps two nodes from swapping
-    for ever. Labels are written to the shared folder each round. Nodes without edges stay alone. This
-    stands for map-equation communities, whose exact result depends on a random search.
+    A node holds on to its label with the weight of its strongest edge, and after eight rounds a random half
+    of the nodes that want to move do so a round, which keeps neighbours from swapping for ever. It ends
+    when no node wants to move; if some still do after ``most`` rounds that is an error. Labels are written to
+    the shared folder each round. Nodes without edges stay alone. This stands for map-equation
+    communities, whose exact result depends on a random search.
     """
     both = edges.select(*keys, "src", "dst", "weight").unionByName(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).filter("weight > 0 and src <> dst")
     links = both.groupBy(*keys, "src", "dst").agg(F.max("weight").alias("weight"))
     holds = links.groupBy(*keys, "src").agg((F.max("weight") * 0.999).alias("weight")).select(*keys, "src", F.col("src").alias("dst"), "weight")
     links = cut(links.unionByName(holds), "links")
     now = nodes.select(*keys, F.col(node).cast("bigint").alias(node), F.col(node).cast("bigint").alias("community"))
-    for _ in range(rounds):
+    for turn in range(most):
         votes = links.join(now.withColumnRenamed(node, "dst"), [*keys, "dst"]).groupBy(*keys, "src", "community").agg(F.round(F.sum("weight"), 9).alias("_w"))
         best = votes.groupBy(*keys, F.col("src").alias(node)).agg(F.max_by("community", F.struct("_w", (-F.col("community")).alias("l"))).alias("_best"))
-        now = cut(now.join(best, [*keys, node], "left").select(*keys, node, F.coalesce("_best", "community").alias("community")), "communities")
-    return now
+        wanted = now.join(best, [*keys, node], "left").withColumn("_wants", F.coalesce(F.col("_best") != F.col("community"), F.lit(False)))
+        goes = F.col("_wants") if turn < 8 else F.col("_wants") & (F.pmod(F.xxhash64(node, F.lit(turn)), F.lit(2)) == 0)
+        seen = Observation()
+        moved = wanted.withColumn("community", F.when(goes, F.col("_best")).otherwise(F.col("community")))
+        now = cut(moved.observe(seen, F.count(F.when(F.col("_wants"), 1)).alias("open")).select(*keys, node, "community"), "communities")
+        if not seen.get["open"]:
+            return now
+    raise RuntimeError(f"{seen.get['open']} nodes still change their community after {most} rounds")
+
+
+def subgraph(edges: DataFrame, nodes: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
+    """The edges whose two ends are both among ``nodes``. Nulls are no end; repeated nodes do not repeat edges."""
+    end = lambda s: nodes.select(*keys, F.col(node).alias(s))
+    return edges.join(end("src"), [*keys, "src"], "left_semi").join(end("dst"), [*keys, "dst"], "left_semi").select(*edges.columns)
+
+
+def inside_outline(points: DataFrame, outline: DataFrame, keys: list[str], node: str = "node", height: float = 32.0) -> DataFrame:
+    """Add ``inside``: whether a point (x, y) lies within the outline of its group, by counting the outline's edges to its right.
+
+    ``outline``: keys and x1, y1, x2, y2 of each edge, in any order, of any number of rings (see :func:`alpha_edges` and
+    :func:`edge_points`). Points and edges meet in stripes of ``height`` along y, so a point is compared with
+    the edges beside it only. Points of null place, and of groups without an outline, are not inside.
+    """
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    stripes = outline.filter("y1 <> y2").withColumn("_stripe", F.explode(F.sequence(F.floor(low / height), F.floor(high / height))))
+    placed = points.select(*keys, node, "x", "y", F.floor(F.col("y") / height).alias("_stripe"))
+    right = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    crossed = placed.join(stripes, [*keys, "_stripe"]).filter(right).groupBy(*keys, node).agg((F.count("*") % 2 == 1).alias("_in"))
+    return points.drop("inside").join(crossed, [*keys, node], "left").withColumn("inside", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def edge_points(edges: DataFrame, cells: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
+    """Edges with the places of their ends: x1, y1, x2, y2."""
+    place = F.struct("x", "y")
+    ends = with_attribute(edges, cells.select(*keys, node, place.alias("_p")), keys, "_p", node)
+    return ends.select(*edges.columns, F.col("_p_src.x").alias("x1"), F.col("_p_src.y").alias("y1"), F.col("_p_dst.x").alias("x2"), F.col("_p_dst.y").alias("y2"))
+
+
+def label_shapes(found: DataFrame, cells: DataFrame, keys: list[str], label: str, alpha: float, node: str = "node") -> DataFrame:
+    """Outlines per label: the edges around the triangles of one label whose circumradius is under ``alpha``; keys, label, src, dst, length."""
+    own = triangle_labels(found, cells, keys, label, node).filter("label is not null")
+    return alpha_edges(own, [*keys, "label"], alpha)

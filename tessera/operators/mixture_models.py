@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.json import bound
 from tessera.operators import graphs
 from tessera.operators.ordering import running_totals
 from tessera.session import cut
@@ -63,11 +65,6 @@ def component_densities(mixture: Mixture, columns: list[Column]) -> list[Column]
     return out
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that stands in the plan, and is computed, once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def responsibilities(mixture: Mixture, columns: list[Column]) -> Column:
     """ARRAY<DOUBLE> of the components' shares in a value's density, from log densities less their maximum; null where a column is null."""
     logs = []
@@ -119,19 +116,18 @@ def _moved(model: Mixture, sums: tuple[float, list, list, list], n: int, least_v
     return Mixture(tuple(weights[j] for j in order), tuple(means[j] for j in order), tuple(variances[j] for j in order), likelihood, n, model.log)
 
 
-def fit_each(rows: DataFrame, columns: list[str], counts: list[int], log: bool = True, rounds: int = 100, tolerance: float = 1e-6, least_variance: float = 1e-6, step: float = 1e-3, together: int = 50_000) -> list[Mixture]:
-    """Expectation-maximisation on the counts of values rounded to ``step``, for each number of components in ``counts``.
+def fit_each(rows: DataFrame, columns: list[str], counts: list[int], log: bool = True, rounds: int = 100, tolerance: float = 1e-6, least_variance: float = 1e-6, step: float = 1e-3) -> list[Mixture]:
+    """Expectation-maximisation on the counts of values rounded to ``step`` (0: not rounded), for each number of components in ``counts``.
 
     Counting is one aggregate that combines before its shuffle and makes one dimension a few thousand rows
-    whatever the input. Up to ``together`` rows are iterated here; more stay a table, and each round is one
-    pass over it for all mixtures that still move, with the parameters in the plan. Both ways run the same
-    :func:`_sums`. Starts from evenly spaced percentiles of the first column's counted values, so results do
+    whatever the input. The counts stay a table, and each round is one pass over it for all mixtures that
+    still move: tasks send their sums (see :func:`_sums`), only parameters are held here. Starts from evenly spaced percentiles of the first column's counted values, so results do
     not depend on a seed. Rows with a null (or, for logarithms, a value that is not positive) do not count.
     At most ``rounds`` rounds, until the mean log-likelihood gains less than ``tolerance``. Components that
     lose all rows keep their place with no weight. Raises ValueError without rows.
     """
     names = [f"v{i}" for i in range(len(columns))]
-    data = rows.select(*[(F.round(c / step) * step).alias(n) for n, c in zip(names, domain(columns, log), strict=True)]).dropna()
+    data = rows.select(*[(F.round(c / step) * step if step else c).alias(n) for n, c in zip(names, domain(columns, log), strict=True)]).dropna()
     data = cut(data.groupBy(*names).agg(F.count("*").alias("_n")), "sample")
     moments = [s for c in names for s in ((F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"m_{c}"), (F.sum(F.col("_n") * F.col(c) * F.col(c)) / F.sum("_n")).alias(f"q_{c}"))]
     first = data.agg(F.count("*").alias("size"), F.sum("_n").alias("n"), *moments).first()
@@ -148,14 +144,8 @@ def fit_each(rows: DataFrame, columns: list[str], counts: list[int], log: bool =
         var = tuple(max(float(s) / (k * k if d == 0 else 1), least_variance) for d, s in enumerate(spread))
         others = tuple(float(first[f"m_{c}"]) for c in names[1:])
         models.append(Mixture((1 / k,) * k, tuple((float(starts[max(1, math.ceil((i + 0.5) / k * n))]), *others) for i in range(k)), (var,) * k, log=log))
-    if size <= together:
-        local = data.toPandas().sort_values(names)
-        values, held = local[names].to_numpy(), local["_n"].to_numpy(dtype=float)
-
-    def here(at: list[int]) -> list[tuple[float, list, list, list]]:
-        return [_sums(models[i], values, held) for i in at]
 
-    def there(at: list[int]) -> list[tuple[float, list, list, list]]:
+    def passed(at: list[int]) -> list[tuple[float, list, list, list]]:
         now = [models[i] for i in at]
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +163,7 @@ def fit_each(rows: DataFrame, columns: list[str], counts: list[int], log: bool =
 
     moving, before = list(range(len(models))), [-math.inf] * len(models)
     for _ in range(rounds):
-        for i, sums in zip(moving, (here if size <= together else there)(moving), strict=True):
+        for i, sums in zip(moving, passed(moving), strict=True):
             models[i] = _moved(models[i], sums, n, least_variance)
         gains = {i: models[i].log_likelihood - before[i] for i in moving}
         moving = [i for i in moving if gains[i] >= tolerance * n]
@@ -261,6 +251,35 @@ def annotate(cells: DataFrame, edges: DataFrame, keys: list[str], attribute: str
     return cells.drop("label", "probability").join(done, [*keys, node], "left")
 
 
+#: Ways to label cells that :func:`annotations` tells apart.
+METHODS = ("level", "bivariate", "combined", "community")
+
+
+def annotations(cells: DataFrame, edges: DataFrame, keys: list[str], attribute: str, alone: Mixture, both: Mixture, methods: tuple[str, ...] = METHODS, labels: int = 3, alpha: float = 0.9, threshold: float = 0.8, node: str = "node") -> DataFrame:
+    """Each cell once per method with the label it gives: the cells' columns, method, predicted.
+
+    ``level`` takes the posterior of the attribute by the model ``alone``, ``bivariate`` that of attribute and neighbours' mean by
+    ``both``, ``combined`` either by confidence, ``community`` what is left after diffusion of the combined one over weighted
+    edges. Replicates are keys like any other, so a benchmark over all of them is one plan. A cell without a
+    positive attribute has a label by ``community`` at most.
+    """
+    sampled = graphs.neighbour_means(graphs.neighbours(edges, keys, 1), cells, keys, attribute, node=node)
+    one = posterior(alone, domain([attribute], True), labels)
+    two = posterior(both, domain([attribute, f"{attribute}_sampled"], True), labels)
+    columns = cells.columns
+    held = cut(sampled.withColumn("_one", one).withColumn("_two", two).withColumn("_c", combined(F.col("_one"), F.col("_two"), threshold)), "annotations")
+    parts = [held.select(*columns, F.lit(m).alias("method"), most_probable(F.col(c)).alias("predicted")) for m, c in zip(METHODS, ("_one", "_two", "_c"), strict=False) if m in methods]
+    if "community" in methods:
+        names = [f"p{i}" for i in range(labels)]
+        none = F.array(*[F.lit(0.0)] * labels)
+        split = held.select(*keys, node, *[F.coalesce("_c", none)[i].alias(c) for i, c in enumerate(names)])
+        weighted = graphs.edge_weights(graphs.undirected(edges, keys), cells, keys, attribute, node=node).filter("weight is not null")
+        spread = graphs.diffuse(weighted, split, keys, names, alpha, node=node)
+        label = F.when(F.array_max(F.array(*names)) > 0, most_probable(F.array(*names)))
+        parts.append(cells.join(spread.select(*keys, node, label.alias("predicted")), [*keys, node], "left").select(*columns, F.lit("community").alias("method"), "predicted"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def sample(mixture: Mixture, spark, rows: int, seed: int = 1) -> DataFrame:
     """Draw ``rows`` synthetic rows: component and v0, v1, ... (not logarithms if the mixture is of logarithms)."""
     base = spark.range(rows).withColumn("_u", F.rand(seed))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stats
 from tessera.operators import compare, graphs, images, interchange, measure, mixture_models, regions, series
-from tessera.session import cut, load
+from tessera.session import cut, load, scratch
+from tessera.sources import experiments
+from tessera.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,7 +41,8 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     """Each delivered cell once: copies differ in nothing but loaded_at."""
     names = {"centroid_x": "x", "centroid_y": "y", "clonal_marker": "m"}
     columns = ["cell_id", "stack", "layer", "segment_id", "centroid_x", "centroid_y", "pixel_count", "ch0", "ch0_std", "ch1", "ch2", "clonal_marker", "genotype", "selected", "boundary"]
-    return load(spark, d, "cell_measurements").select(*[F.col(c).alias(names.get(c, c)) for c in columns]).distinct()
+    delivered = load(spark, d, "cell_measurements").select(*[F.col(c).alias(names.get(c, c)) for c in columns])
+    return delivered.groupBy("cell_id").agg(*[F.first(c).alias(c) for c in delivered.columns[1:]])
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +67,8 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: r(c) for c in columns})
 
 
+#: A mean with the noise of its summation cut off before it is rounded, since many lie on a half of the last digit.
+EXACT = "round(CAST(avg({}) AS DECIMAL(20, 10)), 6)::DOUBLE"
 VALID = "m > 0 AND m < 1 AND NOT isnan(m)"
 
 MEASURED = f"""WITH {PIXELS}, s AS (SELECT layer, label AS segment_id, avg(col) AS centroid_x, avg(row) AS centroid_y, count(*) AS pixel_count,
@@ -154,9 +159,12 @@ def resample_weights(spark: SparkSession, d: str) -> DataFrame:
     return measure.resampling_weights(cells(spark, d), ["stack"], "pixel_count").select("stack", "pixel_count", "multiplicity", r("weight", 9).alias("weight"))
 
 
-@query()
+@query(f"""WITH {CELLS}, c AS (SELECT stack, pixel_count::DOUBLE AS size, count(*) AS multiplicity FROM cells WHERE pixel_count IS NOT NULL GROUP BY ALL),
+g AS (SELECT *, coalesce(lead(size) OVER (PARTITION BY stack ORDER BY size) - size, 0.0) AS gap FROM c), w AS (SELECT stack, size, gap / nullif(sum(gap) OVER (PARTITION BY stack), 0) AS share FROM g),
+u AS (SELECT *, sum(share) OVER (PARTITION BY stack ORDER BY size) AS hi FROM w WHERE share > 0), s AS (SELECT stack, size, ceil(round((hi - share) * 1000, 6))::BIGINT AS a, ceil(round(hi * 1000, 6))::BIGINT - 1 AS b FROM u)
+SELECT stack, size, unnest(range(a, b + 1)) AS draw FROM s WHERE b >= a""")
 def resampled(spark: SparkSession, d: str) -> DataFrame:
-    return measure.resample(cells(spark, d).withColumn("size", F.col("pixel_count").cast("double")), ["stack"], "size", 1000)
+    return measure.resample(cells(spark, d).withColumn("size", F.col("pixel_count").cast("double")), ["stack"], "size", 1000).withColumn("draw", F.col("draw").cast("bigint"))
 
 
 POLYGON = [(100.0, 80.0), (820.0, 140.0), (930.0, 700.0), (480.0, 420.0), (160.0, 900.0)]
@@ -207,12 +215,23 @@ def manual_label_join(spark: SparkSession, d: str) -> DataFrame:
     return measure.manual_labels(cells(spark, d), labels, [*KEYS, "segment_id"]).select("cell_id", "manual_label")
 
 
-@query()
+CONTOURS = """f AS (SELECT DISTINCT file_id, stack, body FROM silhouette_files WHERE kind = 'layer' AND deleted_at IS NULL),
+c AS (SELECT file_id, stack, TRY_CAST(json_extract_string(body, '$.id') AS BIGINT) AS layer, unnest(json_extract(body, '$.contours[*]')) AS c FROM f),
+a AS (SELECT *, json_extract(c, '$.color_avg') AS a FROM c)"""
+
+
+@query(f"""WITH {CONTOURS} SELECT stack, file_id, layer, TRY_CAST(json_extract_string(c, '$.id') AS BIGINT) AS segment_id, (c->>'$.centroid[0]')::DOUBLE AS centroid_x, (c->>'$.centroid[1]')::DOUBLE AS centroid_y, (c->>'$.pixel_count')::BIGINT AS pixel_count,
+ CASE WHEN json_type(a) = 'OBJECT' THEN len(list_filter(json_keys(a), lambda k: NOT ((k = 'r' AND list_contains(json_keys(a), 'ch0')) OR (k = 'g' AND list_contains(json_keys(a), 'ch1')) OR (k = 'b' AND list_contains(json_keys(a), 'ch2'))))) END AS channels,
+ CASE WHEN json_type(a) = 'OBJECT' THEN round(coalesce(list_sum(list_transform(list_filter(json_keys(a), lambda k: NOT ((k = 'r' AND list_contains(json_keys(a), 'ch0')) OR (k = 'g' AND list_contains(json_keys(a), 'ch1')) OR (k = 'b' AND list_contains(json_keys(a), 'ch2')))), lambda k: coalesce(TRY_CAST(json_extract_string(a, '$."' || k || '"') AS DOUBLE), 0.0))), 0.0), 6) END AS total FROM a""")
 def silhouette_contours(spark: SparkSession, d: str) -> DataFrame:
-    return interchange.read_contours(load(spark, d, "silhouette_files")).withColumn("colors", F.to_json("colors"))
+    """Measurements of contours with the number of their channels and their sum."""
+    found = interchange.read_contours(load(spark, d, "silhouette_files"))
+    total = F.aggregate(F.map_values("colors"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return found.select("stack", "file_id", "layer", "segment_id", "centroid_x", "centroid_y", "pixel_count", F.when(F.col("colors").isNotNull(), F.size("colors")).cast("bigint").alias("channels"), r(total).alias("total"))
 
 
-@query()
+@query(f"""WITH {CELLS}, l AS (SELECT DISTINCT stack, layer, segment_id, CASE genotype WHEN 0 THEN 'm' WHEN 1 THEN 'h' WHEN 2 THEN 'w' END AS label FROM cells WHERE genotype >= 0 AND segment_id > 0),
+c AS (SELECT stack, layer, string_agg('{{"id":' || segment_id || ',"label":"' || label || '"}}', ',' ORDER BY segment_id, label) AS t FROM l GROUP BY ALL) SELECT stack, '{{"layers":[' || string_agg('{{"id":' || layer || ',"contours":[' || t || ']}}', ',' ORDER BY layer) || ']}}' AS body FROM c GROUP BY stack""")
 def silhouette_feud(spark: SparkSession, d: str) -> DataFrame:
     labels = cells(spark, d).filter("genotype >= 0 and segment_id > 0").select(*KEYS, "segment_id", measure.celltype(F.col("genotype")).alias("label")).distinct()
     return interchange.build_feud(labels, ["stack"])
@@ -223,9 +242,10 @@ def celltype_map(spark: SparkSession, d: str) -> DataFrame:
     return cells(spark, d).select("cell_id", measure.celltype(F.col("genotype")).alias("celltype"))
 
 
-@query(f"WITH {CELLS} SELECT stack, layer, genotype, round(avg(ch1), 6) AS ch1, round(avg(ch2), 6) AS ch2 FROM cells GROUP BY stack, layer, genotype")
+@query(f"WITH {CELLS} SELECT stack, layer, genotype, {EXACT.format("ch1")} AS ch1, {EXACT.format("ch2")} AS ch2 FROM cells GROUP BY stack, layer, genotype")
 def group_mean(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(regions.group_means(cells(spark, d), [*KEYS, "genotype"], ["ch1", "ch2"]), "ch1", "ch2")
+    means = regions.group_means(cells(spark, d), [*KEYS, "genotype"], ["ch1", "ch2"])
+    return means.withColumns({c: F.round(F.col(c).cast("decimal(20,10)"), 6).cast("double") for c in ("ch1", "ch2")})
 
 
 @query(f"WITH {CELLS}, g AS (SELECT genotype, count(*) AS n FROM cells GROUP BY genotype) SELECT genotype, n, round(n / sum(n) OVER (), 9) AS share FROM g")
@@ -263,10 +283,16 @@ def distance_correlation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(graphs.distance_correlation(c, KEYS, "ch0", 80.0, 20.0), "correlation")
 
 
-@query()
+NEAR_200 = NEAR.replace("< 90", "< 200")
+
+
+@query(NEAR_200 + """, f AS (SELECT stack, layer, cell_id, (ln(ch2) - avg(ln(ch2)) OVER w) / nullif(stddev_pop(ln(ch2)) OVER w, 0) AS z FROM cells WHERE ch2 > 0 WINDOW w AS (PARTITION BY stack, layer)),
+b AS (SELECT n.stack, n.layer, floor(d / 20)::INT AS bin, avg(p.z * q.z) AS c FROM n JOIN f p ON p.cell_id = n.a JOIN f q ON q.cell_id = n.b WHERE n.a < n.b AND d < 200 GROUP BY ALL),
+t AS (SELECT stack, layer, max(c) AS top FROM b GROUP BY ALL), k AS (SELECT stack, layer, min(bin) AS stop FROM b JOIN t USING (stack, layer) WHERE c < top * 0.01 GROUP BY ALL),
+m AS (SELECT stack, layer, regr_slope(ln(c), (bin + 0.5) * 20) AS m FROM b LEFT JOIN k USING (stack, layer) WHERE c > 0 AND (stop IS NULL OR bin < stop) GROUP BY ALL) SELECT stack, layer, round(CASE WHEN m < 0 THEN -1 / m END, 3) AS length FROM m""")
 def characteristic_length(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d).withColumnRenamed("cell_id", "node")
-    return graphs.characteristic_length(graphs.distance_correlation(c, KEYS, "ch2", 200.0, 20.0), KEYS, 20.0)
+    return graphs.characteristic_length(graphs.distance_correlation(c, KEYS, "ch2", 200.0, 20.0), KEYS, 20.0).withColumn("length", r("length", 3))
 
 
 @query(f"""WITH {CELLS}, k AS (SELECT stack, layer, genotype, exp(avg(ln(ch0))) AS v, count(*) - 1 AS community_size FROM cells WHERE genotype IS NOT NULL GROUP BY ALL)
@@ -313,10 +339,13 @@ def hop_average(spark: SparkSession, d: str) -> DataFrame:
     return sampled.filter("neighbours > 0").select("cell_id", "neighbours", r("ch0_sampled").alias("ch0_sampled"))
 
 
-@query()
+@query(f"""WITH {LINKS}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), h2 AS (SELECT DISTINCT b.src, c.dst FROM b JOIN b c ON b.dst = c.src WHERE b.src <> c.dst), h3 AS (SELECT DISTINCT h2.src, c.dst FROM h2 JOIN b c ON h2.dst = c.src WHERE h2.src <> c.dst),
+p AS (SELECT src, dst, min(hops) AS hops FROM (SELECT *, 1 AS hops FROM b UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY ALL),
+f AS (SELECT stack, layer, cell_id, (ln(ch0) - avg(ln(ch0)) OVER w) / nullif(stddev_pop(ln(ch0)) OVER w, 0) AS z FROM cells WHERE ch0 > 0 WINDOW w AS (PARTITION BY stack, layer))
+SELECT x.stack, x.layer, hops, count(*) AS pairs, round(avg(x.z * y.z), 6) AS correlation FROM p JOIN f x ON x.cell_id = src JOIN f y ON y.cell_id = dst WHERE src < dst GROUP BY ALL""")
 def hop_correlation(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d)
-    return graphs.hop_correlation(links(c), c, KEYS, "ch0", 3, node="cell_id")
+    return rounded(graphs.hop_correlation(links(c), c, KEYS, "ch0", 3, node="cell_id"), "correlation")
 
 
 ORDER = ["x", "cell_id"]
@@ -351,9 +380,13 @@ def detrend(spark: SparkSession, d: str) -> DataFrame:
     return rounded(series.detrend(cells(spark, d), KEYS, ORDER, "ch0", 21), "trend", "residual").select("cell_id", "trend", "residual")
 
 
-@query()
+@query(f"""WITH {CELLS}, o AS (SELECT stack, layer, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY stack, layer) AS n, avg(ch0) OVER (w ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS v, stddev_pop(ch0) OVER (w ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS sd FROM cells WINDOW w AS ({W})),
+q AS (SELECT stack, layer, p // 3 AS k, p, v, sd FROM o WHERE p % 3 = 0 AND p // 3 < (n - 14) // 3), s AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY stack, layer) AS t, avg(v) OVER (w ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS c FROM q WINDOW w AS (PARTITION BY stack, layer ORDER BY k)),
+f AS (SELECT stack, layer, regr_intercept(v, i) FILTER (i < 15) AS b0, regr_slope(v, i) FILTER (i < 15) AS m0, regr_intercept(v, i) FILTER (i >= t - 15) AS b1, regr_slope(v, i) FILTER (i >= t - 15) AS m1 FROM s GROUP BY ALL)
+SELECT stack, layer, k::INT AS window_no, p AS start, i AS position, round(v, 6) AS window_mean, round(sd, 6) AS window_std, round(CAST(CASE WHEN t >= 15 THEN CASE WHEN i < 7 THEN b0 + m0 * i WHEN i >= t - 7 THEN b1 + m1 * i ELSE c END END AS DECIMAL(20, 10)), 6)::DOUBLE AS smoothed FROM s JOIN f USING (stack, layer)""")
 def smooth(spark: SparkSession, d: str) -> DataFrame:
-    return series.smooth(cells(spark, d), KEYS, ORDER, "ch0", 15)
+    out = rounded(series.smooth(cells(spark, d), KEYS, ORDER, "ch0", 15), "window_mean", "window_std").withColumn("smoothed", F.round(F.col("smoothed").cast("decimal(20,10)"), 6).cast("double"))
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ("start", "position")})
 
 
 @query(f"""WITH {CELLS}, s AS (SELECT stack, layer, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY stack, layer) AS n, max(ch0) OVER (w ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS a, min(ch0) OVER (w ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS b FROM cells WINDOW w AS ({W}))
@@ -364,7 +397,12 @@ def rolling_range(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    return series.bootstrap_means(cells(spark, d), ["stack"], "ch0", 100)
+    return series.bootstrap(cells(spark, d), ["stack"], "ch0", "cell_id", rounds=1000)
+
+
+@query()
+def rolling_interval(spark: SparkSession, d: str) -> DataFrame:
+    return series.rolling_interval(cells(spark, d), KEYS, ORDER, "ch0", 20, 10)
 
 
 MOMENTS = f"WITH {CELLS}, g AS (SELECT stack, genotype, count(*) AS n, avg(ch2) AS mean, var_samp(ch2) AS v FROM cells WHERE genotype IN (0, 1, 2) GROUP BY ALL), p AS (SELECT a.stack, a.genotype AS a, b.genotype AS b, a.n AS n_a, b.n AS n_b, a.mean AS m_a, b.mean AS m_b, a.v AS v_a, b.v AS v_b FROM g a JOIN g b ON a.stack = b.stack AND a.genotype < b.genotype) "
@@ -395,11 +433,25 @@ def population_mw(spark: SparkSession, d: str) -> DataFrame:
     return compare.mann_whitney(_population(spark, d), ["stack"], "genotype", "ch2").select("stack", "a", "b", r("u", 3).alias("u"))
 
 
-@query()
+#: Two-sided p by the same closed forms, as series: of Kolmogorov, of the error function, of the incomplete beta function.
+_SUM = "list_sum(list_transform(range({}, {}), lambda k: {}))"
+_P_KS = "CASE WHEN z < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * " + _SUM.format(1, 101, "(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * z * z)") + ")) END"
+_P_MW = "CASE WHEN z <= 0 THEN 1.0 WHEN z > 6 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-z * z) * " + _SUM.format(0, 150, "exp(2 * k * ln(2) + (2 * k + 1) * ln(z) + lgamma(k + 1) - lgamma(2 * k + 2))") + " END"
+_P_T = "CASE WHEN abs(t) > 12 THEN 0.0 WHEN t = 0 THEN 1.0 ELSE 1 - exp(0.5 * ln(y) + df / 2 * ln(1 - y) + lgamma(0.5 + df / 2) - lgamma(1.5) - lgamma(df / 2)) * " + _SUM.format(0, 400, "exp(lgamma(0.5 + df / 2 + k) - lgamma(0.5 + df / 2) - lgamma(1.5 + k) + lgamma(1.5) + k * ln(y))") + " END"
+
+
+@query(f"""WITH {CELLS}, c AS (SELECT * FROM cells WHERE genotype IN (0, 1, 2) AND ch2 IS NOT NULL), g AS (SELECT stack, genotype, count(*) AS n, avg(ch2) AS mean, var_samp(ch2) AS v FROM c GROUP BY ALL),
+p AS (SELECT a.stack, a.genotype AS a, b.genotype AS b, a.n AS n_a, b.n AS n_b, a.mean > b.mean AS a_greater, (a.mean - b.mean) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS t, (a.n + b.n - 2)::DOUBLE AS df FROM g a JOIN g b ON a.stack = b.stack AND a.genotype < b.genotype),
+v AS (SELECT p.stack, p.a, p.b, c.ch2 AS v, count(*) FILTER (c.genotype = p.a) AS ca, count(*) FILTER (c.genotype = p.b) AS cb FROM p JOIN c ON c.stack = p.stack AND c.genotype IN (p.a, p.b) GROUP BY ALL),
+s AS (SELECT *, sum(ca) OVER w AS ua, sum(cb) OVER w AS ub, sum(ca) OVER q AS na, sum(cb) OVER q AS nb, sum(ca + cb) OVER w - (ca + cb - 1) / 2 AS mid FROM v WINDOW w AS (PARTITION BY stack, a, b ORDER BY v), q AS (PARTITION BY stack, a, b)),
+k AS (SELECT stack, a, b, max(abs(ua / na - ub / nb)) * sqrt(max(na) * max(nb) / (max(na) + max(nb))) AS z, sum(mid * ca) - max(na) * (max(na) + 1) / 2 AS u, max(na)::DOUBLE AS na, max(nb)::DOUBLE AS nb, sum(pow(ca + cb, 3) - (ca + cb)) AS ties FROM s GROUP BY ALL),
+m AS (SELECT stack, a, b, greatest(0.0, abs(u - na * nb / 2) - 0.5) / sqrt(2 * (na * nb / 12 * ((na + nb + 1) - ties / ((na + nb) * (na + nb - 1))))) AS z FROM k),
+r AS (SELECT stack, a, b, 'ks' AS test, {_P_KS} AS p FROM k UNION ALL SELECT stack, a, b, 'mw', {_P_MW} FROM m UNION ALL SELECT stack, a, b, 't', {_P_T} FROM (SELECT *, t * t / (df + t * t) AS y FROM p))
+SELECT stack, a, b, test, a_greater, round(greatest(r.p, 0.0), 6) AS p FROM r JOIN p USING (stack, a, b)""")
 def pairwise_compare(spark: SparkSession, d: str) -> DataFrame:
     c = _population(spark, d)
     parts = [compare.compare(c, ["stack"], "genotype", "ch2", t).withColumn("test", F.lit(t)) for t in compare.TESTS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "p")
 
 
 SCORED = f"WITH {CELLS}, s AS (SELECT stack, layer, genotype AS measured, CASE WHEN m < 0.1 THEN 0 WHEN m < 0.3 THEN 1 ELSE 2 END AS predicted FROM cells WHERE {VALID} AND genotype IN (0, 1, 2)) "
@@ -608,3 +660,183 @@ def plane_mask(spark: SparkSession, d: str) -> DataFrame:
     layers = load(spark, d, "cell_measurements").select(*KEYS).distinct()
     mask = mixture_models.grid_mask(layers, 32, 32, 0.5 * F.col("x") + 0.5 * F.col("y"), [0.3, 0.7])
     return mask.groupBy(*KEYS, "bin").agg(F.count("*").alias("n"))
+
+
+STRIP = f"""{LINKS}, tri AS (SELECT stack, layer, cell_id AS a, n1 AS b, n2 AS c, x AS x0, y AS y0, x1, y1, x2, y2 FROM chain WHERE n2 IS NOT NULL),
+sides AS (SELECT stack, layer, a AS triangle, unnest([a, b, c]) AS src, unnest([b, c, a]) AS dst, unnest([sqrt((x0-x1)*(x0-x1)+(y0-y1)*(y0-y1)), sqrt((x1-x2)*(x1-x2)+(y1-y2)*(y1-y2)), sqrt((x2-x0)*(x2-x0)+(y2-y0)*(y2-y0))]) AS length FROM tri),
+once AS (SELECT stack, layer, least(src, dst) AS src, greatest(src, dst) AS dst, min(length) AS length, count(*) AS n FROM sides GROUP BY ALL)"""
+
+
+def strip(cells: DataFrame) -> DataFrame:
+    """A triangle of each cell and the next two of its layer: a strip of triangles that SQL can make as well."""
+    w = Window.partitionBy(*KEYS).orderBy("cell_id")
+    corner = lambda k, n: [F.lead(c, k).over(w).alias(a) for c, a in (("cell_id", n), ("x", f"{n}x"), ("y", f"{n}y"))]
+    out = cells.select(*KEYS, F.col("cell_id").alias("triangle"), F.col("cell_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), *corner(1, "b"), *corner(2, "c"))
+    return out.filter("c is not null")
+
+
+@query(f"WITH {STRIP} SELECT src, dst, round(length, 6) AS length FROM once")
+def strip_edges(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(graphs.undirected(graphs.triangle_edges(strip(cells(spark, d)), KEYS), KEYS).select("src", "dst", "length"), "length")
+
+
+@query(f"WITH {STRIP} SELECT triangle, s.src, s.dst FROM sides s JOIN once o ON o.stack = s.stack AND o.layer = s.layer AND o.src = least(s.src, s.dst) AND o.dst = greatest(s.src, s.dst) WHERE n > 1")
+def strip_inner(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.drop_hull(graphs.triangle_edges(strip(cells(spark, d)), KEYS), KEYS).select("triangle", "src", "dst")
+
+
+@query(f"WITH {STRIP}, r AS (SELECT *, row_number() OVER (PARTITION BY stack, layer, triangle ORDER BY length DESC, src DESC, dst DESC) AS k FROM sides) SELECT triangle, src, dst FROM r WHERE k > 1")
+def strip_shortened(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.drop_longest(graphs.triangle_edges(strip(cells(spark, d)), KEYS), KEYS).select("triangle", "src", "dst")
+
+
+LABELLED = f"""{STRIP}, labelled AS (SELECT tri.*, CASE WHEN q.genotype = r.genotype AND coalesce(p.genotype <> q.genotype, true) THEN q.genotype ELSE p.genotype END AS label FROM tri JOIN cells p ON p.cell_id = a JOIN cells q ON q.cell_id = b JOIN cells r ON r.cell_id = c)"""
+
+
+@query(f"WITH {LABELLED} SELECT a AS triangle, label FROM labelled")
+def strip_genotypes(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d)
+    return graphs.triangle_labels(strip(c), c, KEYS, "genotype", "cell_id").select("triangle", "label")
+
+
+OUTLINE = """size AS (SELECT *, sqrt((x1-x2)*(x1-x2)+(y1-y2)*(y1-y2)) * sqrt((x2-x0)*(x2-x0)+(y2-y0)*(y2-y0)) * sqrt((x0-x1)*(x0-x1)+(y0-y1)*(y0-y1)) / nullif(4 * (abs((x1-x0)*(y2-y0)-(y1-y0)*(x2-x0)) / 2), 0) AS radius FROM {0}),
+rim AS (SELECT stack, layer, {1}least(src, dst) AS src, greatest(src, dst) AS dst FROM (SELECT stack, layer, {1}unnest([a, b, c]) AS src, unnest([b, c, a]) AS dst FROM size WHERE radius < {2}) GROUP BY ALL HAVING count(*) = 1)"""
+
+
+@query(f"WITH {LABELLED}, {OUTLINE.format('labelled', 'label, ', 400)} SELECT label, src, dst FROM rim WHERE label IS NOT NULL")
+def clone_shapes(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d)
+    return graphs.label_shapes(strip(c), c, KEYS, "genotype", 400.0, "cell_id").select("label", "src", "dst")
+
+
+@query(f"""WITH {STRIP}, {OUTLINE.format('tri', '', 400)}, line AS (SELECT rim.stack, rim.layer, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM rim JOIN cells p ON p.cell_id = src JOIN cells q ON q.cell_id = dst),
+hit AS (SELECT c.cell_id, count(*) AS n FROM cells c JOIN line l ON l.stack = c.stack AND l.layer = c.layer WHERE (py > c.y + 0.37) <> (qy > c.y + 0.37) AND c.x < (qx - px) * (c.y + 0.37 - py) / (qy - py) + px GROUP BY ALL)
+SELECT cell_id, coalesce(n % 2 = 1, false) AS inside FROM cells LEFT JOIN hit USING (cell_id)""")
+def alpha_inside(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a place just beside each cell lies within its layer's outline."""
+    c = cells(spark, d)
+    outline = graphs.edge_points(graphs.alpha_edges(strip(c), KEYS, 400.0), c, KEYS, "cell_id")
+    return graphs.inside_outline(c.withColumn("y", F.col("y") + 0.37), outline, KEYS, "cell_id").select("cell_id", "inside")
+
+
+@query(f"WITH {LINKS} SELECT src, dst FROM edges JOIN cells a ON a.cell_id = src JOIN cells b ON b.cell_id = dst WHERE a.genotype = 2 AND b.genotype = 2")
+def subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d)
+    return graphs.subgraph(links(c), c.filter("genotype = 2"), KEYS, "cell_id").select("src", "dst")
+
+
+@query(f"""WITH {CELLS}, d AS (SELECT c.cell_id, t.genotype AS g, min(abs(t.x - c.x)) AS gap, count(*) AS n FROM cells c JOIN cells t ON t.stack = c.stack AND t.layer = c.layer AND t.genotype IN (0, 1, 2) GROUP BY ALL),
+k AS (SELECT cells.*, """ + ", ".join(f"EXISTS (SELECT 1 FROM d WHERE d.cell_id = cells.cell_id AND d.g = {g} AND d.n > 5 AND d.gap <= 10) AS c{g}" for g in range(3)) + """ FROM cells),
+p AS (""" + " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b, * FROM k WHERE c{a} AND c{b} AND genotype IN ({a}, {b})" for a, b in ((0, 1), (0, 2), (1, 2))) + """),
+m AS (SELECT stack, a, b, count(*) FILTER (genotype = a) AS n_a, count(*) FILTER (genotype = b) AS n_b, avg(ch2) FILTER (genotype = a) AS m_a, avg(ch2) FILTER (genotype = b) AS m_b, var_samp(ch2) FILTER (genotype = a) AS v_a, var_samp(ch2) FILTER (genotype = b) AS v_b FROM p WHERE ch2 IS NOT NULL GROUP BY ALL)
+SELECT stack, a, b, n_a, n_b, round((m_a - m_b) / nullif(sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / nullif(n_a + n_b - 2, 0) * (1.0 / n_a + 1.0 / n_b)), 0), 6) AS t, m_a > m_b AS a_greater FROM m WHERE n_a > 0 AND n_b > 0""")
+def concurrent_compare(spark: SparkSession, d: str) -> DataFrame:
+    near = regions.concurrency(cells(spark, d), KEYS, "genotype", [0, 1, 2])
+    return compare.concurrent_comparisons(near, ["stack"], "genotype", [0, 1, 2], "ch2").select("stack", "a", "b", "n_a", "n_b", r("t").alias("t"), "a_greater")
+
+
+BOTH = mixture_models.Mixture((0.3, 0.4, 0.3), ((-3.0, -2.2), (-1.6, -1.6), (-0.4, -0.9)), ((0.04, 0.3), (0.05, 0.3), (0.03, 0.3)))
+
+
+def _logs(model: mixture_models.Mixture, *columns: str) -> str:
+    """SQL of each component's log density, as l0, l1, ..."""
+    parts = []
+    for i, (w, mean, var) in enumerate(zip(model.weights, model.means, model.variances, strict=True)):
+        parts.append(f"ln({w})" + "".join(f" - 0.5 * ln(2 * pi() * {v}) - pow({c} - ({m}), 2) / (2 * {v})" for c, m, v in zip(columns, mean, var, strict=True)) + f" AS l{i}")
+    return ", ".join(parts)
+
+
+def _decided(model: mixture_models.Mixture) -> str:
+    """SQL of the most probable of three components, beyond all of them the outermost, and of its share."""
+    low, high = (f(m[0] + s * 4 * v[0] ** 0.5 for m, v in zip(model.means, model.variances, strict=True)) for f, s in ((min, -1), (max, 1)))
+    top = "greatest(l0, l1, l2)"
+    return f"""CASE WHEN x < {low} THEN 0 WHEN x > {high} THEN 2 WHEN l0 = {top} THEN 0 WHEN l1 = {top} THEN 1 ELSE 2 END AS label, CASE WHEN x < {low} OR x > {high} THEN 1.0 ELSE 1 / (exp(l0 - {top}) + exp(l1 - {top}) + exp(l2 - {top})) END AS share"""
+
+
+@query(f"""WITH {LINKS}, v AS (SELECT stack, cell_id, genotype, CASE WHEN {VALID} THEN ln(m) END AS x FROM cells), b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), n AS (SELECT src AS cell_id, avg(x) AS around FROM b JOIN v ON v.cell_id = dst GROUP BY src),
+w AS (SELECT stack, cell_id, genotype, x, coalesce(around, 0.0) AS around FROM v LEFT JOIN n USING (cell_id) WHERE x IS NOT NULL AND genotype IN (0, 1, 2)),
+one AS (SELECT cell_id, {_decided(FIXED)} FROM (SELECT *, {_logs(FIXED, "x")} FROM w)), two AS (SELECT cell_id, {_decided(BOTH)} FROM (SELECT *, {_logs(BOTH, "x", "around")} FROM w)),
+s AS (SELECT w.stack, w.genotype AS measured, unnest(['level', 'bivariate', 'combined']) AS method, unnest([one.label, two.label, CASE WHEN two.share > 0.8 AND one.share < 0.8 THEN two.label ELSE one.label END]) AS predicted FROM w JOIN one USING (cell_id) JOIN two USING (cell_id)),
+k AS (SELECT stack, method, measured, count(*) AS n, sum(abs(measured - predicted)) AS d, sum((measured = predicted)::INT) AS c FROM s GROUP BY ALL)
+SELECT stack, method, sum(n)::BIGINT AS n, round(sum(d) / (2 * sum(n)), 6) AS error, round(sum(c) / sum(n), 6) AS percent_correct, round(avg(d / n) / 2, 6) AS "MAE" FROM k GROUP BY ALL""")
+def benchmark_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every stack a replicate: labels by three of the methods scored against the genotypes, as one plan."""
+    return _benchmark(spark, d, ("level", "bivariate", "combined"))
+
+
+@query()
+def benchmark_community(spark: SparkSession, d: str) -> DataFrame:
+    return _benchmark(spark, d, mixture_models.METHODS)
+
+
+def _benchmark(spark: SparkSession, d: str, methods: tuple[str, ...]) -> DataFrame:
+    c = cells(spark, d)
+    marked = c.withColumn("m", F.when((F.col("m") > 0) & (F.col("m") < 1) & ~F.isnan("m"), F.col("m")))
+    found = mixture_models.annotations(marked, links(c), KEYS, "m", FIXED, BOTH, methods, node="cell_id").filter("genotype in (0, 1, 2)")
+    return rounded(compare.score(found.select("stack", "method", F.col("genotype").alias("measured"), "predicted"), ["stack", "method"]), "error", "percent_correct", "MAE")
+
+
+@query(f"""WITH {CELLS}, p AS (SELECT unnest(range(16))::INT AS param_id), q AS (SELECT param_id, (0.1 + 0.9 * param_id / 15) * 0.2 AS low, (0.1 + 0.9 * param_id / 15) * 0.6 AS high FROM p),
+s AS (SELECT stack, param_id, genotype AS measured, (m >= low)::INT + (m >= high)::INT AS predicted FROM cells, q WHERE {VALID} AND genotype IN (0, 1, 2)),
+k AS (SELECT stack, param_id, measured, count(*) AS n, sum(abs(measured - predicted)) AS d, sum((measured = predicted)::INT) AS c FROM s GROUP BY ALL),
+r AS (SELECT stack, param_id, sum(n)::BIGINT AS n, round(sum(d) / (2 * sum(n)), 6) AS error, round(sum(c) / sum(n), 6) AS percent_correct, round(avg(d / n) / 2, 6) AS "MAE" FROM k GROUP BY ALL)
+SELECT g.stack, p.param_id, n, error, percent_correct, "MAE", n IS NULL AS failed FROM (SELECT DISTINCT stack FROM cells) g CROSS JOIN p LEFT JOIN r ON r.stack = g.stack AND r.param_id = p.param_id""")
+def sweep_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Sixteen ambiguities from 0.1 to 1 as one table of parameters, scored for every stack in one plan."""
+    c = cells(spark, d).withColumn("genotype", F.when(F.col("genotype").isin(0, 1, 2), F.col("genotype"))).withColumn("m", F.when((F.col("m") > 0) & (F.col("m") < 1) & ~F.isnan("m"), F.col("m")))
+    ambiguity = 0.1 + 0.9 * F.col("id") / 15
+    params = spark.range(16).select(F.col("id").cast("int").alias("param_id"), (ambiguity * 0.2).alias("low"), (ambiguity * 0.6).alias("high"))
+    return rounded(compare.sweep(c, params, ["stack"], "m", "genotype"), "error", "percent_correct", "MAE")
+
+
+@query(f"""WITH {RASTER}, m AS (SELECT *, ch0 >= avg(ch0) OVER (PARTITION BY stack, layer) AS mask FROM raster),
+g AS (SELECT DISTINCT stack, layer, row + dr AS row, col + dc AS col FROM (SELECT * FROM m WHERE mask), (SELECT unnest([-2, -1, 0, 1, 2]) AS dr), (SELECT unnest([-2, -1, 0, 1, 2]) AS dc))
+SELECT m.stack, m.layer, count(*) AS n, round(CAST(sum(ch0) AS DECIMAL(20, 10)), 3)::DOUBLE AS total FROM m LEFT JOIN g USING (stack, layer, row, col) WHERE g.row IS NULL GROUP BY ALL""")
+def background_sum(spark: SparkSession, d: str) -> DataFrame:
+    far = measure.background_pixels(measure.mean_mask(_raster(spark, d), KEYS, "ch0"), KEYS, "mask", 2)
+    return far.groupBy(*KEYS).agg(F.count("*").alias("n"), F.round(F.sum("ch0").cast("decimal(20,10)"), 3).cast("double").alias("total"))
+
+
+@query(f"WITH {PIXELS}, m AS (SELECT layer, ch0 >= avg(ch0) OVER (PARTITION BY layer) AS mask, ch1 / 4096 AS a, ch0 / 4096 AS b FROM pixels) SELECT layer, count(*) AS n, round(sum(a), 6) AS ch0, round(sum(b), 4) AS ch1 FROM m GROUP BY layer")
+def unit_channels(spark: SparkSession, d: str) -> DataFrame:
+    unit = measure.reorder_channels(measure.unit_pixels(pixels(spark, d), ["ch0", "ch1", "ch2"], 12), [1, 0])
+    return unit.groupBy("layer").agg(F.count("*").alias("n"), F.round(F.sum("ch0"), 6).alias("ch0"), F.round(F.sum("ch1"), 4).alias("ch1"))
+
+
+@query(f"WITH {CELLS} SELECT stack, count(DISTINCT layer) AS depth, 16 AS bits, 3 AS colordepth FROM cells GROUP BY stack")
+def stack_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return experiments.initialise(cells(spark, d), ["ch0", "ch1", "ch2"], 16)
+
+
+@query(f"WITH {CELLS} SELECT stack, layer, count(*) AS n, round(sum(ch0), 4) AS total FROM cells WHERE layer = 1 GROUP BY ALL")
+def stored_layer(spark: SparkSession, d: str) -> DataFrame:
+    """Measurements written as an experiment, and one layer of each stack read back by its partition."""
+    path = scratch(spark, "experiment")
+    experiments.write_measurements(cells(spark, d), path)
+    return experiments.read_measurements(spark, path, layer=1).groupBy(*KEYS).agg(F.count("*").alias("n"), F.round(F.sum("ch0"), 4).alias("total"))
+
+
+@query(f"WITH {CELLS} SELECT stack, count(DISTINCT layer) AS layers FROM cells GROUP BY stack")
+def stored_stacks(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "experiment")
+    experiments.write_measurements(cells(spark, d), path)
+    return experiments.stacks(spark, path)
+
+
+@query(f"WITH {PIXELS} SELECT layer, CASE WHEN label % 3 = 0 THEN 0 ELSE label END AS label, count(*) AS n FROM pixels GROUP BY ALL")
+def imported_labels(spark: SparkSession, d: str) -> DataFrame:
+    """A label mask without every third label adopted by the pixels: those without a mask are background."""
+    p = load(spark, d, "lineitem").select(F.lit("s").alias("stack"), F.col("l_linenumber").alias("layer"), F.col("l_orderkey").alias("row"), F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice").alias("col"), F.col("l_suppkey").alias("label")).distinct()
+    mask = p.filter("label % 3 <> 0").select(*KEYS, "row", "col", "label")
+    return experiments.import_labels(p, mask).groupBy("layer", "label").agg(F.count("*").alias("n"))
+
+
+@query("""WITH o AS (SELECT DISTINCT cell_id, measured_at, stack, layer, ch0 FROM cell_measurements WHERE measured_at IS NOT NULL), t AS (SELECT max(measured_at) - INTERVAL 1 HOUR AS upto FROM o)
+SELECT strftime(date_trunc('day', measured_at), '%Y-%m-%d') AS day, stack, layer, count(*) AS n, round(avg(ch0), 6) AS mean FROM o, t WHERE date_trunc('day', measured_at)::TIMESTAMP + INTERVAL 1 DAY <= upto GROUP BY ALL""")
+def streamed_days(spark: SparkSession, d: str) -> DataFrame:
+    """Means of the days that are over, from the measurements as a stream that is read to its end."""
+    path = f"{d}/cell_measurements.parquet"
+    out = scratch(spark, "streamed")
+    stream = arrivals.layer_means(arrivals.arrivals(spark, f"{path[:-1]}[t]", spark.read.parquet(path).schema), "ch0")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "offsets")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select(F.date_format("from", "yyyy-MM-dd").alias("day"), "stack", "layer", "n", r("mean").alias("mean"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -20,14 +21,29 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder of this machine is set as the checkpoint folder.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and Spark runs in this one
+    process, as in tests, a temporary folder of this machine is set as the checkpoint folder; on a cluster
+    that would lose data with an executor, so it is an error there. :func:`clear` removes what was written.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    context.__dict__.setdefault("_tessera_scratch", []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything written under :func:`scratch` so far. For after a result has been written or collected: what is still read from there is lost."""
+    written = spark.sparkContext.__dict__.pop("_tessera_scratch", [])
+    jvm = spark.sparkContext._jvm
+    for folder in written:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

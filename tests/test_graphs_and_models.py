@@ -92,6 +92,25 @@ def test_communities_of_two_cliques(spark):
     assert len({groups[i] for i in range(4)}) == 1 and len({groups[i] for i in range(4, 8)}) == 1 and groups[0] != groups[7] and groups[8] == 8
 
 
+def test_communities_that_do_not_settle_are_an_error(spark):
+    rows = [(a, a + 1, 1) for a in range(60)]
+    chain = edges(spark, rows).withColumn("weight", F.lit(1.0))
+    with pytest.raises(RuntimeError, match="still change"):
+        graphs.communities(chain, points(spark, [(0, 0)] * 61), KEYS, most=1)
+    found = graphs.communities(chain, points(spark, [(0, 0)] * 61), KEYS).collect()
+    assert len(found) == 61
+
+
+def test_outline_subgraph_and_nulls(spark):
+    square = [(0, 0), (10, 0), (10, 10), (0, 10), (5, 5), (50, 5), (5, 95)]
+    cells = points(spark, square)
+    rim = graphs.edge_points(edges(spark, [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 0, 1)]), cells, KEYS)
+    assert {r.node: r.inside for r in graphs.inside_outline(cells, rim, KEYS, height=3.0).filter("node > 3").collect()} == {4: True, 5: False, 6: False}
+    assert graphs.inside_outline(cells, rim.limit(0), KEYS).filter("inside").count() == 0
+    kept = graphs.subgraph(edges(spark, [(0, 1, 1), (1, 2, 1), (1, None, 1)]), cells.filter("node < 2").union(cells.filter("node = 0")), KEYS)
+    assert [(r.src, r.dst) for r in kept.collect()] == [(0, 1)]
+
+
 def test_correlation_falls_with_distance(spark):
     rng = np.random.default_rng(1)
     xy = rng.random((300, 2)) * 200
@@ -108,8 +127,8 @@ def test_mixture_is_recovered(spark):
     best, models = mixture_models.select(rows, ["v0"], 2, 4)
     assert len(best.weights) == 3 and len(models) == 3
     assert np.allclose([m[0] for m in best.means], [-3.0, -1.6, -0.4], atol=0.05) and np.allclose(best.weights, true.weights, atol=0.03)
-    remote = mixture_models.fit(rows, ["v0"], 3, together=0)
-    assert np.allclose([m[0] for m in remote.means], [m[0] for m in best.means], atol=0.02)
+    exact = mixture_models.fit(rows, ["v0"], 3, step=0.0)
+    assert np.allclose([m[0] for m in exact.means], [m[0] for m in best.means], atol=0.002)
     labelled = rows.withColumn("label", mixture_models.most_probable(mixture_models.posterior(best, mixture_models.domain(["v0"], True), 3)))
     assert labelled.filter("label = component").count() > 5900
     shares = labelled.select(mixture_models.responsibilities(best, mixture_models.domain(["v0"], True)).alias("r")).agg(F.max(F.abs(F.aggregate("r", F.lit(0.0), lambda a, x: a + x) - 1))).first()[0]
@@ -119,17 +138,26 @@ def test_mixture_is_recovered(spark):
         mixture_models.fit(rows.limit(0), ["v0"], 2)
 
 
-def test_fit_is_the_same_in_a_table(spark):
+def test_fit_equals_plain_iterations(spark):
+    """Five rounds from the counted percentiles, with a hot value and one far from all components."""
     rng = np.random.default_rng(4)
     drawn = np.round(np.concatenate([rng.normal(0, 1, 600), rng.normal(6, 1, 300), np.full(500, 6.5), [400.0]]), 3)
-    rows = spark.createDataFrame([(float(v), float(w)) for v, w in zip(drawn, rng.normal(0, 1, len(drawn)), strict=True)], "v double, w double")
-    for columns in (["v"], ["v", "w"]):
-        here, there = (mixture_models.fit(rows, columns, 3, log=False, rounds=5, together=t) for t in (50_000, 0))
-        assert there.log_likelihood == pytest.approx(here.log_likelihood, rel=1e-9) and here.rows == there.rows == len(drawn)
-        for a, b in zip((here.weights, *here.means, *here.variances), (there.weights, *there.means, *there.variances), strict=True):
-            assert a == pytest.approx(b, rel=1e-6)
-    counted = mixture_models.fit(rows, ["v"], 2, log=False, rounds=1, tolerance=0.0, together=0)
-    assert sum(w * m[0] for w, m in zip(counted.weights, counted.means, strict=True)) == pytest.approx(drawn.mean()) and sum(counted.weights) == pytest.approx(1)
+    rows = spark.createDataFrame([(float(v),) for v in drawn], "v double").repartition(5)
+    got = mixture_models.fit(rows, ["v"], 3, log=False, rounds=5, tolerance=0.0)
+    n = len(drawn)
+    mean = np.sort(drawn)[[math.ceil((i + 0.5) / 3 * n) - 1 for i in range(3)]]
+    var, weight = np.full(3, drawn.var() / 9), np.full(3, 1 / 3)
+    for _ in range(5):
+        logs = np.log(weight) - 0.5 * np.log(2 * np.pi * var) - (drawn[:, None] - mean) ** 2 / (2 * var)
+        share = np.exp(logs - logs.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        likelihood = float(np.logaddexp.reduce(logs, axis=1).sum())
+        size = share.sum(axis=0)
+        weight, mean = size / n, share.T @ drawn / size
+        var = np.maximum(share.T @ drawn**2 / size - mean**2, 1e-6)
+    order = np.argsort(mean)
+    assert got.rows == n and got.log_likelihood == pytest.approx(likelihood, rel=1e-9)
+    assert np.allclose([m[0] for m in got.means], mean[order]) and np.allclose(got.weights, weight[order]) and np.allclose([v[0] for v in got.variances], var[order])
 
 
 def test_shares_far_from_all_components(spark):

@@ -1,6 +1,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,8 +29,34 @@ def test_local_lines_keep_a_line(spark):
 
 
 def test_bootstrap_interval_holds_the_mean(spark):
-    r = series.bootstrap_means(line(spark, 500), ["k"], "v", 50).first()
-    assert r.low < 500 < r.high and r.high - r.low < 150
+    df = line(spark, 500)
+    r = series.bootstrap(df, ["k"], "v", "o", rounds=300).first()
+    middle = df.agg(F.avg("v"), F.stddev_pop("v")).first()
+    error = middle[1] / math.sqrt(500)
+    assert r.low < middle[0] < r.high and r.high - r.low == pytest.approx(2 * 1.96 * error, rel=0.2) and r.centre == pytest.approx(middle[0], abs=error / 3)
+    again = series.bootstrap(df.repartition(7), ["k"], "v", "o", rounds=300).first()
+    assert (again.low, again.high) == (pytest.approx(r.low), pytest.approx(r.high))
+    whole = series.bootstrap(df, [], "v", "o", statistic=lambda w, s, q: s / w, rounds=50).first()
+    assert whole.low < middle[0] < whole.high
+    std = series.bootstrap(df, ["k"], "v", "o", "std", rounds=200).first()
+    assert std.low < middle[1] < std.high
+    assert series.bootstrap(df.limit(0), ["k"], "v", "o", rounds=5).count() == 0
+
+
+def test_rolling_interval_and_subsample(spark):
+    df = line(spark, 40)
+    rows = series.rolling_interval(df, ["k"], ["o"], "v", 10, 5, np.median).collect()
+    plain = {r.window_no: r.reduced for r in series.roll_apply(df, ["k"], ["o"], "v", 10, 5, np.median).collect()}
+    assert {r.window_no for r in rows} == set(plain) and all(r.low <= plain[r.window_no] <= r.high for r in rows)
+    some = {r.o for r in series.subsample(spark.range(10_000).withColumnRenamed("id", "o"), "o", 0.2).collect()}
+    assert 1800 < len(some) < 2200 and some == {r.o for r in series.subsample(spark.range(10_000).withColumnRenamed("id", "o").repartition(3), "o", 0.2).collect()}
+
+
+def test_sweep_lists_combinations_without_rows(spark):
+    rows = spark.createDataFrame([("a", 0.2, 0), ("a", 0.9, 2), ("b", None, 1), ("c", 0.5, None)], "k string, v double, g int")
+    params = spark.createDataFrame([(0, 0.3, 0.6), (1, 0.95, 0.99)], "param_id int, low double, high double")
+    got = {(r.k, r.param_id): (r.n, r.percent_correct, r.failed) for r in compare.sweep(rows, params, ["k"], "v", "g").collect()}
+    assert got == {("a", 0): (2, 1.0, False), ("a", 1): (2, 0.5, False), **{(k, p): (None, None, True) for k in "bc" for p in (0, 1)}}
 
 
 def population(spark):

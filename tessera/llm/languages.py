@@ -233,15 +233,21 @@ def parse_lines(lines: list[str], built: list[Automaton], together: int = TOGETH
     line, begin, length = _pieces(codes, starts, sizes)
     order = np.argsort(length, kind="stable")
     order = order[letters[line[order]] > 0]
-    numbered = [automaton.numbered(codes) for automaton in built]
+    alphabet = np.unique(np.concatenate([automaton.symbols for automaton in built])) if built else np.zeros(0, dtype=np.uint32)
+    if not len(alphabet):
+        return costs, letters
+    nearest = np.minimum(np.searchsorted(alphabet, codes), len(alphabet) - 1)
+    shared = np.where(alphabet[nearest] == codes, nearest + 1, 0).astype(np.uint16 if len(alphabet) < 65_535 else np.uint32)
+    numbered = [np.r_[0, automaton.numbered(alphabet)] for automaton in built]
     at = 0
     while at < len(order):
         longest = np.maximum(length[order[at:]], 1)
         some = order[at : at + max(1, int(np.searchsorted(longest * np.arange(1, len(longest) + 1), together, side="right")))]
         lengths = length[some]
-        place = np.minimum(begin[some] + np.arange(lengths[-1])[:, None], len(codes) - 1)
+        square = shared[np.minimum(begin[some] + np.arange(lengths[-1])[:, None], len(codes) - 1)]
         for k, automaton in enumerate(built):
-            np.add.at(costs[:, k], line[some], automaton.phrases(numbered[k][place], lengths) * math.log2(automaton.size))
+            found = automaton.phrases(numbered[k][square], lengths) * math.log2(automaton.size)
+            costs[:, k] += np.bincount(line[some], found, len(lines))
         at += len(some)
     return costs, letters
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,15 @@ def strict_object(text: Column) -> Column:
     return F.when(inner.startswith("{") & inner.endswith("}"), parsed)
 
 
+def with_object(df: DataFrame, text: str, name: str) -> DataFrame:
+    """The rows whose ``text`` is exactly one JSON object, with its VARIANT as ``name``.
+
+    The value comes out of a generator, below which the filter can't be pushed: there it would parse each text
+    a second time. The outer form keeps Spark from inferring such a filter itself.
+    """
+    return df.select("*", F.explode_outer(F.array(strict_object(F.col(text)))).alias(name)).filter(F.col(name).isNotNull())
+
+
 def stripped(text: Column) -> Column:
     """``text`` without the white space of JSON at both ends."""
     return F.btrim(text, F.lit(" \t\r\n"))

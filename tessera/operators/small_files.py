@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.json import number, stripped, strict_object
+from tessera.functions.json import bound, number, stripped, with_object
 from tessera.session import scratch, settings
 
 
@@ -82,13 +82,13 @@ def records(files: DataFrame) -> DataFrame:
     number, null if missing or no number), record (the line without outer blanks). Null or empty
     content has no record. A null file_id is told apart by its path. Nothing is shuffled.
     """
-    lines = files.select(
+    own = files.select(
         F.coalesce(F.col("file_id").cast("string"), F.concat(F.lit("path:"), F.col("path"))).alias("file_key"), "file_id", "written_at",
         F.split_part("path", F.lit("/"), F.lit(1)).alias("stack"),
-        number(F.try_variant_get(F.try_parse_json("metadata"), "$.depth", "string")).alias("depth"),
-        F.posexplode(F.split("content", "\n", -1)).alias("_pos", "_line"),
-    ).withColumn("_v", strict_object(F.col("_line")))
-    return lines.filter("_v is not null").select(
+        bound(F.try_variant_get(F.try_parse_json("metadata"), "$.depth", "string"), number).alias("depth"), F.split("content", "\n", -1).alias("_lines"),
+    )
+    lines = own.select(*[c for c in own.columns if c != "_lines"], F.posexplode_outer("_lines").alias("_pos", "_line"))
+    return with_object(lines, "_line", "_v").select(
         "file_key", "file_id", (F.col("_pos") + 1).alias("line_no"), "written_at", "stack",
         number(F.try_variant_get("_v", "$.layer", "string")).alias("layer"),
         number(F.try_variant_get("_v", "$.segment_id", "string")).alias("segment_id"),

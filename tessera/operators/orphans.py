@@ -30,7 +30,8 @@ def orphan_references(refs: DataFrame, targets: DataFrame, key: list[str], perio
     with more than 1/``most_heavy`` of all references, and at least ``least`` of them, are heavy; there are fewer than
     ``most_heavy`` of them whatever the data, so they are broadcast against the targets. All other keys
     take a shuffled anti join, and both results are united. Referring rows follow the same split, so a hot
-    key's rows are never shuffled.
+    key's rows are never shuffled. Targets and light keys are never broadcast: Spark would judge them by the
+    size of compressed files, of which lists of ids unpack to a hundred times as much in the driver.
 
     A null in any key column points to nothing, as in SQL. Repeated rows count each time; equal rows of
     targets count once. A null period is a period. Other columns of ``refs`` are kept, those of
@@ -40,7 +41,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame, key: list[str], perio
     per_key = counts.groupBy(*key).agg(F.sum("n_refs").alias("_n"))
     total = counts.agg(F.sum("n_refs")).first()[0] or 0
     heavy = F.broadcast(cut(per_key.filter((F.col("_n") > total / most_heavy) & (F.col("_n") >= least)).select(*key), "heavy"))
-    targets = targets.select(*key)
+    targets = targets.select(*key).hint("merge")
 
     alive = targets.alias("t").join(heavy.alias("h"), _same("t", "h", key), "left_semi").distinct()
     light_counts = counts.alias("c").join(heavy.alias("h"), _same("c", "h", key), "left_anti")
@@ -51,7 +52,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame, key: list[str], perio
         light.withColumn("_heavy", F.lit(False)).unionByName(heavy_counts.alias("c").join(F.broadcast(dead).alias("d"), _same("c", "d", key), "left_semi").withColumn("_heavy", F.lit(True))),
         "orphans",
     )
-    light_keys = orphan.filter(~F.col("_heavy")).select(*key).distinct()
+    light_keys = orphan.filter(~F.col("_heavy")).select(*key).distinct().hint("merge")
     heavy_keys = F.broadcast(orphan.filter("_heavy").select(*key).distinct())
     rest = refs.alias("r").join(heavy.alias("h"), _same("r", "h", key), "left_anti")
     none = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])

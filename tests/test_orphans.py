@@ -1,6 +1,8 @@
 from collections import Counter
 
+from tessera.operators import orphans
 from tessera.operators.orphans import orphan_references
+from tessera.session import cut, settings
 
 KEY = ["stack", "ref_id"]
 
@@ -35,3 +37,16 @@ def test_both_sides_of_the_split_find_orphans(spark):
 def test_empty_sides(spark):
     assert run(spark, [], [("a", 1, "x", 1)]) == (Counter(), {})
     assert run(spark, [("a", 1, "m", 5, 0, 0)], []) == (Counter([5]), {("a", 1, "m"): 1})
+
+
+def test_targets_and_light_keys_are_never_broadcast(spark, monkeypatch):
+    """Few bytes of files may be many rows, so the size that Spark reckons must not decide."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans = {}
+    monkeypatch.setattr(orphans, "cut", lambda df, name: plans.setdefault(name, plan(df)) and cut(df, name))
+    refs = spark.range(100).selectExpr("'s' AS stack", "id AS ref_id", "'m' AS month", "id AS row_key")
+    targets = spark.range(1).selectExpr("'s' AS stack", "explode(sequence(0L, 89L)) AS ref_id")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="1g"):
+        found = orphan_references(refs, targets, KEY, "month")
+        assert "SortMergeJoin" in plans["orphans"] and "SortMergeJoin" in plan(found.rows)
+        assert {x.row_key for x in found.rows.collect()} == set(range(90, 100))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import images, interchange
+from tessera.plans import mosaic
 from tessera.sources import experiments
 from tessera.streaming import arrivals
 
@@ -138,3 +139,29 @@ def test_stream_counts_each_cell_once(spark, tmp_path):
     run.awaitTermination(120)
     got = {(str(r["from"])[:10], r.n, r.mean) for r in spark.table("means").collect()}
     assert ("2024-01-01", 2, 3.0) in got
+
+
+@pytest.fixture
+def odd_cells(spark):
+    """Cells that overlap, lie beyond the frame or on a corner, lack an area, a value or a place."""
+    rows = [(1, 10.5, 12.2, 80, 0.5), (1, 14.0, 12.0, 120, 0.9), (1, 30.0, 8.0, None, 0.4), (1, 33.0, 30.0, 50, None), (1, 35.0, 31.0, 60, 0.7), (1, -3.0, 70.0, 90, -0.6), (1, 39.9, 0.0, 5, float("nan")), (1, None, 4.0, 90, 3.0)]
+    rows += [(2, None, None, 9, 1.0), (3, 20.0, 20.0, 5000, 0.3), (3, 20.0, 22.0, 0, 0.8)]
+    return spark.createDataFrame([("s", *r) for r in rows], "stack string, layer int, x double, y double, pixel_count bigint, ch0 double")
+
+
+def same(left, right):
+    a, b = ({(r[0], r[1], r[2], r[3]): r[4] for r in df.collect()} for df in (left, right))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+
+
+def test_layers_painted_in_their_task_are_those_of_listed_pixels(spark, odd_cells):
+    keys, shape = ["stack", "layer"], {"extent": 40}
+    listed = images.painted(odd_cells, keys, "ch0", **shape)
+    same(images.preprocess_painted(odd_cells, keys, "ch0", **shape), images.on_images(listed, keys, "ch0", images.preprocess, "value"))
+    exact = lambda image: {"row": np.indices(image.shape)[0].ravel(), "col": np.indices(image.shape)[1].ravel(), "v": image.ravel()}
+    same(images.on_painted(odd_cells, keys, "ch0", exact, "row int, col int, v double", **shape), images.on_images(listed, keys, "ch0", lambda image: image, "v"))
+
+
+def test_painted_pixels_are_not_shuffled(spark, data):
+    plan = mosaic.QUERIES["image_preprocess"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "_dy" not in plan

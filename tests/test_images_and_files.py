@@ -165,3 +165,15 @@ def test_layers_painted_in_their_task_are_those_of_listed_pixels(spark, odd_cell
 def test_painted_pixels_are_not_shuffled(spark, data):
     plan = mosaic.QUERIES["image_preprocess"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "_dy" not in plan
+
+
+def test_labels_of_painted_layers_are_those_of_listed_pixels(spark, odd_cells, data):
+    keys, how = ["stack", "layer"], {"radius": 1, "sigma": 1.5}
+    listed = images.painted(odd_cells, keys, "ch0", extent=40)
+    labels = images.segment_layers(listed, keys, "ch0", **how).filter("label > 0")
+    got = images.segment_painted(odd_cells, keys, "ch0", extent=40, **how)
+    assert got.count() > 0
+    same(got.select(*keys, "row", "col", "label"), labels)
+    same(got.select(*keys, "row", "col", "ch0"), labels.join(listed, [*keys, "row", "col"], "left").fillna(0.0).select(*keys, "row", "col", "ch0"))
+    plan = mosaic.QUERIES["segment_image"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "raster" not in plan

@@ -202,3 +202,22 @@ def test_density_and_surface(spark):
     w, scale = mixture_models.multiquadric(control, z, smooth=0.0)
     df = spark.createDataFrame([(float(x), float(y)) for x, y in control], "x double, y double")
     assert np.allclose([r[0] for r in df.select(mixture_models.surface(F.col("x"), F.col("y"), control, w, scale)).collect()], z)
+
+
+def test_layers_settle_as_all_together_do(spark):
+    rng = np.random.default_rng(5)
+    rows = [("s", layer, int(a), int(b), float(rng.choice([0.5, 1.0, rng.random()]))) for layer in range(6) for a, b in rng.integers(0, 40 + layer, (130, 2))]
+    rows += [("s", 1, 3, 9999, 5.0), ("s", 2, 4, 5, None), ("s", 7, 1, 2, 1.0)]
+    weighted = spark.createDataFrame(rows, "stack string, layer int, src bigint, dst bigint, weight double")
+    nodes = spark.createDataFrame([("s", layer, i) for layer in range(7) for i in range(40 + layer)], "stack string, layer int, node bigint")
+    want = {tuple(r) for r in graphs.communities(weighted, nodes, KEYS).collect()}
+    got = [tuple(r) for r in graphs.layer_communities(weighted, nodes, KEYS).collect()]
+    assert set(got) == want and len(got) == len(want) == nodes.count()
+    at = spark.range(-50, 50).selectExpr("id * 987654321987 AS node").selectExpr("node", "xxhash64(node, 11) AS h").toPandas()
+    assert (graphs._mixed(at["node"].to_numpy(), 11).view(np.int64) == at["h"].to_numpy()).all()
+
+
+def test_a_layer_that_does_not_settle_is_an_error(spark):
+    chain = edges(spark, [(i, i + 1, 1.0) for i in range(60)]).withColumn("weight", F.lit(1.0))
+    with pytest.raises(Exception, match="still change their community"):
+        graphs.layer_communities(chain, points(spark, [(0, 0)] * 61), KEYS, most=1).collect()

@@ -149,9 +149,9 @@ def filter_wide(edges: DataFrame, cells: DataFrame, keys: list[str], node: str =
     5.5 / sqrt(cells of the layer).
     """
     ends = cells.select(*keys, node, F.hypot("x", "y").alias("radius"), F.atan2("y", "x").alias("angle"))
-    polar = with_attribute(with_attribute(edges, ends, keys, "radius", node), ends, keys, "angle", node)
-    turn = F.abs(F.col("angle_src") - F.col("angle_dst"))
-    polar = polar.withColumn("_r", F.least("radius_src", "radius_dst")).withColumn("_t", F.when(turn > F.lit(3.141592653589793), 2 * 3.141592653589793 - turn).otherwise(turn))
+    polar = with_attribute(edges, ends.select(*keys, node, F.struct("radius", "angle").alias("_p")), keys, "_p", node)
+    turn = F.abs(F.col("_p_src.angle") - F.col("_p_dst.angle"))
+    polar = polar.withColumn("_r", F.least("_p_src.radius", "_p_dst.radius")).withColumn("_t", F.when(turn > F.lit(3.141592653589793), 2 * 3.141592653589793 - turn).otherwise(turn))
     middle = polar.groupBy(*keys).agg(F.median("_r").alias("_m")).join(cells.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
     judged = polar.join(middle, keys).withColumn("_wide", (F.col("_r") > F.col("_m")) & (F.col("_t") >= 5.5 / F.sqrt("_n")))
     return _reconnected(judged.filter("not _wide"), judged.filter("_wide"), keys)

@@ -221,3 +221,11 @@ def test_a_layer_that_does_not_settle_is_an_error(spark):
     chain = edges(spark, [(i, i + 1, 1.0) for i in range(60)]).withColumn("weight", F.lit(1.0))
     with pytest.raises(Exception, match="still change their community"):
         graphs.layer_communities(chain, points(spark, [(0, 0)] * 61), KEYS, most=1).collect()
+
+
+def test_wide_edges_look_up_both_ends_once(spark, monkeypatch):
+    xy, looked, plain = [(1, 0), (0, 1), (10, 0), (0, 10), (10, 1)], [], graphs.with_attribute
+    monkeypatch.setattr(graphs, "with_attribute", lambda *a: looked.append(a) or plain(*a))
+    links = edges(spark, [(a, b, math.dist(xy[a], xy[b])) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3), (2, 4))])
+    got = {(r.src, r.dst) for r in graphs.filter_wide(links, points(spark, xy), KEYS).collect()}
+    assert got == {(0, 1), (0, 2), (1, 3), (2, 3), (2, 4)} and len(looked) == 1

@@ -177,3 +177,36 @@ def test_labels_of_painted_layers_are_those_of_listed_pixels(spark, odd_cells, d
     same(got.select(*keys, "row", "col", "ch0"), labels.join(listed, [*keys, "row", "col"], "left").fillna(0.0).select(*keys, "row", "col", "ch0"))
     plan = mosaic.QUERIES["segment_image"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "raster" not in plan
+
+
+def dense_gaussian(image, sigma):
+    reach = max(1, int(4 * sigma + 0.5))
+    kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma))
+    for axis in (0, 1):
+        padded = np.pad(image, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+        image = sum(k * np.take(padded, range(i, i + image.shape[axis]), axis=axis) for i, k in enumerate(kernel / kernel.sum()))
+    return image
+
+
+def dense_median(image, radius):
+    padded, (h, w), steps = np.pad(image, radius, mode="symmetric"), image.shape, range(-radius, radius + 1)
+    return np.median([padded[radius + i : radius + i + h, radius + j : radius + j + w] for i in steps for j in steps if abs(i) + abs(j) <= radius], axis=0)
+
+
+@pytest.mark.parametrize("shape", [(9, 9), (3, 5), (1, 7), (33, 20), (64, 100)])
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.3, 1.0])
+def test_filters_that_skip_empty_pixels_are_those_of_all_pixels(shape, share):
+    rng = np.random.default_rng(3)
+    image = np.where(rng.random(shape) < share, rng.normal(size=shape), 0.0)
+    assert all(np.array_equal(images.gaussian(image, s), dense_gaussian(image, s)) for s in (0.5, 1.5, 2.0))
+    assert all(np.array_equal(images.median(image, r), dense_median(image, r)) for r in (0, 1, 2) if r <= min(shape))
+
+
+def test_filters_of_a_layer_take_memory_for_a_few_images_only():
+    rng = np.random.default_rng(4)
+    image = images.paint_discs(*rng.integers(0, 1024, (2, 200)), np.full(200, 9.5), rng.random(200), 1024)
+    tracemalloc.start()
+    done = images.preprocess(image)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < done.min() < done.max() <= 1 + 1e-9 and peak < 10 * image.nbytes

@@ -210,3 +210,17 @@ def test_filters_of_a_layer_take_memory_for_a_few_images_only():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert 0 < done.min() < done.max() <= 1 + 1e-9 and peak < 10 * image.nbytes
+
+
+@pytest.mark.parametrize("lift", [-3.0, 0.0, 0.4, 3.0])
+def test_equalised_by_definition_whatever_the_level_of_zero(lift):
+    rng = np.random.default_rng(5)
+    image = np.where(rng.random((40, 40)) < 0.3, rng.random((40, 40)), 0.0) + lift
+    low, high = image.min(), image.max()
+    level = np.minimum(((image - low) / (high - low) * 256).astype(int), 255)
+    done = images.equalise(image, 4, 0.03)
+    for r, c in ((0, 0), (3, 2), (39, 39), (39, 0)):  # beyond the outer tile centres a single tile counts
+        tile = level[r // 10 * 10 : r // 10 * 10 + 10, c // 10 * 10 : c // 10 * 10 + 10]
+        counts = np.bincount(tile.ravel(), minlength=256).astype(float)
+        counts = np.minimum(counts, 3) + np.maximum(counts - 3, 0).sum() / 256
+        assert done[r, c] == pytest.approx(np.cumsum(counts)[level[r, c]] / 100)

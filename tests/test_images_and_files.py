@@ -1,3 +1,4 @@
+import heapq
 import json
 import struct
 import tracemalloc
@@ -224,3 +225,54 @@ def test_equalised_by_definition_whatever_the_level_of_zero(lift):
         counts = np.bincount(tile.ravel(), minlength=256).astype(float)
         counts = np.minimum(counts, 3) + np.maximum(counts - 3, 0).sum() / 256
         assert done[r, c] == pytest.approx(np.cumsum(counts)[level[r, c]] / 100)
+
+
+def flooded_pixel_by_pixel(mask, markers, sigma, line):
+    d, (h, w) = dense_gaussian(images.distance(mask), sigma), mask.shape
+    out, seen, queue = markers.copy(), markers > 0, []
+    near = lambda r, c: [(i, j) for i, j in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)) if 0 <= i < h and 0 <= j < w]
+    todo = [tuple(p) for p in np.argwhere(markers > 0)]
+    turn = 0
+    while todo or queue:
+        if todo:
+            r, c = todo.pop(0)
+        else:
+            _, _, r, c = heapq.heappop(queue)
+            around = {int(out[p]) for p in near(r, c)} - {0}
+            if len(around) > 1 and line:
+                continue
+            out[r, c] = min(around)
+        for p in near(r, c):
+            if mask[p] and not seen[p]:
+                seen[p], turn = True, turn + 1
+                heapq.heappush(queue, (-d[p], turn, *p))
+    return out * mask
+
+
+@pytest.mark.parametrize("share", [0.02, 0.2, 0.6, 1.0])
+def test_flood_of_shared_pieces_is_the_flood_of_all(share):
+    rng = np.random.default_rng(6)
+    for shape in ((40, 60), (3, 5), (1, 7), (33, 20)):
+        for noise in (rng.random(shape), dense_gaussian(rng.normal(size=shape), 2.0)):
+            mask = noise <= np.quantile(noise, share)
+            for markers in (images.seeds(mask), np.where(rng.random(shape) < 0.05, rng.integers(1, 9, shape), 0)):
+                for line in (True, False):
+                    assert np.array_equal(images.watershed(mask, markers, 0.5, line), flooded_pixel_by_pixel(mask, markers, 0.5, line))
+
+
+def test_pieces_of_one_seed_are_not_flooded(monkeypatch):
+    pushed = []
+    monkeypatch.setattr(heapq, "heappush", lambda queue, x, push=heapq.heappush: (pushed.append(x), push(queue, x)))
+    image = images.paint_discs(np.array([20, 20, 20, 60]), np.array([20, 60, 74, 40]), np.full(4, 9.0), np.ones(4), 96)
+    labels = images.segment(image)
+    assert len(np.unique(labels)) == 5 and 0 < len(pushed) < 0.7 * (image > 0).sum()
+
+
+def test_mask_of_a_layer_is_that_of_all_its_pixels():
+    rng = np.random.default_rng(7)
+    for cells, area in ((200, 9.5), (3, 40.0), (400, 30.0)):
+        image = images.gaussian(images.paint_discs(*rng.integers(0, 256, (2, cells)), np.full(cells, area), rng.random(cells), 256), 1.0)
+        for value in (image, image - 0.2 * (image > 0), image + 1):
+            ready = images.equalise(value, 8, 0.03)
+            assert np.array_equal(images._bright(value, 8, 0.03), ready >= images.otsu(ready))
+    assert images._bright(np.ones((9, 9)), 8, 0.03) is None

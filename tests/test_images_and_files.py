@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import images, interchange
+from tessera.operators import images, interchange, measure
 from tessera.plans import mosaic
 from tessera.sources import experiments
 from tessera.streaming import arrivals
@@ -276,3 +276,14 @@ def test_mask_of_a_layer_is_that_of_all_its_pixels():
             ready = images.equalise(value, 8, 0.03)
             assert np.array_equal(images._bright(value, 8, 0.03), ready >= images.otsu(ready))
     assert images._bright(np.ones((9, 9)), 8, 0.03) is None
+
+
+def test_segments_measured_in_their_task_are_those_measured_from_pixels(spark, odd_cells, data):
+    keys, how = ["stack", "layer"], {"radius": 1, "sigma": 1.5, "extent": 40}
+    pixels = measure.measure_segments(images.segment_painted(odd_cells, keys, "ch0", **how), keys, ["ch0"])
+    got = images.measure_painted(odd_cells, keys, "ch0", **how)
+    assert got.dtypes == pixels.dtypes
+    left, right = (sorted(map(tuple, df.collect())) for df in (got, pixels))
+    assert len(left) == len(right) > 0 and all(a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-9) for a, b in zip(left, right, strict=True))
+    plan = mosaic.QUERIES["segment_image"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rpartition("FlatMapGroupsInArrow")[0].count("Aggregate") == 0

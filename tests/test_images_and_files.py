@@ -287,3 +287,13 @@ def test_segments_measured_in_their_task_are_those_measured_from_pixels(spark, o
     assert len(left) == len(right) > 0 and all(a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-9) for a, b in zip(left, right, strict=True))
     plan = mosaic.QUERIES["segment_image"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.rpartition("FlatMapGroupsInArrow")[0].count("Aggregate") == 0
+
+
+def test_very_large_discs_are_painted_in_little_memory():
+    rng = np.random.default_rng(8)
+    y, x, values = *rng.integers(0, 64, (2, 70_000)), rng.random(70_000)
+    tracemalloc.start()
+    image = images.paint_discs(y, x, np.full(70_000, 1e5), values, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(image, values.mean()) and peak < 400_000_000
